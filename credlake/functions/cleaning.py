@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credlake.config import CleaningConfig
-from credlake.functions.text import SPACE_CLASS, split_words
+from credlake.functions.text import SPACE_CLASS, contains_any, let
 
 # Clean-up patterns (the white-space class is spelled out).
 TAG_PATTERN = r"<[^>]+>"
@@ -74,50 +74,60 @@ def _stable_class() -> str:
 NFKC_STABLE = _stable_class()
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: html.unescape(unicodedata.normalize("NFKC", t)), na_action="ignore")
+def _arrow_udf(fix):
+    """Arrow UDF on strings. It is declared non-deterministic only so that the
+    optimizer never evaluates it twice (no filter is moved through it)."""
 
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(fix, na_action="ignore")
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+    return run.asNondeterministic()
+
+
+_nfkc_unescape = _arrow_udf(lambda t: html.unescape(unicodedata.normalize("NFKC", t)))
+_unescape = _arrow_udf(html.unescape)
 
 
 def replace_xml_entities(col: Column) -> Column:
-    """Decode the XML entities natively, where there is an ampersand at all."""
-    decoded = col
+    """Decode the XML entities natively."""
     for entity, char in XML_ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return F.when(col.contains("&"), decoded).otherwise(col)
+        col = F.replace(col, F.lit(entity), F.lit(char))
+    return col
 
 
 def unescape(col: Column) -> Column:
-    """Decode character references; only unusual ones leave the JVM."""
+    """Decode character references; only unusual ones leave the JVM. Pass a plain
+    column: it is referred to more than once."""
     special = F.when(col.rlike(OTHER_ENTITY), col)
     return F.coalesce(_unescape(special), replace_xml_entities(col))
 
 
 def normalize_unicode(col: Column) -> Column:
-    """NFKC and then character references; only rows that need it leave the JVM."""
+    """NFKC and then character references; only rows that need it leave the JVM. Pass
+    a plain column: it is referred to more than once."""
     special = F.when(col.rlike(f"[^{NFKC_STABLE}]|{OTHER_ENTITY}"), col)
     return F.coalesce(_nfkc_unescape(special), replace_xml_entities(col))
 
 
+def _replace_where(col: Column, marks: list[str], pattern: str) -> Column:
+    """Replace a pattern by a blank in texts that hold one of the marks it needs."""
+    return let(
+        col,
+        lambda c: F.when(contains_any(c, marks), F.regexp_replace(c, pattern, " ")).otherwise(c),
+    )
+
+
 def strip_tags(col: Column) -> Column:
-    return F.when(
-        col.contains("<") & col.contains(">"), F.regexp_replace(col, TAG_PATTERN, " ")
-    ).otherwise(col)
+    return _replace_where(col, ["<"], TAG_PATTERN)
 
 
 def strip_urls(col: Column) -> Column:
-    return F.when(
-        col.contains("http") | col.contains("www."), F.regexp_replace(col, URL_PATTERN, " ")
-    ).otherwise(col)
+    return _replace_where(col, ["http", "www."], URL_PATTERN)
 
 
 def strip_emails(col: Column) -> Column:
-    return F.when(col.contains("@"), F.regexp_replace(col, EMAIL_PATTERN, " ")).otherwise(col)
+    return _replace_where(col, ["@"], EMAIL_PATTERN)
 
 
 def normalize_text(col: Column, cfg: CleaningConfig = CleaningConfig()) -> Column:
@@ -149,11 +159,8 @@ def clean_tokens(normalized: Column, cfg: CleaningConfig = CleaningConfig()) ->
     return F.filter(F.split(normalized, " "), keep)
 
 
-def clean_text(col: Column, cfg: CleaningConfig = CleaningConfig()) -> Column:
-    """The full cleaner: raw text to a space-joined token string."""
-    return F.array_join(clean_tokens(normalize_text(normalize_unicode(col), cfg), cfg), " ")
-
-
-def clean_text_tokens(clean: Column) -> Column:
-    """Tokens of an already cleaned text (two characters or more)."""
-    return F.filter(split_words(clean), lambda t: F.length(t) >= 2)
+def clean_text_tokens(clean: Column, cfg: CleaningConfig = CleaningConfig()) -> Column:
+    """Tokens the vectoriser sees in a cleaned text: words of two characters or more."""
+    if cfg.strip_non_alphanumeric:
+        return F.filter(F.split(clean, " "), lambda t: F.length(t) >= 2)
+    return F.regexp_extract_all(clean, F.lit(WORD + "{2,}"), F.lit(0))

@@ -4,6 +4,8 @@ Everything here is a native Spark expression, so it stays inside the scan stage.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,15 @@ URL_PATTERN = (
 NUMBER_PATTERN = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    Optimizer rules that move expressions copy them for every reference; bound to a
+    lambda variable, a costly value is referred to only once.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(col: Column) -> Column:
     """Trim Unicode white space on both ends (plain ``trim`` knows only blanks)."""
     return F.btrim(col, F.lit(SPACE_CHARS))

@@ -56,7 +56,8 @@ class LinearModel:
 def class_feature_sums(train: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Sum of each feature per class (and group): all that naive Bayes needs."""
     return (
-        train.select(*(by or []), "label", F.inline(F.arrays_zip(F.col("idx"), F.col("val"))))
+        train.select(*(by or []), "label", F.inline_outer(F.arrays_zip(F.col("idx"), F.col("val"))))
+        .filter(F.col("idx").isNotNull())
         .groupBy(*(by or []), "label", "idx")
         .agg(F.sum("val").alias("total"))
     )

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credlake.functions.cleaning import unescape
-from credlake.functions.text import strip
+from credlake.functions.text import let, strip
 
 MAX_ARTICLE_CHARS = 50000
 # Marks that replace tags while paragraphs are cut out; control characters that do
@@ -13,6 +13,7 @@ MAX_ARTICLE_CHARS = 50000
 PARAGRAPH, END, NODE = "\x01", "\x02", "\x03"
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 PARAGRAPH_START = r"(?i)<p(?:\s[^>]*)?>"
+TAG = r"<[/!?A-Za-z][^>]*(?:>|\z)"
 # Tags that end an open paragraph.
 BLOCKS = (
     "address|article|aside|blockquote|body|center|dir|div|dl|fieldset|figure|footer|form|h[1-6]|"
@@ -27,37 +28,49 @@ def cap_html(html: Column, max_chars: int = MAX_ARTICLE_CHARS) -> Column:
 
 
 def _meta_content(html: Column, attribute: str, name: str) -> Column:
-    """Content of the first meta tag with the attribute value; null when absent."""
-    tag = F.regexp_extract(
-        html, rf"(?is)<meta\b(?=[^>]*\b{attribute}\s*=\s*[\"']?{name}[\"'\s/>])[^>]*>", 0
-    )
-    double = F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*\"([^\"]*)\"", 1)
-    single = F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*'([^']*)'", 1)
-    return F.when(
-        html.contains("<meta") & tag.rlike(r"(?is)\bcontent\s*="),
-        unescape(F.when(double != "", double).otherwise(single)),
-    )
+    """Raw content of the first meta tag with the attribute value; null when absent."""
+    pattern = rf"(?is)<meta\b(?=[^>]*\b{attribute}\s*=\s*[\"']?{name}[\"'\s/>])[^>]*>"
+    content = r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
 
+    def read(tag: Column) -> Column:
+        values = F.concat(F.regexp_extract(tag, content, 1), F.regexp_extract(tag, content, 2))
+        return F.when(tag.rlike(content), values)
 
-def page_title(html: Column) -> Column:
-    """og:title when there is one, else the title tag, else ''."""
-    tag = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    return F.coalesce(_meta_content(html, "property", "og:title"), strip(unescape(tag)))
+    return let(F.regexp_extract(html, pattern, 0), read)
 
 
-def page_author(html: Column) -> Column:
-    return F.coalesce(_meta_content(html, "name", "author"), F.lit(""))
+def title_tag(html: Column) -> Column:
+    """Raw text of the title tag, '' when there is none."""
+    return F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
 
 
-def page_date(html: Column) -> Column:
-    return F.coalesce(_meta_content(html, "property", "article:published_time"), F.lit(""))
+def with_head_fields(df: DataFrame, html: str = "html") -> DataFrame:
+    """Add title (og:title before the title tag), author and date, '' when absent.
+
+    The raw values are their own projection, because decoding refers to them twice.
+    """
+    page = F.col(html)
+    raw = df.withColumns(
+        {
+            "__tag": title_tag(page),
+            "__og": _meta_content(page, "property", "og:title"),
+            "__author": _meta_content(page, "name", "author"),
+            "__date": _meta_content(page, "property", "article:published_time"),
+        }
+    )
+    fields = {
+        "title": F.coalesce(unescape(F.col("__og")), strip(unescape(F.col("__tag")))),
+        "author": F.coalesce(unescape(F.col("__author")), F.lit("")),
+        "date": F.coalesce(unescape(F.col("__date")), F.lit("")),
+    }
+    return raw.withColumns(fields).drop("__tag", "__og", "__author", "__date")
 
 
 def marked_paragraphs(html: Column) -> Column:
     """Page with tags replaced by marks; character references still encoded."""
     visible = F.regexp_replace(F.translate(html, PARAGRAPH + END + NODE, ""), HIDDEN, "")
     marked = F.regexp_replace(F.regexp_replace(visible, PARAGRAPH_START, PARAGRAPH), PARAGRAPH_END, END)
-    return F.regexp_replace(marked, "<[^>]*>", NODE)
+    return F.regexp_replace(marked, TAG, NODE)
 
 
 def paragraph_texts(marked: Column) -> Column:
@@ -67,23 +80,23 @@ def paragraph_texts(marked: Column) -> Column:
         nodes = F.split(F.substring_index(piece, END, 1), NODE)
         return F.array_join(F.transform(nodes, strip), "")
 
-    pieces = F.split(marked, PARAGRAPH)
-    return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), text)
+    pieces = let(F.split(marked, PARAGRAPH), lambda p: F.slice(p, F.lit(2), F.size(p)))
+    return F.transform(pieces, text)
 
 
 def article_rows(pages: DataFrame, max_chars: int = MAX_ARTICLE_CHARS) -> DataFrame:
     """(url, title, author, date, text, success) of every page, plus other columns."""
     others = [c for c in pages.columns if c not in ("html", "url")]
-    staged = pages.withColumn("html", cap_html(F.col("html"), max_chars)).withColumn(
-        "__marked", unescape(marked_paragraphs(F.col("html")))
-    )
+    capped = pages.withColumn("html", cap_html(F.col("html"), max_chars))
+    marked = with_head_fields(capped).withColumn("__marked", marked_paragraphs(F.col("html")))
+    decoded = marked.withColumn("__marked", unescape(F.col("__marked")))
     long_enough = F.filter(paragraph_texts(F.col("__marked")), lambda p: F.length(p) > 50)
-    return staged.select(
+    return decoded.select(
         *others,
         "url",
-        page_title(F.col("html")).alias("title"),
-        page_author(F.col("html")).alias("author"),
-        page_date(F.col("html")).alias("date"),
+        "title",
+        "author",
+        "date",
         F.substring(F.array_join(long_enough, "\n\n"), 1, max_chars).alias("text"),
         F.lit(True).alias("success"),
     )

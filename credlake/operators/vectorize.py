@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from credlake.config import DEFAULTS, NUMERIC_FEATURES, Settings
 from credlake.errors import DataValidationError
 from credlake.functions.cleaning import clean_text_tokens
+from credlake.functions.text import let
 from credlake.operators.common import broadcast_bounded
 
 
@@ -29,25 +30,22 @@ def ngrams(tokens: Column, n: int) -> Column:
     """n-grams of a token array; empty when there are fewer than n tokens."""
     if n == 1:
         return tokens
-    size = F.size(tokens)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.coalesce(grams, F.array().cast("array<string>"))
+    starts = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
+    return F.transform(
+        starts, lambda t, i: F.concat_ws(" ", t, *[F.get(tokens, i + k) for k in range(1, n)])
+    )
 
 
 def terms(tokens: Column, settings: Settings = DEFAULTS) -> Column:
     """All n-grams of the configured range."""
     low, high = settings.ngram_range
-    return F.concat(*[ngrams(tokens, n) for n in range(low, high + 1)])
+    return let(tokens, lambda t: F.concat(*[ngrams(t, n) for n in range(low, high + 1)]))
 
 
 def with_terms(df: DataFrame, settings: Settings = DEFAULTS, clean: str = "clean_text") -> DataFrame:
     """Add ``terms``, the n-grams of the cleaned text."""
-    return (
-        df.withColumn("__tokens", clean_text_tokens(F.coalesce(F.col(clean), F.lit(""))))
-        .withColumn("terms", terms(F.col("__tokens"), settings))
-        .drop("__tokens")
-    )
+    tokens = clean_text_tokens(F.coalesce(F.col(clean), F.lit("")), settings.cleaning)
+    return df.withColumn("terms", terms(tokens, settings))
 
 
 def term_statistics(df: DataFrame) -> DataFrame:
@@ -56,12 +54,16 @@ def term_statistics(df: DataFrame) -> DataFrame:
     Each document emits its terms once for tf and its distinct terms once for df, so
     a single aggregation with map-side combining does; no (document, term) shuffle.
     """
-    uses = F.transform(F.col("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("first")))
-    firsts = F.transform(
-        F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))
-    )
+
+    def marked(items: Column, first: int) -> Column:
+        return F.transform(items, lambda t: F.struct(t.alias("term"), F.lit(first).alias("first")))
+
+    both = let(F.col("terms"), lambda t: F.concat(marked(t, 0), marked(F.array_distinct(t), 1)))
+    # the outer form keeps the optimizer from computing the terms a second time in a
+    # filter on their number
     return (
-        df.select(F.inline(F.concat(uses, firsts)))
+        df.select(F.inline_outer(both))
+        .filter(F.col("term").isNotNull())
         .groupBy("term")
         .agg(
             F.count_if(F.col("first") == 0).alias("tf"),
@@ -208,8 +210,8 @@ def transform(df: DataFrame, space: FeatureSpace) -> DataFrame:
 
 def to_long(df: DataFrame, key: list[str], space: FeatureSpace | None = None) -> DataFrame:
     """One row per document and active feature: (key, idx, value[, feature])."""
-    pairs = df.select(*key, F.inline(F.arrays_zip(F.col("idx"), F.col("val"))))
-    pairs = pairs.withColumnRenamed("val", "value")
+    pairs = df.select(*key, F.inline_outer(F.arrays_zip(F.col("idx"), F.col("val"))))
+    pairs = pairs.filter(F.col("idx").isNotNull()).withColumnRenamed("val", "value")
     if space is None:
         return pairs
     return pairs.withColumn("feature", F.get(string_array(space.names), F.col("idx")))
@@ -257,7 +259,7 @@ def tfidf_long(df: DataFrame, vocab: DataFrame, key: list[str], settings: Settin
     terms of a document start in one task, so the counts combine map-side.
     """
     counts = (
-        df.select(*key, F.explode("terms").alias("term"))
+        df.select(*key, F.explode_outer("terms").alias("term"))
         .join(broadcast_bounded(vocab.select("term", "idf"), settings.max_features), "term")
         .groupBy(*key, "term", "idf")
         .agg(F.count(F.lit(1)).alias("tf"))
