@@ -383,6 +383,17 @@ VIEWS: dict[str, str] = {
 }
 
 
+# The documents to score: all news, every tenth one blank, text cut as at inference.
+VIEWS["cut_clean_news"] = f"""
+        SELECT doc_id, 0 AS label, '' AS split, substr({combine('title', 'text')}, 1, 50000) AS content
+        FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN ' ' ELSE title END AS title,
+                     CASE WHEN doc_id % 10 = 9 THEN '' ELSE text END AS text FROM v_news)"""
+# The same feature and score views over them, in the space fitted on the training split.
+CUT = ["tokenized", "style_rows", "doc_terms", "term_counts", "raw_weights", "tfidf", "style_long", "scaled", "features"]
+for _name in CUT + ["nb_scores"]:
+    VIEWS[f"cut_{_name}"] = re.sub(rf"\bv_({'|'.join(CUT)}|clean_news)\b", r"v_cut_\1", VIEWS[_name])
+
+
 def with_views(sql: str) -> str:
     """The statement with a WITH clause for every view (``v_name``) it needs,
     dependencies first."""
