@@ -96,17 +96,23 @@ def replace_xml_entities(col: Column) -> Column:
     return col
 
 
+def _has_other_entity(col: Column) -> Column:
+    return col.contains("&") & col.rlike(OTHER_ENTITY)
+
+
 def unescape(col: Column) -> Column:
     """Decode character references; only unusual ones leave the JVM. Pass a plain
     column: it is referred to more than once."""
-    special = F.when(col.rlike(OTHER_ENTITY), col)
+    special = F.when(_has_other_entity(col), col)
     return F.coalesce(_unescape(special), replace_xml_entities(col))
 
 
 def normalize_unicode(col: Column) -> Column:
     """NFKC and then character references; only rows that need it leave the JVM. Pass
     a plain column: it is referred to more than once."""
-    special = F.when(col.rlike(f"[^{NFKC_STABLE}]|{OTHER_ENTITY}"), col)
+    # the plain Latin test comes first; only texts beyond it meet the long class
+    unstable = col.rlike(r"[^\x00-\x7F\xC0-\xFF]") & col.rlike(f"[^{NFKC_STABLE}]")
+    special = F.when(unstable | _has_other_entity(col), col)
     return F.coalesce(_nfkc_unescape(special), replace_xml_entities(col))
 
 

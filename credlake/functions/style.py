@@ -5,12 +5,12 @@ array of matches and stays linear on long texts.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credlake.config import NUMERIC_FEATURES
 from credlake.functions.cleaning import URL_PATTERN
-from credlake.functions.text import SPACE_CLASS, is_blank, strip
+from credlake.functions.text import SPACE_CLASS, strip
 
 # The ASCII punctuation marks that are counted.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -18,14 +18,8 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SENTENCE_END = f"[.!?]+(?:[{SPACE_CLASS}]|\\z)"
 
 
-def word_count(col: Column) -> Column:
-    return F.when(is_blank(col), F.lit(0)).otherwise(
-        F.size(F.split(strip(col), f"[{SPACE_CLASS}]+"))
-    )
-
-
-def char_count(col: Column) -> Column:
-    return F.length(col)
+# The marks as single characters of a class, which compiles to a bit table.
+PUNCTUATION_PATTERN = "[" + "".join("\\" + mark for mark in PUNCTUATION) + "]+"
 
 
 def sentence_count(col: Column) -> Column:
@@ -33,19 +27,8 @@ def sentence_count(col: Column) -> Column:
     return F.greatest(F.size(pieces), F.lit(1))
 
 
-def avg_word_length(col: Column) -> Column:
-    letters = F.length(F.regexp_replace(col, f"[{SPACE_CLASS}]+", ""))
-    return F.round(letters / word_count(col), 4)
-
-
-def uppercase_ratio(col: Column) -> Column:
-    letters = F.length(F.regexp_replace(col, r"[^\p{L}]+", ""))
-    upper = F.length(F.regexp_replace(col, r"[^\p{Lu}]+", ""))
-    return F.when(letters > 0, F.round(upper / letters, 4)).otherwise(0.0)
-
-
 def punctuation_count(col: Column) -> Column:
-    return F.length(col) - F.length(F.translate(col, PUNCTUATION, ""))
+    return F.length(col) - F.length(F.regexp_replace(col, PUNCTUATION_PATTERN, ""))
 
 
 def url_count(col: Column) -> Column:
@@ -57,21 +40,36 @@ def mark_count(col: Column, mark: str) -> Column:
     return F.length(col) - F.length(F.replace(col, F.lit(mark), F.lit("")))
 
 
-def style_features(col: Column) -> dict[str, Column]:
-    """The nine features by name, in fixed order; blank text gives all 0.0."""
+def with_style(df: DataFrame, content: str = "content") -> DataFrame:
+    """Add the nine features in fixed order; blank text gives all 0.0.
+
+    Two projections: the first flattens white space and picks the letters once, the
+    second counts in these shorter strings.
+    """
+    col = F.col(content)
+    staged = df.withColumns(
+        {
+            "__flat": F.regexp_replace(strip(col), f"[{SPACE_CLASS}]+", " "),
+            "__alpha": F.regexp_replace(col, r"[^\p{L}]+", ""),
+        }
+    )
+    flat, alpha = F.col("__flat"), F.col("__alpha")
+    solid = F.length(F.replace(flat, F.lit(" "), F.lit("")))
+    words = F.length(flat) - solid + 1
+    upper = F.length(F.regexp_replace(alpha, r"[^\p{Lu}]+", ""))
     values = {
-        "word_count": word_count(col),
-        "char_count": char_count(col),
+        "word_count": words,
+        "char_count": F.length(col),
         "sentence_count": sentence_count(col),
-        "avg_word_length": avg_word_length(col),
-        "uppercase_ratio": uppercase_ratio(col),
+        "avg_word_length": F.round(solid / words, 4),
+        "uppercase_ratio": F.when(alpha == "", 0.0).otherwise(F.round(upper / F.length(alpha), 4)),
         "punctuation_count": punctuation_count(col),
         "url_count": url_count(col),
         "exclamation_count": mark_count(col, "!"),
         "question_count": mark_count(col, "?"),
     }
-    blank = is_blank(col)
-    return {
-        name: F.when(blank, F.lit(0.0)).otherwise(values[name].cast("double"))
+    features = {
+        name: F.when(flat == "", F.lit(0.0)).otherwise(values[name].cast("double"))
         for name in NUMERIC_FEATURES
     }
+    return staged.withColumns(features).drop("__flat", "__alpha")

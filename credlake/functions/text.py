@@ -14,7 +14,14 @@ from credlake.config import DEFAULTS, FAKE, LABEL_NAMES, REAL
 # The code points Python counts as white space: the characters themselves (for
 # trimming) and the body of a regex class. Java's \s knows only the ASCII ones.
 SPACE_CHARS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
-SPACE_CLASS = "".join(f"\\x{{{ord(char):X}}}" for char in SPACE_CHARS)
+#
+# Single Latin-1 characters compile to a bit table; the few others sit behind one range
+# test, so ordinary characters are rejected at once.
+_WIDE_SPACES = "".join(f"\\x{{{ord(char):X}}}" for char in SPACE_CHARS if ord(char) > 0xFF)
+SPACE_CLASS = (
+    "".join(f"\\x{{{ord(char):X}}}" for char in SPACE_CHARS if ord(char) <= 0xFF)
+    + f"[\\x{{1680}}-\\x{{3000}}&&[{_WIDE_SPACES}]]"
+)
 
 # Label words.
 FAKE_WORDS = ["fake", "false", "unreliable"]

@@ -19,6 +19,14 @@ def broadcast_bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that comes in fewer splits than there are cores (one small file)
+    over all of them, so that text work after it runs in parallel. Large inputs have
+    more splits than that and pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _private_folder: list[str] = []
 
 

@@ -8,7 +8,7 @@ from credlake.config import DEFAULTS, FAKE, Settings
 from credlake.errors import DataValidationError
 from credlake.functions import text as tx
 from credlake.functions.cleaning import clean_tokens, normalize_text, normalize_unicode
-from credlake.functions.style import style_features
+from credlake.functions.style import with_style
 from credlake.operators.common import broadcast_bounded, first_by
 
 
@@ -86,11 +86,6 @@ def with_clean_text(df: DataFrame, settings: Settings = DEFAULTS, content: str =
     )
 
 
-def with_style(df: DataFrame, content: str = "content") -> DataFrame:
-    """Add the nine stylistic features of the raw content."""
-    return df.withColumns(style_features(F.col(content)))
-
-
 def add_engineered_columns(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``clean_text`` and the stylistic features, both from ``content``."""
     return with_style(with_clean_text(df, settings))

@@ -9,10 +9,11 @@ vocabulary lookup and all arithmetic is native array expressions.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,6 +139,15 @@ class FeatureSpace:
     def names(self) -> list[str]:
         return self.terms + NUMERIC_FEATURES
 
+    @cached_property
+    def counter(self) -> CountVectorizerModel:
+        """Vocabulary look-up. The terms go to the JVM as one string, because passing
+        them one by one takes seconds."""
+        jvm = SparkSession.active().sparkContext._jvm
+        vocabulary = jvm.org.apache.commons.lang3.StringUtils.split("\n".join(self.terms), "\n")
+        model = CountVectorizerModel(jvm.org.apache.spark.ml.feature.CountVectorizerModel(vocabulary))
+        return model.setInputCol("terms").setOutputCol("__counts")
+
     @property
     def size(self) -> int:
         return len(self.terms) + len(NUMERIC_FEATURES)
@@ -177,7 +187,6 @@ def string_array(values: list[str]) -> Column:
 def transform(df: DataFrame, space: FeatureSpace) -> DataFrame:
     """Add ``idx`` (array<int>) and ``val`` (array<double>): the sparse TF-IDF row with
     unit length, followed by the scaled numeric features that are not zero."""
-    model = CountVectorizerModel.from_vocabulary(space.terms, inputCol="terms", outputCol="__counts")
     idf = double_array(space.idf)
 
     def weigh(i: Column, tf: Column) -> Column:
@@ -192,7 +201,7 @@ def transform(df: DataFrame, space: FeatureSpace) -> DataFrame:
             for k, name in enumerate(NUMERIC_FEATURES)
         ]
     )
-    counted = model.transform(with_terms(df, space.settings)).withColumn(
+    counted = space.counter.transform(with_terms(df, space.settings)).withColumn(
         "__sparse", F.unwrap_udt("__counts")
     )
     weighted = counted.withColumn("__w", F.zip_with("__sparse.indices", "__sparse.values", weigh))

@@ -271,8 +271,8 @@ def unescaped_clean_pages(spark, sf):
 
 @query("style_features", f"SELECT doc_id, {q.style_columns('text')} FROM documents")
 def style_features(spark, sf):
-    docs = v.table(spark, sf, "documents")
-    return docs.select("doc_id", *[c.alias(n) for n, c in style.style_features(F.col("text")).items()])
+    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    return style.with_style(docs, "text").drop("text")
 
 
 @query(

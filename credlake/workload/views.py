@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from credlake.functions.rules import CATEGORIES
 from credlake.functions.text import coerce_label
 from credlake.operators import corpus, evidence, linear, vectorize
+from credlake.operators.common import spread
 
 # Fixed values of the views.
 TITLE_PREFIXES = ["Officials confirm ", "Fake: ", "Announcement: ", "Myth of ", "Fact check: ", "", ""]
@@ -21,7 +22,8 @@ N_REQUESTS = 17
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def pick(index: Column, values: list[str]) -> Column:
