@@ -163,66 +163,90 @@ def fit_linear_svc(
 
 
 def fit_passive_aggressive(
+    train: DataFrame, space: FeatureSpace, C: float = 1.0, max_iter: int = 1000, **options
+) -> LinearModel:
+    """One passive-aggressive model on all training rows."""
+    return fit_passive_aggressive_many(train, space, [(C, None)], max_iter, **options)[0]
+
+
+def fit_passive_aggressive_many(
     train: DataFrame,
     space: FeatureSpace,
-    C: float = 1.0,
+    configs: list[tuple[float, int | None]],
     max_iter: int = 1000,
     tol: float = 1e-3,
     patience: int = 5,
     max_epochs: int = 20,
     seed: int = DEFAULTS.seed,
-) -> LinearModel:
-    """Passive-aggressive (PA-I) updates with iterative parameter mixing.
-
-    Each epoch every partition updates its own copy of the weights over its rows and
-    the copies are averaged, weighted by rows, in Spark. A partition returns one row
-    with its weights and its summed hinge loss. Training stops when the mean loss has
-    not improved by ``tol`` for ``patience`` epochs, at ``max_iter`` or ``max_epochs``.
+) -> list[LinearModel]:
+    """Passive-aggressive (PA-I) models by iterative parameter mixing, several at once.
+
+    A config is (C, fold left out or none). Each epoch every partition updates its own
+    copies of all weight vectors in one reading of its rows, and the copies are
+    averaged in Spark, weighted by rows; so a whole cross-validated grid costs as many
+    jobs as one model. A model stops when its mean loss has not improved by ``tol`` for
+    ``patience`` epochs; all stop at ``max_iter`` or ``max_epochs``.
     """
-    size = space.size
-    weights, bias = np.zeros(size), 0.0
-    best, stale = float("inf"), 0
+    size, k = space.size, len(configs)
+    weights, bias = np.zeros((k, size)), np.zeros(k)
+    steps = np.array([c for c, _ in configs])
+    skipped = np.array([-1 if fold is None else fold for _, fold in configs])
+    best, stale = np.full(k, np.inf), np.zeros(k, dtype=int)
+    rows_in = train.select(
+        "idx", "val", "label", (F.col("fold") if "fold" in train.columns else F.lit(0)).alias("fold")
+    )
     for epoch in range(min(max_iter, max_epochs)):
-        state = train.sparkSession.sparkContext.broadcast((weights, bias))
+        active = stale < patience
+        if not active.any():
+            break
+        state = train.sparkSession.sparkContext.broadcast((weights, bias, active))
 
         def run(batches: Iterator[pd.DataFrame], state=state, epoch=epoch) -> Iterator[pd.DataFrame]:
-            start, b = state.value
-            w, rows, loss = start.copy(), 0, 0.0
+            start, start_bias, live = state.value
+            w, b = start.copy(), start_bias.copy()
+            rows, loss = np.zeros(k, dtype=np.int64), np.zeros(k)
             rng = np.random.default_rng(seed + epoch)
             for batch in batches:
-                for k in rng.permutation(len(batch)):
-                    i = np.asarray(batch["idx"].iloc[k])
-                    v = np.asarray(batch["val"].iloc[k])
-                    y = 1.0 if batch["label"].iloc[k] == 1 else -1.0
-                    miss = max(0.0, 1.0 - y * (float(w[i] @ v) + b))
-                    rows, loss = rows + 1, loss + miss
-                    if miss > 0.0:
-                        step = y * min(C, miss / (float(v @ v) + 1.0))
-                        w[i] += step * v
-                        b += step
-            if rows:
-                yield pd.DataFrame({"rows": [rows], "loss": [loss], "bias": [b], "w": [w.tolist()]})
-
-        parts = train.select("idx", "val", "label").mapInPandas(
-            run, "rows long, loss double, bias double, w array<double>"
-        )
-        weighted = F.array_append(F.array_append(F.col("w"), F.col("bias")), F.col("loss") / F.col("rows"))
+                for r in rng.permutation(len(batch)):
+                    use = np.flatnonzero(live & (skipped != batch["fold"].iloc[r]))
+                    i = np.asarray(batch["idx"].iloc[r])
+                    v = np.asarray(batch["val"].iloc[r])
+                    y = 1.0 if batch["label"].iloc[r] == 1 else -1.0
+                    cells = np.ix_(use, i)
+                    miss = np.maximum(0.0, 1.0 - y * (w[cells] @ v + b[use]))
+                    step = y * np.minimum(steps[use], miss / (float(v @ v) + 1.0))
+                    w[cells] += np.outer(step, v)
+                    b[use] += step
+                    rows[use] += 1
+                    loss[use] += miss
+            seen = np.flatnonzero(rows)
+            if len(seen):
+                yield pd.DataFrame(
+                    {
+                        "model": seen,
+                        "rows": rows[seen],
+                        "w": [np.concatenate([w[m], [b[m], loss[m] / rows[m]]]) for m in seen],
+                    }
+                )
+
+        parts = rows_in.mapInPandas(run, "model int, rows long, w array<double>")
         mixed = (
-            parts.select("rows", F.posexplode(weighted).alias("i", "x"))
-            .groupBy("i")
+            parts.select("model", "rows", F.posexplode("w").alias("i", "x"))
+            .groupBy("model", "i")
             .agg((F.sum(F.col("x") * F.col("rows")) / F.sum("rows")).alias("x"))
-            .collect()
+            .toPandas()
         )
         state.unpersist()
-        values = np.zeros(size + 2)
-        for row in mixed:
-            values[row["i"]] = row["x"]
-        weights, bias, loss = values[:size], float(values[size]), float(values[size + 1])
-        stale = stale + 1 if loss > best - tol else 0
-        best = min(best, loss)
-        if stale >= patience:
-            break
-    return LinearModel("PassiveAggressiveClassifier", weights.tolist(), bias, {"C": C, "max_iter": max_iter})
+        values = np.concatenate([weights, bias[:, None], best[:, None]], axis=1)
+        values[mixed["model"], mixed["i"]] = mixed["x"]
+        loss = values[:, size + 1]
+        weights, bias = values[:, :size], values[:, size]
+        stale = np.where(active & (loss <= best - tol), 0, stale + 1)
+        best = np.minimum(best, loss)
+    return [
+        LinearModel("PassiveAggressiveClassifier", weights[m].tolist(), float(bias[m]), {"C": c, "max_iter": max_iter})
+        for m, (c, _) in enumerate(configs)
+    ]
 
 
 # ---- scoring ----------------------------------------------------------------
@@ -266,6 +290,28 @@ def with_decisions(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+def fold_scores(df: DataFrame, models: dict[tuple[int, int], LinearModel], size: int) -> DataFrame:
+    """Score each row with the models of its own fold, in one pass.
+
+    ``models`` maps (fold, key) to a model; the weights of one key's folds form one
+    literal, addressed by fold. Gives (key, fold, label, prediction).
+    """
+    folds = sorted({fold for fold, _ in models})
+    keys = sorted({key for _, key in models})
+    place = F.array_position(F.array(*[F.lit(f) for f in folds]), F.col("fold")).cast("int") - 1
+
+    def score(key: int) -> Column:
+        flat = double_array([w for fold in folds for w in models[fold, key].weights])
+        biases = double_array([models[fold, key].bias for fold in folds])
+        products = F.zip_with("idx", "val", lambda i, v: v * F.get(flat, F.col("__at") + i))
+        return sigmoid(F.aggregate(products, F.get(biases, F.col("__place")), lambda acc, x: acc + x))
+
+    placed = df.withColumn("__place", place).withColumn("__at", F.col("__place") * size)
+    scored = F.array(*[F.struct(F.lit(key).alias("key"), score(key).alias("score")) for key in keys])
+    rows = with_prediction(placed.select("fold", "label", F.inline(scored)))
+    return rows.select("key", "fold", "label", "prediction")
+
+
 def stacked_scores(df: DataFrame, models: list[LinearModel]) -> DataFrame:
     """One row per input row and model, so that all models are measured in one pass."""
     scored = F.array(

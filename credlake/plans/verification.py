@@ -11,6 +11,7 @@ from credlake.functions.text import verification_text
 from credlake.operators import evidence as ev
 from credlake.operators import pages as pg
 from credlake.operators import verdicts as vd
+from credlake.operators.common import materialize
 from credlake.sources import store
 
 
@@ -34,10 +35,12 @@ def verify(
 ) -> Verification:
     """Requests, their claims and search results to sources, evidence and verdicts.
 
-    ``headlines`` holds the headline flags per request; missing flags are false.
+    ``headlines`` holds the headline flags per request; missing flags are false. The
+    merged candidates feed sources, evidence and counts, so they are written once
+    instead of being shuffled together for each.
     """
     merged = ev.merge_search_results(results, claims)
-    candidates = ev.claim_results(claims, merged)
+    candidates = materialize(ev.claim_results(claims, merged), "candidates")
     sources = ev.unique_sources(ev.source_rows(candidates))
     evidence = ev.evidence_rows(candidates)
     checks = ev.pipeline_fact_checks(ev.claim_results(claims, results))
@@ -87,7 +90,7 @@ def verify_pages(pages: DataFrame, results: DataFrame) -> DataFrame:
     for name in ("error", "message"):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast("string"))
-    articles = pg.article_rows(pages)
+    articles = materialize(pg.article_rows(pages), "articles")
     claims = articles.filter(F.col("text") != "").select(
         F.col("request_id").alias("claim_id"),
         "request_id",
