@@ -46,7 +46,7 @@ def with_style(df: DataFrame, content: str = "content") -> DataFrame:
     Two projections: the first flattens white space and picks the letters once, the
     second counts in these shorter strings.
     """
-    col = F.col(content)
+    col = F.coalesce(F.col(content), F.lit(""))
     staged = df.withColumns(
         {
             "__flat": F.regexp_replace(strip(col), f"[{SPACE_CLASS}]+", " "),
