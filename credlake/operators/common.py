@@ -27,21 +27,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-_private_folder: list[str] = []
+_private_folder: list[tempfile.TemporaryDirectory] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; a private folder is used only
-    when that is unset (tests on one machine).
+    when that is unset (tests on one machine) and goes away with the process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not _private_folder:
-        _private_folder.append(tempfile.mkdtemp(prefix="credlake-"))
-    return _private_folder[0]
+        _private_folder.append(tempfile.TemporaryDirectory(prefix="credlake-", ignore_cleanup_errors=True))
+    return _private_folder[0].name
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

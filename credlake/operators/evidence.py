@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credlake.functions import rules, urls
-from credlake.operators.common import chunk_groups, first_by
+from credlake.operators.common import first_by
 
 RESULT_ORDER = ["claim_id", "query_no", "rank"]
 
@@ -250,12 +250,14 @@ def dependent_source_groups(sources: DataFrame, max_urls: int = 1000) -> DataFra
     a dominant domain never has to fit in one row; no URL is left out.
     """
     keyed = sources.select("request_id", F.coalesce("domain", F.lit("")).alias("domain"), "url")
-    dependent = domain_groups(sources).filter(~F.col("independent"))
+    dependent = domain_groups(sources).filter(~F.col("independent")).drop("independent")
+    parts = F.ceil(F.col("n_sources") / max_urls)
     return (
-        chunk_groups(keyed, ["request_id", "domain"], "url", max_urls)
+        keyed.join(dependent, ["request_id", "domain"])
+        .withColumn("part", F.pmod(F.xxhash64("url"), parts).cast("int"))
+        .repartition("request_id", "domain", "part")
         .groupBy("request_id", "domain", "part")
-        .agg(F.sort_array(F.collect_list("url")).alias("urls"))
-        .join(dependent.select("request_id", "domain", "n_sources"), ["request_id", "domain"])
+        .agg(F.first("n_sources").alias("n_sources"), F.sort_array(F.collect_list("url")).alias("urls"))
     )
 
 

@@ -136,19 +136,20 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
 
 def dashboard_averages(verdicts: DataFrame, sources: DataFrame) -> DataFrame:
     """One row: mean confidence, sources per check, primary to secondary ratio."""
+    counts = sources.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("source_type") == "primary").alias("primary"),
+            F.count_if(F.col("source_type") == "secondary").alias("secondary"),
+        ).alias("c")
+    ).scalar()
     checks = verdicts.agg(
         F.avg("confidence").alias("average_confidence"), F.count(F.lit(1)).alias("n_checks")
-    )
-    counts = sources.agg(
-        F.count(F.lit(1)).alias("n_sources"),
-        F.count_if(F.col("source_type") == "primary").alias("n_primary"),
-        F.count_if(F.col("source_type") == "secondary").alias("n_secondary"),
-    )
-    both = checks.withColumn("k", F.lit(1)).join(counts.withColumn("k", F.lit(1)), "k")
-    return both.select(
+    ).withColumn("c", counts)
+    return checks.select(
         F.round("average_confidence", 6).alias("average_confidence"),
-        F.round(F.try_divide("n_sources", "n_checks"), 6).alias("average_sources_per_check"),
-        F.round(F.try_divide("n_primary", "n_secondary"), 6).alias("primary_secondary_ratio"),
+        F.round(F.try_divide("c.n", "n_checks"), 6).alias("average_sources_per_check"),
+        F.round(F.try_divide("c.primary", "c.secondary"), 6).alias("primary_secondary_ratio"),
     )
 
 

@@ -8,6 +8,7 @@ from credlake.operators import evidence as ev
 from credlake.operators import results as rs
 from credlake.operators import scan as sc
 from credlake.operators import verdicts as vd
+from credlake.operators.common import materialize
 from credlake.plans import verification as vp
 from credlake.sources.search_payloads import normalize_payloads
 from credlake.workload import sql_views as q
@@ -258,8 +259,8 @@ def fact_check_rules(spark, sf):
 )
 def evidence_with_source(spark, sf):
     """Some sources are left out, so that evidence without a source occurs."""
-    known = v.sources(spark, sf).filter(F.col("domain") != "agency.gov")
-    joined = ev.evidence_with_source(v.evidence_items(spark, sf), known)
+    sources, evidence = v.sources_and_evidence(spark, sf)
+    joined = ev.evidence_with_source(evidence, sources.filter(F.col("domain") != "agency.gov"))
     return joined.select(
         "evidence_id",
         "relation",
@@ -272,12 +273,13 @@ def evidence_with_source(spark, sf):
 
 @query("cited_sources", "SELECT source_id, url FROM v_sources WHERE source_id IN (SELECT source_id FROM v_evidence)")
 def cited_sources(spark, sf):
-    return ev.cited_sources(v.sources(spark, sf), v.evidence_items(spark, sf)).select("source_id", "url")
+    return ev.cited_sources(*v.sources_and_evidence(spark, sf)).select("source_id", "url")
 
 
 @query("evidence_scores", "SELECT evidence_id, score FROM v_evidence_scores")
 def evidence_scores(spark, sf):
-    return ev.scored_evidence(v.evidence_items(spark, sf), v.sources(spark, sf)).select("evidence_id", "score")
+    sources, evidence = v.sources_and_evidence(spark, sf)
+    return ev.scored_evidence(evidence, sources).select("evidence_id", "score")
 
 
 @query(
@@ -286,7 +288,8 @@ def evidence_scores(spark, sf):
        FROM v_request_ids r LEFT JOIN v_evidence_scores e ON r.request_id = e.request_id GROUP BY r.request_id""",
 )
 def evidence_group_scores(spark, sf):
-    scored = ev.scored_evidence(v.evidence_items(spark, sf), v.sources(spark, sf))
+    sources, evidence = v.sources_and_evidence(spark, sf)
+    scored = ev.scored_evidence(evidence, sources)
     return ev.group_scores(v.requests(spark, sf).select("request_id"), scored)
 
 
@@ -350,7 +353,7 @@ def source_relation_counts(spark, sf):
             count(*) FILTER (relation = 'contradicts') AS con FROM v_evidence GROUP BY 1) e ON s.source_id = e.source_id""",
 )
 def source_analysis(spark, sf):
-    rows = ev.analyze_sources(v.sources(spark, sf), v.evidence_items(spark, sf))
+    rows = ev.analyze_sources(*v.sources_and_evidence(spark, sf))
     return rows.select(
         "source_id",
         "supporting_evidence_count",
@@ -742,16 +745,18 @@ def batch_totals(spark, sf):
 
 
 def _stored(spark, sf):
-    """The child tables of one run, with plain ids."""
+    """The child tables of one run as they are stored, with plain ids."""
     run = _run(spark, sf)
-    return {
+    evidence = ["evidence_id", "request_id", "claim_id", "source_id", "text", "relation", "confidence"]
+    tables = {
         "claims": v.claims(spark, sf).select("claim_id", "request_id", "text", "category", "certainty_level"),
         "verdicts": run.verdicts,
-        "evidence": run.evidence.select("evidence_id", "request_id", "claim_id", "source_id", "text", "relation", "confidence"),
+        "evidence": run.evidence.select(*evidence),
         "sources": run.sources.select(*SOURCE),
         "fact_checks": run.fact_checks.select("fact_check_id", "request_id", "organization", "url"),
-        "media": v.media(spark, sf),
     }
+    stored = {name: materialize(df, name) for name, df in tables.items()}
+    return {**stored, "media": v.media(spark, sf)}
 
 
 @query(

@@ -457,14 +457,14 @@ def term_statistics(spark, sf):
 
 @query("vocabulary", "SELECT idx, term, tf, df, round(idf, 6) AS idf FROM v_vocab")
 def vocabulary(spark, sf):
-    return v.vocabulary(spark, sf).withColumn("idf", F.round("idf", 6))
+    return v.vocabulary(v.clean_terms(spark, sf)).withColumn("idf", F.round("idf", 6))
 
 
 @query("tfidf_weights", "SELECT doc_id, term, round(weight, 6) AS weight FROM v_tfidf")
 def tfidf_weights(spark, sf):
     """TF-IDF by joins against the vocabulary table."""
-    rows = vectorize.with_terms(corpus.with_clean_text(v.clean_news(spark, sf)))
-    long = vectorize.tfidf_long(rows, v.vocabulary(spark, sf), ["doc_id"])
+    rows = v.clean_terms(spark, sf)
+    long = vectorize.tfidf_long(vectorize.with_terms(rows), v.vocabulary(rows), ["doc_id"])
     return long.withColumn("weight", F.round("weight", 6))
 
 
@@ -475,7 +475,7 @@ def numeric_ranges(spark, sf):
 
 @query("feature_names", "SELECT idx AS position, term AS feature FROM v_vocab UNION ALL SELECT (SELECT count(*) FROM v_vocab) + i, n FROM (SELECT unnest(range(9)) AS i, unnest([" + q.listed(NUMERIC_FEATURES) + "]) AS n)")
 def feature_names(spark, sf):
-    return vectorize.feature_names(v.vocabulary(spark, sf))
+    return vectorize.feature_names(v.vocabulary(v.clean_terms(spark, sf)))
 
 
 @query("fused_features", "SELECT doc_id, feature, round(value, 6) AS value FROM v_features WHERE value <> 0")

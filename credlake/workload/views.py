@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from credlake.functions.rules import CATEGORIES
 from credlake.functions.text import coerce_label
 from credlake.operators import corpus, evidence, linear, vectorize
-from credlake.operators.common import spread
+from credlake.operators.common import materialize, spread
 
 # Fixed values of the views.
 TITLE_PREFIXES = ["Officials confirm ", "Fake: ", "Announcement: ", "Myth of ", "Fact check: ", "", ""]
@@ -21,8 +21,19 @@ MODELS = ["LogisticRegression", "MultinomialNB", "LinearSVC", "PassiveAggressive
 N_REQUESTS = 17
 
 
+# Schemas of the driver tables that are read here; given, they need not be inferred.
+SCHEMAS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
     return spread(rows) if name in ("documents", "pages") else rows
 
 
@@ -121,6 +132,12 @@ def evidence_items(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.evidence_rows(candidates(spark, sf))
 
 
+def sources_and_evidence(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables from merged candidates that are written once."""
+    shared = materialize(candidates(spark, sf), "candidates")
+    return evidence.unique_sources(evidence.source_rows(shared)), evidence.evidence_rows(shared)
+
+
 def headlines(spark: SparkSession, sf: str) -> DataFrame:
     """Headline flags of the requests that have claims."""
     request = F.col("request_id")
@@ -217,8 +234,15 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return linear.with_prediction(scored)
 
 
-def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    train = engineered_news(spark, sf).filter(F.col("split") == "train")
+def clean_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned texts of the corpus, written once: statistics and weights both read them."""
+    rows = corpus.with_clean_text(clean_news(spark, sf))
+    return materialize(rows.select("doc_id", "label", "split", "clean_text"), "clean-texts")
+
+
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """Vocabulary of the training split of prepared rows."""
+    train = rows.filter(F.col("split") == "train")
     stats = vectorize.term_statistics(vectorize.with_terms(train).select("terms"))
     n_docs = train.agg(F.count(F.lit(1))).scalar()
     return vectorize.vocabulary(stats, n_docs)
