@@ -73,17 +73,19 @@ def nb_from_sums(sums: np.ndarray, counts: np.ndarray, alpha: float) -> LinearMo
 
 
 def _class_tables(train: DataFrame, space: FeatureSpace, by: str | None = None):
-    """Feature sums and row counts per group and class as small dense arrays."""
+    """Feature sums and row counts per group and class as small dense arrays: at most
+    groups x 2 x features numbers reach the driver."""
     group = [by] if by else []
-    sums: dict = {}
-    counts: dict = {}
-    for row in class_feature_sums(train, group).collect():
-        key = row[by] if by else None
-        sums.setdefault(key, np.zeros((2, space.size)))[row["label"], row["idx"]] = row["total"]
-    for row in train.groupBy(*group, "label").count().collect():
-        key = row[by] if by else None
-        sums.setdefault(key, np.zeros((2, space.size)))
-        counts.setdefault(key, np.zeros(2))[row["label"]] = row["count"]
+    totals = class_feature_sums(train, group).toPandas()
+    rows = train.groupBy(*group, "label").count().toPandas()
+    sums, counts = {}, {}
+    for key in rows[by].unique() if by else [None]:
+        mine = totals if by is None else totals[totals[by] == key]
+        own = rows if by is None else rows[rows[by] == key]
+        sums[key] = np.zeros((2, space.size))
+        sums[key][mine["label"], mine["idx"]] = mine["total"]
+        counts[key] = np.zeros(2)
+        counts[key][own["label"]] = own["count"]
     return sums, counts
 
 

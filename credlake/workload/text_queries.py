@@ -491,6 +491,7 @@ def fitted(spark, sf):
     """Feature rows of the corpus and the space fitted on its training split."""
     from credlake.operators.common import materialize
 
-    prepared = materialize(v.engineered_news(spark, sf), "engineered")
+    rows = v.engineered_news(spark, sf).drop("title", "text", "content")
+    prepared = materialize(rows, "engineered")
     space = vectorize.fit_feature_space(prepared.filter(F.col("split") == "train"))
     return vectorize.transform(prepared, space), space
