@@ -17,8 +17,7 @@ pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
 # A cross-section by default; CREDLAKE_ALL=1 compares every query.
 SAMPLE = [
     "label_coercion", "cleaning_audit", "clean_texts", "style_features", "deduplicated_corpus", "vocabulary",
-    "merged_search_results", "evidence_scores", "verdict_rows", "source_analysis", "result_documents",
-    "trending_report", "scan_verdicts", "roc_auc", "classification_report", "batch_predictions", "article_rows",
+    "evidence_scores", "verdict_rows", "trending_report", "roc_auc", "article_rows",
 ]
 NAMES = list(ORACLE) if os.environ.get("CREDLAKE_ALL") else SAMPLE
 
