@@ -102,51 +102,51 @@ def evidence_rows(candidates: DataFrame) -> DataFrame:
 # ---- fact checks ------------------------------------------------------------
 
 
-def pipeline_fact_checks(candidates: DataFrame, per_claim: int = 3) -> DataFrame:
+def _with_claims(hits: DataFrame, claims: DataFrame, per_claim: int) -> DataFrame:
+    """The first hits of each claim in result order, with their claim. The limit comes
+    before the join, so a claim with very many results is small by then."""
+    order = Window.partitionBy("claim_id").orderBy("query_no", "rank")
+    first = hits.withColumn("position", F.row_number().over(order)).filter(
+        F.col("position") <= per_claim
+    )
+    return claim_results(claims, first)
+
+
+def pipeline_fact_checks(claims: DataFrame, results: DataFrame, per_claim: int = 3) -> DataFrame:
     """Fact-check hits by title, at most three per claim in result order."""
     title = F.coalesce("title", F.lit(""))
-    hits = candidates.filter(rules.is_pipeline_fact_check(F.lower(title)))
-    order = Window.partitionBy("claim_id").orderBy("query_no", "rank")
-    return (
-        hits.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= per_claim)
-        .select(
-            "request_id",
-            "claim_id",
-            "position",
-            rules.first_word(F.col("title")).alias("organization"),
-            F.substring("claim_text", 1, 200).alias("claim_checked"),
-            F.lit(rules.NO_CONCLUSION).alias("conclusion"),
-            F.substring("snippet", 1, 300).alias("summary"),
-            F.col("published_date").alias("date"),
-            "url",
-        )
+    hits = results.filter(rules.is_pipeline_fact_check(F.lower(title)))
+    return _with_claims(hits, claims, per_claim).select(
+        "request_id",
+        "claim_id",
+        "position",
+        rules.first_word(F.col("title")).alias("organization"),
+        F.substring("claim_text", 1, 200).alias("claim_checked"),
+        F.lit(rules.NO_CONCLUSION).alias("conclusion"),
+        F.substring("snippet", 1, 300).alias("summary"),
+        F.col("published_date").alias("date"),
+        "url",
     )
 
 
-def service_fact_checks(candidates: DataFrame, per_claim: int = 5) -> DataFrame:
+def service_fact_checks(claims: DataFrame, results: DataFrame, per_claim: int = 5) -> DataFrame:
     """Fact-check hits by URL or title: each URL once per claim, at most five."""
     title = F.coalesce("title", F.lit(""))
     url = F.lower("url")
-    hits = candidates.filter(_not_blank_url() & rules.is_fact_check_source(url, F.lower(title)))
+    hits = results.filter(_not_blank_url() & rules.is_fact_check_source(url, F.lower(title)))
     unique = first_by(hits, ["claim_id", "url"], RESULT_ORDER)
-    order = Window.partitionBy("claim_id").orderBy("query_no", "rank")
     text = F.lower(F.concat(title, F.lit(" "), F.coalesce("snippet", F.lit(""))))
-    return (
-        unique.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= per_claim)
-        .select(
-            "request_id",
-            "claim_id",
-            "position",
-            rules.organisation(url).alias("organization"),
-            F.substring("claim_text", 1, 300).alias("claim_checked"),
-            rules.conclusion(text).alias("conclusion"),
-            F.substring("snippet", 1, 500).alias("summary"),
-            F.col("published_date").alias("date"),
-            "url",
-            "title",
-        )
+    return _with_claims(unique, claims, per_claim).select(
+        "request_id",
+        "claim_id",
+        "position",
+        rules.organisation(url).alias("organization"),
+        F.substring("claim_text", 1, 300).alias("claim_checked"),
+        rules.conclusion(text).alias("conclusion"),
+        F.substring("snippet", 1, 500).alias("summary"),
+        F.col("published_date").alias("date"),
+        "url",
+        "title",
     )
 
 

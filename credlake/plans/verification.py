@@ -43,7 +43,7 @@ def verify(
     candidates = materialize(ev.claim_results(claims, merged), "candidates")
     sources = ev.unique_sources(ev.source_rows(candidates))
     evidence = ev.evidence_rows(candidates)
-    checks = ev.pipeline_fact_checks(ev.claim_results(claims, results))
+    checks = ev.pipeline_fact_checks(claims, results)
     base = requests.select("request_id").distinct()
     if headlines is not None:
         base = base.join(

@@ -185,8 +185,8 @@ def title_relations(spark, sf):
     + ") WHERE position <= 3",
 )
 def pipeline_fact_checks(spark, sf):
-    pairs = ev.claim_results(v.claims(spark, sf), v.search_results(spark, sf))
-    return ev.pipeline_fact_checks(pairs).drop("request_id")
+    rows = ev.pipeline_fact_checks(v.claims(spark, sf), v.search_results(spark, sf))
+    return rows.drop("request_id")
 
 
 def _service_sql() -> str:
@@ -217,8 +217,8 @@ def _service_sql() -> str:
 
 @query("service_fact_checks", _service_sql())
 def service_fact_checks(spark, sf):
-    pairs = ev.claim_results(v.claims(spark, sf), v.search_results(spark, sf))
-    return ev.service_fact_checks(pairs).drop("request_id")
+    rows = ev.service_fact_checks(v.claims(spark, sf), v.search_results(spark, sf))
+    return rows.drop("request_id")
 
 
 CHECK_URLS = ["politifact.com/x", "www.snopes.com", "factcheck.org/a", "reuters.com/fact-check/b", "apnews.com", "bbc.com/reality_check", "npr.org/sections/factcheck/c", "other.example"]
