@@ -4,10 +4,10 @@ A set is known by its minwise hashes. Each of ``trees`` independent trees starts
 all sets by one minwise token. A node of at most ``NODE_SIZE`` sets is compared exhaustively
 on compact sketches; in a larger node every set is compared with one hub, and unless all of
 its sets are then linked already, the node branches: each path chooses ``BRANCHES`` further
-tokens by a hash of itself, and its sets go on to the children that hold their token. A pair
-of Jaccard similarity s meets in a root with probability s and in one of a node's children
-with 1 - (1 - s)^BRANCHES, so at 0.75 one tree finds it with about 0.69 however deep it
-gets, and ``TREES`` trees miss about one pair in 10^6.
+tokens by a hash of itself, and its sets go on to the children that hold their token. What is
+still dense after ``LEVELS`` levels is compared in full. A pair of Jaccard similarity s meets
+in a root with probability s and in one of a node's children with 1 - (1 - s)^BRANCHES, so
+at 0.75 one tree finds it with 0.70 at least, and ``TREES`` trees miss one pair in 10^6.
 
 Sketches only choose candidates: a pair is a link when its full sets say so. Pairs inside a
 component that is known already are passed over, so large groups of near copies cost about
@@ -30,7 +30,7 @@ NODE_SIZE = 24
 BRANCHES = 2
 SIMILARITY = 75  # percent
 HUB_PART = 256
-MAX_DEPTH = 40
+LEVELS = 2
 SALT = 11
 
 
@@ -172,7 +172,7 @@ def linked(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], trees: int
     spark = items.sparkSession
     edges, labels = None, None
     level = roots(items, trees)
-    for depth in range(MAX_DEPTH):
+    for depth in range(LEVELS):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.min("key").alias("hub")).where("members > 1")
         members = written(level.join(sizes, "path").join(items, "key").select("path", "key", "n", "sig", "members", "hub"), "node")
         small = _small_pairs(members.where(F.col("members") <= NODE_SIZE), similarity)
@@ -190,21 +190,88 @@ def linked(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], trees: int
             edges = written(found if edges is None else edges.unionByName(found).distinct(), "links")
             labels = components(edges)
             edges = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        known = large.select("path", "key", "sig") if labels is None else large.select("path", "key", "sig").join(labels.withColumnRenamed("node", "key"), "key", "left")
-        label = F.col("key") if labels is None else F.coalesce("component", "key")
-        known = known.withColumn("label", label)
-        mixed = known.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("path")
-        going = written(known.join(mixed, "path").select("key", "path", "sig"), "branching")
+        going = _unlinked(large.select("path", "key", "sig"), labels)
+        going = written(going, "branching")
         if going.isEmpty():
             break
-        level = children(going).distinct()
-    else:
-        raise RuntimeError(f"nodes still hold unlinked sets after {MAX_DEPTH} choices")
+        if depth + 1 < LEVELS:
+            level = children(going).distinct()
+        else:
+            found = _dense(going, labels, fetch, similarity, shingle)
+            labels = components(written(found if edges is None else edges.unionByName(found).distinct(), "links"))
     if labels is None:
         return spark.createDataFrame([], "node bigint, component bigint")
     return labels
 
 
+def _unlinked(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of nodes whose sets aren't all in one component yet."""
+    if labels is None:
+        known = nodes.withColumn("label", F.col("key"))
+    else:
+        known = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
+    mixed = known.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("path")
+    return known.join(mixed, "path")
+
+
+def _dense(going: DataFrame, labels: DataFrame | None, fetch: Callable[[DataFrame], DataFrame], similarity: int, shingle: int) -> DataFrame:
+    """Links in what stays dense: nodes of many sets that resemble each other and aren't linked.
+
+    Nodes of all trees that share a set form one clump, so a pair is compared once. Each set
+    outside the clump's largest known component is compared with every set of the clump, in
+    parts of about HUB_PART such sets; a part's sets are indexed by shingle, and the clump is
+    read past them. Full sets decide; links inside what a part knows to be linked are left out.
+    """
+    clumps = components(going.select(F.col("path").alias("a"), F.col("key").alias("b")))
+    members = going.select("key", "label").distinct().join(clumps.withColumnRenamed("node", "key"), "key").select(F.col("component").alias("clump"), "key", "label")
+    members = written(members, "clumps")
+    shares = members.groupBy("clump", "label").agg(F.count(F.lit(1)).alias("m"))
+    whole = shares.groupBy("clump").agg(F.max_by("label", "m").alias("largest"), (F.sum("m") - F.max("m")).alias("others"))
+    others = members.join(whole, "clump").where("label <> largest").select("clump", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("others") / HUB_PART)).alias("part"))
+    others = written(others, "parts")
+    everyone = members.select("clump", "key").join(others.select("clump", "part").distinct(), "clump")
+    wanted = others.select("key", "clump", "part", F.lit(0).alias("side")).unionByName(everyone.select("key", "clump", "part", F.lit(1).alias("side")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, sets, index, parent = None, [], [], None, {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            left, right = [], []
+            for clump, part, side, key, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                mine = shingle_set(text.encode() if text else None, shingle)
+                if set_key(mine) != key:
+                    continue
+                if at != (clump, part):
+                    at, names, sets, index, parent = (clump, part), [], [], None, {}
+                if side == 0:
+                    names.append(key)
+                    sets.append(mine)
+                    continue
+                if index is None:
+                    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                    order = np.argsort(values, kind="stable")
+                    index, sizes = (values[order], owner[order]), np.array([len(x) for x in sets])
+                low, high = np.searchsorted(index[0], mine, "left"), np.searchsorted(index[0], mine, "right")
+                spans = high - low
+                hit = np.repeat(low - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+                both = np.bincount(index[1][hit], minlength=len(names))
+                for i in np.flatnonzero(100 * both >= similarity * (len(mine) + sizes - both)):
+                    one, two = root(key), root(names[i])
+                    if one != two:
+                        parent[one] = two
+                        left.append(key)
+                        right.append(names[i])
+            yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    rows = fetch(wanted).select("clump", "part", "side", "key", "text")
+    return rows.repartition("clump", "part").sortWithinPartitions("clump", "part", "side").mapInArrow(run, "a bigint, b bigint")
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs that known links don't connect."""
     for side in ("a", "b"):
