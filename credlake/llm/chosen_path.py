@@ -49,15 +49,18 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(flat, "<u4").reshape(len(column), -1)
 
 
-def roots(items: DataFrame, trees: int) -> DataFrame:
-    """(key, path): a path per tree."""
+def roots(items: DataFrame, trees: int, rows: int = 1) -> DataFrame:
+    """(key, path): a path per tree, made of ``rows`` minwise tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = seeds(trees, SALT)
         for batch in batches:
             if batch.num_rows:
                 sig = _signatures(batch.column(1))
-                path = mix64(sig[:, :trees].astype(np.uint64) ^ salt[None, :]).astype(np.int64)
+                path = salt[None, :] + np.zeros((len(sig), 1), np.uint64)
+                for r in range(rows):
+                    path = mix64(path ^ sig[:, r * trees : (r + 1) * trees])
+                path = path.astype(np.int64)
                 yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), trees)), pa.array(path.ravel())], ["key", "path"])
 
     return items.select("key", "sig").mapInArrow(run, "key bigint, path bigint")
@@ -163,7 +166,7 @@ def confirmed(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(run, "a bigint, b bigint")
 
 
-def linked(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], trees: int = TREES, similarity: int = SIMILARITY, shingle: int = 5) -> DataFrame:
+def linked(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], trees: int = TREES, similarity: int = SIMILARITY, shingle: int = 5, rows: int = 1) -> DataFrame:
     """(node, component) of every set that has a link.
 
     ``items``: one row per distinct set, (key long, n sizes, sig minwise hashes as binary).
@@ -171,7 +174,7 @@ def linked(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], trees: int
     """
     spark = items.sparkSession
     edges, labels = None, None
-    level = roots(items, trees)
+    level = roots(items, trees, rows)
     for depth in range(LEVELS):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.min("key").alias("hub")).where("members > 1")
         members = written(level.join(sizes, "path").join(items, "key").select("path", "key", "n", "sig", "members", "hub"), "node")

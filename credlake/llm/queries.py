@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credlake.llm import byte_bpe, language, minhash, packing, toxicity
+from credlake.llm import byte_bpe, language, minhash, packing, passages, toxicity
 from credlake.llm.common import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,9 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), include_ids=False)
+
+
+@register
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.deduplicated(docs)
