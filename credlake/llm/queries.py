@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credlake.llm import byte_bpe, language, minhash, packing, passages, toxicity
+from credlake.llm import byte_bpe, caps, kmeans_tree, language, minhash, packing, passages, toxicity
 from credlake.llm.common import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return passages.deduplicated(docs)
+
+
+@register
+def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.groups(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return kmeans_tree.search(vectors, vectors.where("vec_id % 20 = 0"))
