@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credlake.llm import byte_bpe, caps, kmeans_tree, language, minhash, packing, passages, toxicity
+from credlake.llm import byte_bpe, caps, kmeans_tree, language, main_text, minhash, packing, passages, toxicity, warc
 from credlake.llm.common import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,13 @@ def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return kmeans_tree.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@register
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@register
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
