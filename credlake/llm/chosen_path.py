@@ -32,12 +32,13 @@ SIMILARITY = 75  # percent
 HUB_PART = 256
 LEVELS = 2
 SALT = 11
+_KEY = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 def set_key(hashes: np.ndarray) -> int:
     """A 64-bit name of a set of hashes."""
-    total = np.array([np.sum(mix64(hashes), dtype=np.uint64) ^ np.uint64(len(hashes))])
-    return int(mix64(total ^ mix64(np.array([np.bitwise_xor.reduce(hashes)])))[0].astype(np.int64))
+    total = np.array([np.sum(mix64(hashes), dtype=np.uint64), np.bitwise_xor.reduce(hashes) ^ np.uint64(len(hashes) * 0x51ED2701)])
+    return int(mix64(np.sum(mix64(total) * _KEY, keepdims=True, dtype=np.uint64))[0].astype(np.int64))
 
 
 def _sketch(signature: np.ndarray) -> np.ndarray:
