@@ -7,7 +7,7 @@ inner product between query and centre comes first, and leaves come out best fir
 leaves are visited is calibrated: ``CALIBRATION`` queries are answered exactly against all
 vectors, and visits are widened until the leaves of ``RECALL`` of their true neighbours are
 among them. A leaf's queries and vectors are cut into blocks; each block gives its nearest
-``k``, and a query's blocks are merged by rank.
+``k``, a task merges what its blocks give, and a query's tasks are merged by rank.
 
 Nearness is the largest inner product in double precision, ties by the smaller id.
 
@@ -37,6 +37,7 @@ BRANCHES = 8
 CALIBRATION = 200
 RECALL = 0.96
 BLOCK = 4096
+HELD_ROWS = 1_000_000
 SEED = 3
 
 
@@ -148,6 +149,21 @@ def _answer(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_s)
 
 
+def _nearest(answers: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best of several answers."""
+    q, i, s = (np.concatenate(c) for c in zip(*answers))
+    order = np.lexsort([i, -s, q])
+    q, i, s = q[order], i[order], s[order]
+    first = np.concatenate([[0], np.flatnonzero(q[1:] != q[:-1]) + 1]) if len(q) else np.empty(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return q[rank < k], i[rank < k], s[rank < k]
+
+
+def _batch(answer: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    q, i, s = answer
+    return pa.record_batch([pa.array(q.astype(np.int64)), pa.array(i.astype(np.int64)), pa.array(s)], ["query_id", "vec_id", "score"])
+
+
 def _merged(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
@@ -198,13 +214,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     cells = left.select(*columns, F.lit(0).alias("side")).unionByName(right.select(*columns, F.lit(1).alias("side")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for _, cell in grouped_runs(batches, "cell"):
             side = cell.column("side").to_numpy()
             ids = cell.column("vec_id").to_numpy()
             if (side == 0).any() and (side == 1).any():
                 v = matrix(cell.column("embedding"))
-                a, b, s = _answer(v[side == 1], ids[side == 1], v[side == 0], ids[side == 0], k)
-                yield pa.record_batch([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(s)], ["query_id", "vec_id", "score"])
+                held.append(_answer(v[side == 1], ids[side == 1], v[side == 0], ids[side == 0], k))
+                rows += len(held[-1][0])
+            if rows > HELD_ROWS:
+                held = [_nearest(held, k)]
+                rows = len(held[0][0])
+                if rows > HELD_ROWS // 2:
+                    yield _batch(held[0])
+                    held, rows = [], 0
+        if held:
+            yield _batch(_nearest(held, k))
 
     found = cells.repartition(F.col("cell")).sortWithinPartitions("cell", "side", "vec_id").mapInArrow(compare, "query_id bigint, vec_id bigint, score double")
     return _merged(found, k).select("query_id", "rank", "vec_id", "score")
