@@ -11,3 +11,7 @@ class ModelNotFoundError(FileNotFoundError):
 
 class EmptyInputError(ValueError):
     """There is nothing to classify."""
+
+
+class SharedFolderError(ValueError):
+    """The session names no folder that all executors share."""

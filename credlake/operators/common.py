@@ -1,47 +1,24 @@
-"""Helpers the operators share: bounded broadcast, hot-group splitting, storage."""
+"""Helpers the operators share: storage, first rows, pages."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-# A side is broadcast only when its row count is known to stay below this.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
-    """Broadcast hint for a side whose size has a proven bound; without a bound (or
-    with a large one) the join strategy is left to adaptive execution."""
-    if max_rows is not None and max_rows <= BROADCAST_MAX_ROWS:
-        return F.broadcast(df)
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that comes in fewer splits than there are cores (one small file)
-    over all of them, so that text work after it runs in parallel. Large inputs have
-    more splits than that and pass unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-_private_folder: list[tempfile.TemporaryDirectory] = []
+from credlake.errors import SharedFolderError
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables.
+    """Shared folder for intermediate tables, as ``spark.checkpoint.dir`` names it.
 
-    The cluster names it in ``spark.checkpoint.dir``; a private folder is used only
-    when that is unset (tests on one machine) and goes away with the process.
+    There is no fallback: a machine-local folder would lose rows on a cluster.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not _private_folder:
-        _private_folder.append(tempfile.TemporaryDirectory(prefix="credlake-", ignore_cleanup_errors=True))
-    return _private_folder[0].name
+    if not folder:
+        raise SharedFolderError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -68,24 +45,7 @@ def first_by(df: DataFrame, keys: list[str | Column], order: list[str]) -> DataF
     return grouped.select("__row.*")
 
 
-def chunk_groups(df: DataFrame, key: list[str], item: str, max_items: int) -> DataFrame:
-    """Number the parts of each group so that no part holds much more than
-    ``max_items`` rows: small groups get part 0, large ones are spread by item hash.
-
-    Only groups above the bound are joined back. The result is distributed by key and
-    part, so the parts of a hot key are spread over tasks and the join before it stays
-    open to adaptive skew splitting.
-    """
-    large = (
-        df.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > max_items)
-        .select(*key, F.ceil(F.col("__n") / max_items).alias("__parts"))
-    )
-    part = F.pmod(F.xxhash64(item), F.coalesce(F.col("__parts"), F.lit(1)))
-    return (
-        df.join(large, key, "left")
-        .withColumn("part", part.cast("int"))
-        .drop("__parts")
-        .repartition(*key, "part")
-    )
+def paged(df: DataFrame, key: list[str], item: str, size: int) -> DataFrame:
+    """Add ``page``: rows of a key in item order, ``size`` to a page, alike at every size."""
+    order = Window.partitionBy(*key).orderBy(item)
+    return df.withColumn("page", F.floor((F.row_number().over(order) - 1) / size).cast("int"))

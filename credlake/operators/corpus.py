@@ -9,7 +9,7 @@ from credlake.errors import DataValidationError
 from credlake.functions import text as tx
 from credlake.functions.cleaning import clean_tokens, normalize_text, normalize_unicode
 from credlake.functions.style import with_style
-from credlake.operators.common import broadcast_bounded, first_by
+from credlake.operators.common import first_by
 
 
 def with_content(df: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
@@ -117,7 +117,7 @@ def length_histogram(df: DataFrame, bins: int = 30) -> DataFrame:
     )
     width = (F.col("high") - F.col("low")) / bins
     index = F.when(width > 0, F.floor((F.col("n_chars") - F.col("low")) / width)).otherwise(0)
-    binned = sized.join(broadcast_bounded(ranges, 2), "label").select(
+    binned = sized.join(ranges, "label").select(
         tx.decode_label(F.col("label")).alias("label"),
         (F.least(index, F.lit(bins - 1)) + 1).cast("int").alias("bin"),
     )
@@ -170,7 +170,7 @@ def with_exact_split(
     )
     return (
         keyed.withColumn("__inside", inside)
-        .join(broadcast_bounded(offsets, 2 * 10000), ["label", "__b"])
+        .join(offsets, ["label", "__b"])
         .withColumn("split", name)
         .select(*df.columns, "split")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credlake.functions import rules, urls
-from credlake.operators.common import first_by
+from credlake.operators.common import first_by, paged
 
 RESULT_ORDER = ["claim_id", "query_no", "rank"]
 
@@ -243,22 +243,13 @@ def source_independence(sources: DataFrame) -> DataFrame:
     )
 
 
-def dependent_source_groups(sources: DataFrame, max_urls: int = 1000) -> DataFrame:
-    """Dependent domains with count and URL list.
-
-    A domain with more than ``max_urls`` sources comes as several rows (``part``), so
-    a dominant domain never has to fit in one row; no URL is left out.
-    """
+def dependent_source_groups(sources: DataFrame, page_urls: int = 1000) -> DataFrame:
+    """Dependent domains with count and URL list, in pages of ``page_urls`` URLs in order."""
     keyed = sources.select("request_id", F.coalesce("domain", F.lit("")).alias("domain"), "url")
     dependent = domain_groups(sources).filter(~F.col("independent")).drop("independent")
-    parts = F.ceil(F.col("n_sources") / max_urls)
-    return (
-        keyed.join(dependent, ["request_id", "domain"])
-        .withColumn("part", F.pmod(F.xxhash64("url"), parts).cast("int"))
-        .repartition("request_id", "domain", "part")
-        .groupBy("request_id", "domain", "part")
-        .agg(F.first("n_sources").alias("n_sources"), F.sort_array(F.collect_list("url")).alias("urls"))
-    )
+    pages = paged(keyed, ["request_id", "domain"], "url", page_urls)
+    lists = pages.groupBy("request_id", "domain", "page").agg(F.sort_array(F.collect_list("url")).alias("urls"))
+    return lists.join(dependent, ["request_id", "domain"]).select("request_id", "domain", "page", "n_sources", "urls")
 
 
 # ---- source analysis --------------------------------------------------------

@@ -124,7 +124,7 @@ def fit_logistic_regression(
     n_rows: int,
     C: float = 1.0,
     class_weight: str | None = None,
-    max_iter: int = 100,
+    max_iter: int = 2000,
     **_ignored,
 ) -> LinearModel:
     """L2 logistic regression. The loss here is a weighted mean plus regParam, so a
@@ -148,7 +148,7 @@ def fit_linear_svc(
     n_rows: int,
     C: float = 1.0,
     class_weight: str | None = None,
-    max_iter: int = 100,
+    max_iter: int = 5000,
 ) -> LinearModel:
     """Linear support vector classifier (hinge loss)."""
     estimator = LinearSVC(
@@ -178,7 +178,6 @@ def fit_passive_aggressive_many(
     max_iter: int = 1000,
     tol: float = 1e-3,
     patience: int = 5,
-    max_epochs: int = 20,
     seed: int = DEFAULTS.seed,
 ) -> list[LinearModel]:
     """Passive-aggressive (PA-I) models by iterative parameter mixing, several at once.
@@ -187,7 +186,7 @@ def fit_passive_aggressive_many(
     copies of all weight vectors in one reading of its rows, and the copies are
     averaged in Spark, weighted by rows; so a whole cross-validated grid costs as many
     jobs as one model. A model stops when its mean loss has not improved by ``tol`` for
-    ``patience`` epochs; all stop at ``max_iter`` or ``max_epochs``.
+    ``patience`` epochs, or at ``max_iter``.
     """
     size, k = space.size, len(configs)
     weights, bias = np.zeros((k, size)), np.zeros(k)
@@ -197,7 +196,7 @@ def fit_passive_aggressive_many(
     rows_in = train.select(
         "idx", "val", "label", (F.col("fold") if "fold" in train.columns else F.lit(0)).alias("fold")
     )
-    for epoch in range(min(max_iter, max_epochs)):
+    for epoch in range(max_iter):
         active = stale < patience
         if not active.any():
             break

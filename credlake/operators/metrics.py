@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from credlake.config import DEFAULTS, Settings
 from credlake.functions.text import decode_label
-from credlake.operators.common import broadcast_bounded
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -230,7 +229,7 @@ def model_comparison(df: DataFrame) -> DataFrame:
 def evaluation(df: DataFrame, by: list[str]) -> DataFrame:
     """Scores, confusion counts and ROC AUC per group."""
     scores = with_scores(confusion_counts(df, by))
-    return scores.join(broadcast_bounded(roc_auc(df, by), 1000), by, "left")
+    return scores.join(roc_auc(df, by), by, "left")
 
 
 def best_model(metrics: DataFrame, order: list[str]) -> DataFrame:

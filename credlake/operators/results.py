@@ -6,17 +6,10 @@ from pyspark.sql import functions as F
 
 from credlake.functions.rules import VERDICTS
 from credlake.functions.text import history_preview
-from credlake.operators.common import chunk_groups
+from credlake.operators.common import paged
 
-# A nested list holds about this many entries per document part at most.
-MAX_LIST_ITEMS = 1000
-
-
-def nest(child: DataFrame, key: str, item: str, name: str, max_items: int = MAX_LIST_ITEMS) -> DataFrame:
-    """Children of each key as a sorted list of structs, in parts of bounded length."""
-    columns = [item] + [c for c in child.columns if c not in (key, item)]
-    parts = chunk_groups(child, [key], item, max_items)
-    return parts.groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+# A page of a document holds so many entries of each list.
+PAGE_ITEMS = 1000
 
 
 def result_documents(
@@ -27,58 +20,54 @@ def result_documents(
     sources: DataFrame,
     fact_checks: DataFrame,
     media: DataFrame,
-    max_items: int = MAX_LIST_ITEMS,
+    page_items: int = PAGE_ITEMS,
 ) -> DataFrame:
-    """One nested document per request, assembled for all requests at once.
+    """Nested documents of all requests, in pages of ``page_items`` entries of each list.
 
-    Every child table is grouped once by request and joined on the same key. Requests
-    whose lists are too long for one row continue in further parts; part 0 carries the
-    request and verdict columns of every request.
+    The children are stacked and grouped once by request and page. Every page carries the
+    request, its verdict and the media counts of the whole request; page 0 exists for every
+    request.
     """
-    lists = [
-        nest(claims, "request_id", "claim_id", "claims", max_items),
-        nest(evidence, "request_id", "evidence_id", "evidence", max_items),
-        nest(sources, "request_id", "source_id", "source_analysis", max_items),
-        nest(fact_checks, "request_id", "fact_check_id", "fact_checks", max_items),
-        nest(media, "request_id", "media_id", "media", max_items),
-    ]
-    verdict = verdicts.select(
-        "request_id", "verdict", "confidence", "evidence_strength", "limitations"
-    )
-    base = requests.join(verdict, "request_id", "left").withColumn("part", F.lit(0))
-    out = base
-    for child in lists:
-        out = out.join(child, ["request_id", "part"], "full")
-
-    def empty(name: str) -> Column:
-        return F.coalesce(F.col(name), F.array().cast(out.schema[name].dataType))
+    children = {
+        "claims": (claims, "claim_id"),
+        "evidence": (evidence, "evidence_id"),
+        "source_analysis": (sources, "source_id"),
+        "fact_checks": (fact_checks, "fact_check_id"),
+        "media": (media, "media_id"),
+    }
+    rows = requests.select("request_id", F.lit(0).alias("page"))
+    for name, (child, item) in children.items():
+        columns = [item] + [c for c in child.columns if c not in ("request_id", item)]
+        numbered = paged(child, ["request_id"], item, page_items)
+        rows = rows.unionByName(numbered.select("request_id", "page", F.struct(*columns).alias(name)), allowMissingColumns=True)
+    lists = rows.groupBy("request_id", "page").agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in children])
+    verdict = verdicts.select("request_id", "verdict", "confidence", "evidence_strength", "limitations")
+    reuse = media.groupBy("request_id").agg(F.count_if("is_reused").alias("__reused"), F.count_if(~F.col("is_reused")).alias("__fresh"))
+    header = requests.join(verdict, "request_id", "left").join(reuse, "request_id", "left")
+    out = lists.join(header, "request_id")
 
     def only(relation: str) -> Column:
-        return F.filter(empty("evidence"), lambda e: e["relation"] == relation)
+        return F.filter("evidence", lambda e: e["relation"] == relation)
 
-    images = F.filter(empty("media"), lambda m: m["media_type"] == "image")
-    videos = F.filter(empty("media"), lambda m: m["media_type"] == "video")
     return out.select(
         "request_id",
-        "part",
+        "page",
         *[c for c in requests.columns if c != "request_id"],
         F.coalesce("verdict", F.lit("unverified")).alias("verdict"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         F.coalesce("evidence_strength", F.lit("unknown")).alias("evidence_strength"),
-        empty("claims").alias("claims"),
+        "claims",
         only("supports").alias("supporting_evidence"),
         only("contradicts").alias("contradicting_evidence"),
         only("neutral").alias("neutral_evidence"),
-        F.filter(empty("source_analysis"), lambda s: s["source_type"] == "primary").alias(
-            "primary_sources"
-        ),
-        empty("fact_checks").alias("fact_checks"),
-        empty("source_analysis").alias("source_analysis"),
+        F.filter("source_analysis", lambda s: s["source_type"] == "primary").alias("primary_sources"),
+        "fact_checks",
+        "source_analysis",
         F.struct(
-            images.alias("images"),
-            videos.alias("videos"),
-            F.size(F.filter(empty("media"), lambda m: m["is_reused"])).alias("reused_media_count"),
-            F.size(F.filter(empty("media"), lambda m: ~m["is_reused"])).alias("unverified_media_count"),
+            F.filter("media", lambda m: m["media_type"] == "image").alias("images"),
+            F.filter("media", lambda m: m["media_type"] == "video").alias("videos"),
+            F.coalesce("__reused", F.lit(0)).alias("reused_media_count"),
+            F.coalesce("__fresh", F.lit(0)).alias("unverified_media_count"),
         ).alias("media_analysis"),
         F.when(F.coalesce("limitations", F.lit("")) == "", F.array().cast("array<string>"))
         .otherwise(F.split("limitations", "; "))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credlake.functions import rules
-from credlake.operators.common import broadcast_bounded, first_by
+from credlake.operators.common import first_by
 
 # Defaults of incomplete registry rows.
 REGISTRY_DEFAULTS = {
@@ -34,7 +34,7 @@ def registry_articles(registry: DataFrame, results: DataFrame, max_sources: int
         "language",
         "credibility",
     )
-    return results.join(broadcast_bounded(filled, max_sources), "source_url")
+    return results.join(filled, "source_url")
 
 
 def _results_per_source(results: DataFrame, n: int) -> DataFrame:
@@ -71,7 +71,7 @@ def _report(
     # at most n_sources rows, so one task numbers them
     numbered = sources.withColumn("source_no", F.row_number().over(Window.orderBy(*order)))
     chosen = results.join(
-        broadcast_bounded(numbered.select("source_url", "source_no"), n_sources), "source_url"
+        numbered.select("source_url", "source_no"), "source_url"
     )
     picked = _results_per_source(chosen, per_source)
     articles = registry_articles(numbered, picked, n_sources)
@@ -88,7 +88,7 @@ def category_scan(registry: DataFrame, results: DataFrame, per_list: int = 10, p
     top = registry.withColumn("source_no", F.row_number().over(order)).filter(
         F.col("source_no") <= per_list
     )
-    chosen = results.join(broadcast_bounded(top.select("source_url"), 2 * per_list), "source_url", "left_semi")
+    chosen = results.join(top.select("source_url"), "source_url", "left_semi")
     articles = registry_articles(top, _results_per_source(chosen, per_source), 2 * per_list)
     article = F.struct(
         "position", "url", "title", "snippet", "source_country", "category", "language", "credibility"

@@ -21,7 +21,6 @@ from credlake.config import DEFAULTS, NUMERIC_FEATURES, Settings
 from credlake.errors import DataValidationError
 from credlake.functions.cleaning import clean_text_tokens
 from credlake.functions.text import let
-from credlake.operators.common import broadcast_bounded
 
 
 # ---- terms ------------------------------------------------------------------
@@ -269,7 +268,7 @@ def tfidf_long(df: DataFrame, vocab: DataFrame, key: list[str], settings: Settin
     """
     counts = (
         df.select(*key, F.explode_outer("terms").alias("term"))
-        .join(broadcast_bounded(vocab.select("term", "idf"), settings.max_features), "term")
+        .join(vocab.select("term", "idf"), "term")
         .groupBy(*key, "term", "idf")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

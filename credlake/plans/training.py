@@ -91,7 +91,8 @@ def _tune_ml(name: str, train: DataFrame, n_rows: int, sets: list[dict], setting
         chosen = [s for s in sets if s.get("class_weight") == class_weight]
         make = LogisticRegression if name == "LogisticRegression" else LinearSVC
         estimator = make(
-            labelCol="label", featuresCol="features", weightCol="weight", standardization=False
+            labelCol="label", featuresCol="features", weightCol="weight", standardization=False,
+            maxIter=2000 if name == "LogisticRegression" else 5000,
         )
         grid = ParamGridBuilder().addGrid(
             estimator.regParam, [1.0 / (s["C"] * fit_rows) for s in chosen]

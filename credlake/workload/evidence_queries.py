@@ -322,11 +322,13 @@ def source_independence(spark, sf):
 
 @query(
     "dependent_source_groups",
-    """SELECT request_id, domain, 0 AS part, count(*) AS n_sources, string_agg(url, ' | ' ORDER BY url) AS urls
-       FROM v_sources GROUP BY request_id, domain HAVING count(*) > 1""",
+    """SELECT request_id, domain, CAST(page AS INTEGER) AS page, n_sources, string_agg(url, ' | ' ORDER BY url) AS urls
+       FROM (SELECT request_id, domain, url, (row_number() OVER (PARTITION BY request_id, domain ORDER BY url) - 1) // 2 AS page,
+                    count(*) OVER (PARTITION BY request_id, domain) AS n_sources FROM v_sources)
+       WHERE n_sources > 1 GROUP BY request_id, domain, page, n_sources""",
 )
 def dependent_source_groups(spark, sf):
-    return ev.dependent_source_groups(v.sources(spark, sf)).withColumn("urls", _joined("urls"))
+    return ev.dependent_source_groups(v.sources(spark, sf), page_urls=2).withColumn("urls", _joined("urls"))
 
 
 @query(
@@ -458,11 +460,11 @@ def engine_assessment(spark, sf):
 
 @query(
     "request_status",
-    """SELECT request_id, CASE WHEN status = 'failed' THEN 'failed' WHEN request_id IN (SELECT request_id FROM v_evidence) THEN 'completed'
+    """SELECT request_id, CASE WHEN status = 'failed' THEN 'failed' WHEN request_id IN (SELECT request_id FROM v_verdicts) THEN 'completed'
               ELSE 'processing' END AS status FROM v_requests""",
 )
 def request_status(spark, sf):
-    return vd.request_status(v.requests(spark, sf), v.evidence_items(spark, sf)).select("request_id", "status")
+    return vd.request_status(v.requests(spark, sf), _run(spark, sf).verdicts).select("request_id", "status")
 
 
 @query(
@@ -761,30 +763,39 @@ def _stored(spark, sf):
 
 @query(
     "result_documents",
-    """SELECT r.request_id, r.input_type, v.verdict, round(v.confidence, 6) AS confidence, v.evidence_strength,
-              coalesce(c.ids, '') AS claim_ids, coalesce(e.sup, '') AS supporting_ids, coalesce(e.con, '') AS contradicting_ids, coalesce(e.neu, '') AS neutral_ids,
-              coalesce(s.ids, '') AS source_ids, coalesce(s.prim, '') AS primary_ids,
-              coalesce(m.images, 0) AS images, coalesce(m.videos, 0) AS videos, coalesce(m.reused, 0) AS reused_media_count, coalesce(m.fresh, 0) AS unverified_media_count,
-              v.limitations
-       FROM v_requests r JOIN v_verdicts v ON r.request_id = v.request_id
-       LEFT JOIN (SELECT request_id, string_agg(claim_id::VARCHAR, ' | ' ORDER BY claim_id) AS ids FROM v_claims GROUP BY 1) c ON r.request_id = c.request_id
-       LEFT JOIN (SELECT request_id, string_agg(evidence_id, ' | ' ORDER BY evidence_id) FILTER (relation = 'supports') AS sup,
-                         string_agg(evidence_id, ' | ' ORDER BY evidence_id) FILTER (relation = 'contradicts') AS con,
-                         string_agg(evidence_id, ' | ' ORDER BY evidence_id) FILTER (relation = 'neutral') AS neu FROM v_evidence GROUP BY 1) e ON r.request_id = e.request_id
-       LEFT JOIN (SELECT request_id, string_agg(source_id, ' | ' ORDER BY source_id) AS ids,
-                         string_agg(source_id, ' | ' ORDER BY source_id) FILTER (source_type = 'primary') AS prim FROM v_sources GROUP BY 1) s ON r.request_id = s.request_id
-       LEFT JOIN (SELECT request_id, count(*) FILTER (media_type = 'image') AS images, count(*) FILTER (media_type = 'video') AS videos,
-                         count(*) FILTER (is_reused) AS reused, count(*) FILTER (NOT is_reused) AS fresh FROM v_media GROUP BY 1) m ON r.request_id = m.request_id""",
+    """SELECT * FROM (WITH items AS (
+           SELECT request_id, 'claim' AS kind, claim_id::VARCHAR AS id, row_number() OVER (PARTITION BY request_id ORDER BY claim_id) AS n, '' AS tag FROM v_claims
+           UNION ALL SELECT request_id, 'evidence', evidence_id, row_number() OVER (PARTITION BY request_id ORDER BY evidence_id), relation FROM v_evidence
+           UNION ALL SELECT request_id, 'source', source_id, row_number() OVER (PARTITION BY request_id ORDER BY source_id), source_type FROM v_sources
+           UNION ALL SELECT request_id, 'media', media_id::VARCHAR, row_number() OVER (PARTITION BY request_id ORDER BY media_id), media_type FROM v_media
+           UNION ALL SELECT request_id, 'none', '', 1, '' FROM v_requests),
+         pages AS (
+           SELECT request_id, CAST((n - 1) // 2 AS INTEGER) AS page,
+                  coalesce(string_agg(id, ' | ' ORDER BY n) FILTER (kind = 'claim'), '') AS claim_ids,
+                  coalesce(string_agg(id, ' | ' ORDER BY n) FILTER (kind = 'evidence' AND tag = 'supports'), '') AS supporting_ids,
+                  coalesce(string_agg(id, ' | ' ORDER BY n) FILTER (kind = 'evidence' AND tag = 'contradicts'), '') AS contradicting_ids,
+                  coalesce(string_agg(id, ' | ' ORDER BY n) FILTER (kind = 'evidence' AND tag = 'neutral'), '') AS neutral_ids,
+                  coalesce(string_agg(id, ' | ' ORDER BY n) FILTER (kind = 'source'), '') AS source_ids,
+                  coalesce(string_agg(id, ' | ' ORDER BY n) FILTER (kind = 'source' AND tag = 'primary'), '') AS primary_ids,
+                  count(*) FILTER (kind = 'media' AND tag = 'image') AS images, count(*) FILTER (kind = 'media' AND tag = 'video') AS videos
+           FROM items GROUP BY 1, 2),
+         media AS (SELECT request_id, count(*) FILTER (is_reused) AS reused, count(*) FILTER (NOT is_reused) AS fresh FROM v_media GROUP BY 1)
+       SELECT p.*, r.input_type, v.verdict, round(v.confidence, 6) AS confidence, v.evidence_strength,
+              coalesce(m.reused, 0) AS reused_media_count, coalesce(m.fresh, 0) AS unverified_media_count, v.limitations
+       FROM pages p JOIN v_requests r ON p.request_id = r.request_id JOIN v_verdicts v ON p.request_id = v.request_id
+       LEFT JOIN media m ON p.request_id = m.request_id)""",
 )
 def result_documents(spark, sf):
-    """Nested documents of all requests, shown by the ids they hold."""
+    """Nested documents of all requests in pages of two, shown by the ids they hold (a page
+    of fact checks alone has no id to show)."""
     t = _stored(spark, sf)
     requests = v.requests(spark, sf).select("request_id", "input_type")
-    # media of users that are no request would open documents of their own
-    media = t["media"].join(requests.select("request_id"), "request_id", "left_semi")
     docs = rs.result_documents(
-        requests, t["claims"], t["verdicts"], t["evidence"], t["sources"], t["fact_checks"], media
+        requests, t["claims"], t["verdicts"], t["evidence"], t["sources"], t["fact_checks"], t["media"], page_items=2
     )
+    shown = ("claims", "supporting_evidence", "contradicting_evidence", "neutral_evidence", "source_analysis")
+    lists = [F.size(c) for c in shown] + [F.size("media_analysis.images"), F.size("media_analysis.videos")]
+    docs = docs.where((F.col("page") == 0) | (sum(lists[1:], lists[0]) > 0))
 
     def ids(name: str, item: str):
         return F.array_join(F.transform(name, lambda s: s[item].cast("string")), " | ")
@@ -792,6 +803,7 @@ def result_documents(spark, sf):
     m = F.col("media_analysis")
     return docs.select(
         "request_id",
+        "page",
         "input_type",
         "verdict",
         F.round("confidence", 6).alias("confidence"),

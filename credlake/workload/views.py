@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from credlake.functions.rules import CATEGORIES
 from credlake.functions.text import coerce_label
 from credlake.operators import corpus, evidence, linear, vectorize
-from credlake.operators.common import materialize, spread
+from credlake.operators.common import materialize
 
 # Fixed values of the views.
 TITLE_PREFIXES = ["Officials confirm ", "Fake: ", "Announcement: ", "Myth of ", "Fact check: ", "", ""]
@@ -33,8 +33,7 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    rows = spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
-    return spread(rows) if name in ("documents", "pages") else rows
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def pick(index: Column, values: list[str]) -> Column:

@@ -2,15 +2,16 @@
 from __future__ import annotations
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
 from credlake.config import Settings
-from credlake.errors import DataValidationError
+from credlake.errors import DataValidationError, SharedFolderError
 from credlake.operators import corpus
-from credlake.operators.common import chunk_groups
+from credlake.operators.common import checkpoint_dir, paged
 from credlake.sources import news_files, registry, store
 
 
@@ -51,13 +52,16 @@ def test_length_histogram_keeps_every_row(spark, tiny_news):
     assert (low, high) == (1, 30)
 
 
-def test_hot_group_is_chunked_without_loss(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("item"))
-    parts = chunk_groups(df, ["k"], "item", 100)
-    sizes = parts.groupBy("k", "part").count()
-    assert sizes.agg(F.sum("count")).first()[0] == 1000
-    assert sizes.filter("k = 'hot'").count() == 9
-    assert sizes.filter("k <> 'hot' and part <> 0").count() == 0
+def test_pages_are_numbered_alike(spark):
+    df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9)], "k string, item int")
+    got = {(r["k"], r["item"]): r["page"] for r in paged(df, ["k"], "item", 2).collect()}
+    assert got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 1, ("a", 3): 1, ("a", 4): 2, ("b", 9): 0}
+
+
+def test_unset_shared_folder_is_an_error():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default))
+    with pytest.raises(SharedFolderError):
+        checkpoint_dir(session)
 
 
 def test_single_file_layout(spark, tmp_path):
