@@ -36,7 +36,7 @@ CAPACITY = 2048
 END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SHARD_BYTES = 4 << 20
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 #: Characters that Python splits at and the tokenizer may not.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85]")
 _LOADED: dict = {}
