@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credlake.llm.common import components, grouped_runs, mix64, seeds, shingle_set, written
+from credlake.llm.common import components, grouped_runs, mix64, seeds, shingle_set, written, written_narrow
 
 TREES = 12
 NODE_SIZE = 24
@@ -182,16 +182,11 @@ def linked(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], trees: int
         small = _small_pairs(members.where(F.col("members") <= NODE_SIZE), similarity)
         large = members.where(F.col("members") > NODE_SIZE)
         hubs = items.select(F.col("key").alias("hub"), F.col("sig").alias("hub_sig"), F.col("n").alias("hub_n")).join(large.select("hub").distinct(), "hub")
-        pairs = written(small.unionByName(_hub_pairs(large.join(hubs, "hub"), similarity)).distinct(), "pairs")
-        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        for todo in (first, pairs):
-            if labels is not None:
-                todo = _apart(todo, labels)
-            todo = written(todo, "candidates")
-            if todo.isEmpty():
-                continue
+        pairs = written_narrow(small.unionByName(_hub_pairs(large.join(hubs, "hub"), similarity)).distinct(), "pairs")
+        todo = pairs if labels is None else written_narrow(_apart(pairs, labels), "candidates")
+        if not todo.isEmpty():
             found = confirmed(todo, fetch, similarity, shingle)
-            edges = written(found if edges is None else edges.unionByName(found).distinct(), "links")
+            edges = written_narrow(found if edges is None else edges.unionByName(found).distinct(), "links")
             labels = components(edges)
             edges = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
         going = _unlinked(large.select("path", "key", "sig"), labels)
@@ -202,7 +197,7 @@ def linked(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], trees: int
             level = children(going).distinct()
         else:
             found = _dense(going, labels, fetch, similarity, shingle)
-            labels = components(written(found if edges is None else edges.unionByName(found).distinct(), "links"))
+            labels = components(written_narrow(found if edges is None else edges.unionByName(found).distinct(), "links"))
     if labels is None:
         return spark.createDataFrame([], "node bigint, component bigint")
     return labels
@@ -228,11 +223,11 @@ def _dense(going: DataFrame, labels: DataFrame | None, fetch: Callable[[DataFram
     """
     clumps = components(going.select(F.col("path").alias("a"), F.col("key").alias("b")))
     members = going.select("key", "label").distinct().join(clumps.withColumnRenamed("node", "key"), "key").select(F.col("component").alias("clump"), "key", "label")
-    members = written(members, "clumps")
+    members = written_narrow(members, "clumps")
     shares = members.groupBy("clump", "label").agg(F.count(F.lit(1)).alias("m"))
     whole = shares.groupBy("clump").agg(F.max_by("label", "m").alias("largest"), (F.sum("m") - F.max("m")).alias("others"))
     others = members.join(whole, "clump").where("label <> largest").select("clump", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("others") / HUB_PART)).alias("part"))
-    others = written(others, "parts")
+    others = written_narrow(others, "parts")
     everyone = members.select("clump", "key").join(others.select("clump", "part").distinct(), "clump")
     wanted = others.select("key", "clump", "part", F.lit(0).alias("side")).unionByName(everyone.select("key", "clump", "part", F.lit(1).alias("side")))
 

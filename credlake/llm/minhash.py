@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credlake.llm import chosen_path
-from credlake.llm.common import minwise, seeds, shingle_set, written
+from credlake.llm.common import minwise, seeds, shingle_set, written, written_narrow
 
 HASHES = 64
 WORDS = 5
@@ -50,14 +50,14 @@ def groups(docs: DataFrame, trees: int = chosen_path.TREES, similarity: int = ch
     """(doc_id, n_shingles, component_id, kept) for every row."""
     sets = written(signed(docs), "sets")
     named = sets.where("key is not null and doc_id is not null")
-    holder = written(named.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "holders")
+    holder = written_narrow(named.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "holders")
     items = written(named.join(holder, ["key", "doc_id"], "left_semi").dropDuplicates(["key"]).select("key", "n", "sig"), "items")
 
     def fetch(wanted: DataFrame) -> DataFrame:
         return wanted.join(holder, "key").join(docs.select("doc_id", "text"), "doc_id")
 
     labels = chosen_path.linked(items, fetch, trees, similarity, WORDS)
-    of_set = written(
+    of_set = written_narrow(
         holder.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component")), "labelled"
     )
     smallest = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))

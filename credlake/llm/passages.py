@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from credlake.llm import chosen_path
-from credlake.llm.common import minwise, mix64, seeds, shingles_of, word_hashes, written
+from credlake.llm.common import minwise, mix64, seeds, shingles_of, word_hashes, written, written_narrow
 
 MIN_WORDS = 20
 RECALL = 0.999
@@ -114,7 +114,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     bands, rows = tuned_bands()
     labels = chosen_path.linked(items, fetch, bands, rows=rows)
     cluster = holder.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("cluster"))
-    cluster = written(cluster, "clusters")
+    cluster = written_narrow(cluster, "clusters")
     first = cluster.groupBy("cluster").agg(F.min("doc_id").alias("first"))
     owner = cluster.join(first, "cluster").select("key", "first")
     cut_lines = lines.select("doc_id", "pos", "key").join(owner, "key").where("doc_id <> first").select("doc_id", "pos", F.lit(True).alias("line"))
