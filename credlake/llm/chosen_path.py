@@ -1,13 +1,15 @@
 """Set similarity join by chosen paths.
 
 A set is known by its minwise hashes. Each of ``trees`` independent trees starts by dealing
-all sets by one minwise token. A node of at most ``NODE_SIZE`` sets is compared exhaustively
+all sets by ``ROWS`` minwise tokens at once: nodes of fewer tokens would be crowded by what
+merely shares a common passage, and the more so the larger the corpus. A node of at most ``NODE_SIZE`` sets is compared exhaustively
 on compact sketches; in a larger node every set is compared with one hub, and unless all of
 its sets are then linked already, the node branches: each path chooses ``BRANCHES`` further
 tokens by a hash of itself, and its sets go on to the children that hold their token. What is
 still dense after ``LEVELS`` levels is compared in full. A pair of Jaccard similarity s meets
-in a root with probability s and in one of a node's children with 1 - (1 - s)^BRANCHES, so
-at 0.75 one tree finds it with 0.70 at least, and ``TREES`` trees miss one pair in 10^6.
+in a root with probability s^ROWS, so at 0.75 ``TREES`` trees miss one pair in 10^5, and a
+pair at 0.3 meets in a root with 0.027; in one of a node's children it meets with
+1 - (1 - s)^BRANCHES.
 
 Sketches only choose candidates: a pair is a link when its full sets say so. Pairs inside a
 component that is known already are passed over, so large groups of near copies cost about
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from credlake.llm.common import components, grouped_runs, mix64, seeds, shingle_set, written, written_narrow
 
-TREES = 12
+TREES = 21
+ROWS = 3
 NODE_SIZE = 24
 BRANCHES = 2
 SIMILARITY = 75  # percent
@@ -167,7 +170,7 @@ def confirmed(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(run, "a bigint, b bigint")
 
 
-def linked(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], trees: int = TREES, similarity: int = SIMILARITY, shingle: int = 5, rows: int = 1) -> DataFrame:
+def linked(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], trees: int = TREES, similarity: int = SIMILARITY, shingle: int = 5, rows: int = ROWS) -> DataFrame:
     """(node, component) of every set that has a link.
 
     ``items``: one row per distinct set, (key long, n sizes, sig minwise hashes as binary).
