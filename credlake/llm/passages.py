@@ -1,7 +1,7 @@
 """Removal of text that repeats across documents: paragraph MinHash banding, and passages inside paragraphs.
 
 Paragraphs are lines of at least ``MIN_WORDS`` words. Bands of minwise hashes are tuned to
-the fewest that find a pair of similarity 0.75 with ``RECALL``; paragraphs that collide in a
+the longest that find a pair of similarity 0.75 with ``RECALL``; paragraphs that collide in a
 band are joined (crowded bands are told apart by further tokens), exact Jaccard similarity of
 their 5-word shingles decides, and components of similar paragraphs are clusters. A passage
 set into other paragraphs has no line of its own, so runs of ``WINDOW`` words are compared
@@ -35,7 +35,7 @@ from credlake.llm.common import minwise, mix64, seeds, shingles_of, word_hashes,
 
 MIN_WORDS = 20
 RECALL = 0.999
-HASHES = 16
+HASHES = 18
 WINDOW = 16
 EVERY = 8
 MIN_DIFFERENT = 8
@@ -43,11 +43,11 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def tuned_bands(similarity: float = 0.75, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
-    """(bands, rows): the most selective banding of at most ``hashes`` hashes that reaches the recall with the fewest bands."""
+    """(bands, rows): the most selective banding of at most ``hashes`` hashes that reaches the recall."""
     best = None
     for rows in range(1, hashes + 1):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
-        if bands * rows <= hashes and (best is None or bands <= best[0]):
+        if bands * rows <= hashes:
             best = (bands, rows)
     return best
 
