@@ -29,6 +29,7 @@ from credlake.llm.common import crc32_mod
 
 UNKNOWN = "und"
 PER_LANGUAGE = 400
+HASH_BITS = 10
 BUCKETS = 1 << 11
 ORDERS = (2, 3)
 AMBIGUOUS_BELOW = 0.2
@@ -114,11 +115,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 150) -> tuple[np.ndarra
     return plain, b - mean @ plain, right
 
 
+def smallest_hashes(rows: DataFrame, per_language: int) -> DataFrame:
+    """(doc_id, lang, rank) of the ``per_language`` rows of each language with the smallest hash of their id.
+
+    Counts by leading hash bits (at most 2^HASH_BITS rows a language) tell which hashes can be
+    among them, so that the ranking reads little more than its result, however many rows a language has.
+    """
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("lead", F.shiftright("hash", 64 - HASH_BITS))
+    counts = hashed.groupBy("lang", "lead").agg(F.count(F.lit(1)).alias("m"))
+    before = F.sum("m").over(Window.partitionBy("lang").orderBy("lead").rowsBetween(Window.unboundedPreceding, -1))
+    low = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < per_language).select("lang", "lead")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    ranked = hashed.join(F.broadcast(low), ["lang", "lead"]).withColumn("rank", rank)
+    return ranked.where(F.col("rank") <= per_language).select("doc_id", "lang", "rank")
+
+
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from rows (doc_id, text, lang); null text or language is passed over."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     rows = train.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    ids = rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", F.lit(True).alias("chosen")).distinct()
+    ids = smallest_hashes(rows, per_language).select("doc_id", F.lit(True).alias("chosen")).distinct()
     chosen = rows.join(F.broadcast(ids), "doc_id").repartition(16, "doc_id")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

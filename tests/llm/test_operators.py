@@ -194,6 +194,17 @@ def test_language_codes_and_held_out(spark):
     assert {r["lang_pred"] for r in language.identify(docs, docs.limit(0)).collect()} == {"und"}
 
 
+def test_smallest_hashes_equal_a_full_ranking(spark):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "aa").when(F.col("id") < 20, "bb").otherwise("cc").alias("lang"))
+    for table in (rows, rows.unionByName(rows.where("doc_id < 500")), rows.limit(0)):
+        every = defaultdict(list)
+        for r in table.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id").collect():
+            every[r["lang"]].append((r["h"], r["doc_id"]))
+        for most in (1, 50):
+            wanted = sorted((lang, i) for lang, found in every.items() for _, i in sorted(found)[:most])
+            assert sorted((r["lang"], r["doc_id"]) for r in language.smallest_hashes(table, most).collect()) == wanted
+
+
 def test_toxicity_grammar(spark):
     table = toxicity.compose()
     assert len(table) == len(toxicity.STATES) and all(len(r) == 6 for r in table)
