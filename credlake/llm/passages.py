@@ -4,12 +4,14 @@ Paragraphs are lines of at least ``MIN_WORDS`` words. Bands of minwise hashes ar
 the longest that find a pair of similarity 0.75 with ``RECALL``; paragraphs that collide in a
 band are joined (crowded bands are told apart by further tokens), exact Jaccard similarity of
 their 5-word shingles decides, and components of similar paragraphs are clusters. A passage
-set into other paragraphs has no line of its own, so runs of ``WINDOW`` words are compared
-too: those whose hash is 0 modulo ``EVERY`` are fingerprints, a rule of the words alone, so a
-run is a fingerprint everywhere or nowhere. Runs with few different words are no evidence.
+set into other paragraphs has no line of its own, so all runs of ``WINDOW`` words are compared
+too. Each run names the least hash among its ``GRAM``-word grams, a rule of the words alone,
+so equal runs name the same gram; only runs whose gram stands in a second document are
+hashed whole, and equal hashes decide. Runs with fewer than ``MIN_DIFFERENT`` different words
+are no evidence.
 
-Of a cluster or a fingerprint the document with the smallest id keeps its text; in every
-other document the paragraph or the run is cut out.
+Of a cluster or a run the document with the smallest id keeps its text; in every other
+document the paragraph or the run is cut out, and overlapping runs add up to whole passages.
 
 Defined results: null and empty texts stay as they are; a row without an id is never cut and
 never makes others be cut; repeats inside one document, and so repeated rows, are kept; a document whose every paragraph
@@ -37,7 +39,7 @@ MIN_WORDS = 20
 RECALL = 0.999
 HASHES = 18
 WINDOW = 16
-EVERY = 8
+GRAM = 8
 MIN_DIFFERENT = 8
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -52,12 +54,39 @@ def tuned_bands(similarity: float = 0.75, recall: float = RECALL, hashes: int =
     return best
 
 
+def hashed_runs(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words."""
+    by = seeds(size, 3)
+    return mix64(sum(words[k : len(words) - size + 1 + k] * by[k] for k in range(size)))
+
+
+def named_grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, grams, keys): first words of the runs that are evidence, the first words of the grams they name, their hashes."""
+    n = len(words) - WINDOW + 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    nearest = np.zeros(len(words), dtype=np.int64)
+    for lag in range(WINDOW - 1, 0, -1):
+        nearest[lag:][words[lag:] == words[:-lag]] = lag
+    again = np.flatnonzero(nearest)
+    repeated = np.zeros(len(words) + 1, dtype=np.int64)
+    np.add.at(repeated, np.maximum(again - WINDOW + 1, 0), 1)
+    np.add.at(repeated, again - nearest[again] + 1, -1)
+    starts = np.flatnonzero(WINDOW - np.cumsum(repeated)[:n] >= MIN_DIFFERENT)
+    keys = hashed_runs(words, GRAM)
+    least, at = keys[:n].copy(), np.zeros(n, dtype=np.int64)
+    for k in range(1, WINDOW - GRAM + 1):
+        lower = keys[k : n + k] < least
+        at[lower] = k
+        least[lower] = keys[k : n + k][lower]
+    return starts, (np.arange(n) + at)[starts], least[starts]
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, key, n, sig, word): paragraphs by line number; fingerprints have no sig and a word number."""
+    """(doc_id, pos, key, n, sig): paragraphs by line number; named grams have no sig, and pos is their word number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = seeds(HASHES, 2)
-        window = seeds(WINDOW, 3)
         for batch in batches:
             texts = pc.cast(batch.column(1), pa.binary())
             for at in range(0, len(texts), 128):
@@ -82,14 +111,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                         sizes += [len(s) for s in sets]
                         sigs += [s.astype("<u4").tobytes() for s in sig]
                     words = np.concatenate(every)
-                    if len(words) >= WINDOW:
-                        runs = np.lib.stride_tricks.sliding_window_view(words, WINDOW)
-                        total = mix64(sum(words[k : len(words) - WINDOW + 1 + k] * window[k] for k in range(WINDOW)))
-                        hit = np.flatnonzero(total % np.uint64(EVERY) == 0)
-                        hit = hit[(np.diff(np.sort(runs[hit], axis=1), axis=1) != 0).sum(1) + 1 >= MIN_DIFFERENT]
-                        f_owner.append(np.full(len(hit), at + i))
-                        f_pos.append(hit)
-                        f_key.append(total[hit].astype(np.int64))
+                    _, grams, named = named_grams(words)
+                    grams, once = np.unique(grams, return_index=True)
+                    f_owner.append(np.full(len(grams), at + i))
+                    f_pos.append(grams)
+                    f_key.append(named[once].astype(np.int64))
                 ids = batch.column(0)
                 yield pa.record_batch([ids.take(pa.array(owner, pa.int64())), pa.array(pos, pa.int32()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "pos", "key", "n", "sig"])
                 if f_owner:
@@ -100,6 +126,38 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, pos int, key bigint, n bigint, sig binary")
 
 
+def runs_at(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(doc_id, pos, key): first word and hash of every run that names one of ``grams`` (doc_id, pos)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, wanted = pc.cast(batch.column(1), pa.binary()), batch.column(2)
+            for at in range(0, len(texts), 128):
+                owner, pos, keys = [], [], []
+                for i in range(at, min(at + 128, len(texts))):
+                    words = word_hashes(texts[i].as_py())
+                    starts, named, _ = named_grams(words)
+                    marked = np.zeros(len(words) + 1, dtype=bool)
+                    places = wanted[i].values.to_numpy()
+                    marked[places[places < len(words)]] = True
+                    starts = starts[marked[named]]
+                    if len(starts):
+                        owner.append(np.full(len(starts), i))
+                        pos.append(starts)
+                        keys.append(hashed_runs(words, WINDOW)[starts])
+                if owner:
+                    yield pa.record_batch([batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(keys).astype(np.int64))], ["doc_id", "pos", "key"])
+
+    marks = grams.groupBy("doc_id").agg(F.collect_set("pos").alias("__grams"))
+    rows = docs.select("doc_id", "text").where("text is not null").join(marks, "doc_id")
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, pos int, key bigint")
+
+
+def held_twice(runs: DataFrame) -> DataFrame:
+    """(key, first): keys of more than one document, and the smallest id."""
+    return runs.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("key", "first")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, lines array<int>, runs array<int>): line numbers and first word numbers of what a smaller id holds too."""
     found = written(paragraphs(docs), "paragraphs")
@@ -118,8 +176,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = cluster.groupBy("cluster").agg(F.min("doc_id").alias("first"))
     owner = cluster.join(first, "cluster").select("key", "first")
     cut_lines = lines.select("doc_id", "pos", "key").join(owner, "key").where("doc_id <> first").select("doc_id", "pos", F.lit(True).alias("line"))
-    shared = prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("key", "first")
-    cut_runs = prints.select("doc_id", "pos", "key").join(shared, "key").where("doc_id <> first").select("doc_id", "pos", F.lit(False).alias("line"))
+    grams = prints.select("doc_id", "pos", "key")
+    runs = written(runs_at(docs, grams.join(held_twice(grams), "key")), "runs")
+    cut_runs = runs.join(held_twice(runs), "key").where("doc_id <> first").select("doc_id", "pos", F.lit(False).alias("line"))
     return (
         cut_lines.unionByName(cut_runs).groupBy("doc_id")
         .agg(F.collect_set(F.when(F.col("line"), F.col("pos"))).alias("lines"), F.collect_set(F.when(~F.col("line"), F.col("pos"))).alias("runs"))
@@ -129,24 +188,25 @@ def repeats(docs: DataFrame) -> DataFrame:
 def cut(text: str, lines: list[int], runs: list[int]) -> str:
     """The text without the given lines and runs of WINDOW words; white space next to a cut run goes with it."""
     gone = set(lines)
-    spans, start, at = [], 0, 0
+    out, start = [], 0
     kept_lines = text.split("\n")
     marks = np.zeros(len(text) + 1, dtype=np.int32)
     if len(runs):
         words = [m.span() for m in _WORD.finditer(text)]
-        for r in runs:
-            if r + WINDOW <= len(words):
-                end = words[r + WINDOW][0] if r + WINDOW < len(words) else len(text)
-                last = words[r + WINDOW - 1][1]
-                marks[words[r][0]] += 1
-                marks[end if "\n" not in text[last:end] else last] -= 1
+        first = np.unique([r for r in runs if r + WINDOW <= len(words)]).astype(np.int64)
+        for part in np.split(first, np.flatnonzero(np.diff(first) > WINDOW) + 1) if len(first) else []:
+            stop = int(part[-1]) + WINDOW
+            end = words[stop][0] if stop < len(words) else len(text)
+            last = words[stop - 1][1]
+            marks[words[int(part[0])][0]] += 1
+            marks[end if "\n" not in text[last:end] else last] -= 1
     covered = np.cumsum(marks)[: len(text)] > 0
-    out = []
     for number, line in enumerate(kept_lines):
         if number not in gone:
             inside = covered[start : start + len(line)]
             if inside.any():
-                line = "".join(c for c, hide in zip(line, inside) if not hide).rstrip(" ")
+                edges = np.flatnonzero(np.diff(np.concatenate([[True], inside, [True]])))
+                line = "".join(line[a:b] for a, b in zip(edges[::2], edges[1::2])).rstrip(" ")
                 if line:
                     out.append(line)
             else:

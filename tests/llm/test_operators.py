@@ -124,6 +124,39 @@ def test_passages_are_cut_from_all_but_the_first(spark):
     assert 1 - (1 - 0.75**rows) ** bands >= passages.RECALL
 
 
+def test_no_word_of_a_passage_stays(spark):
+    rng = random.Random(12)
+    fresh = iter(f"w{n}" for n in range(10**6))
+    texts, rest = {}, {}
+    for k in range(40):
+        passage = [next(fresh) for _ in range(51 if k % 2 else 16)]
+        for i in (3 * k, 3 * k + 1, 3 * k + 2):
+            before, after = ([next(fresh) for _ in range(rng.randint(1, 40))] for _ in range(2))
+            lines = [" ".join(passage)] if i % 3 < 2 else [" ".join(passage[j : j + 9]) for j in range(0, len(passage), 9)]
+            texts[i] = " ".join(before) + " " + "\n".join(lines) + " " + " ".join(after)
+            rest[i] = before + after if i % 3 else before + passage + after
+    got = {r["doc_id"]: r["text"].split() for r in passages.deduplicated(documents(spark, texts)).collect()}
+    assert got == rest
+
+
+def test_runs_equal_brute_force(spark):
+    rng = random.Random(13)
+    texts = {i: " ".join(rng.choice("abcdefghijklm") for _ in range(60)) for i in range(30)}
+    for i in range(30, 60):
+        texts[i] = "\n".join(" ".join(texts[rng.randrange(30)].split()[a : a + rng.randint(14, 24)]) for a in (3, 17, 31))
+    docs = documents(spark, texts)
+    holders = defaultdict(set)
+    for i, t in texts.items():
+        w = t.split()
+        for a in range(len(w) - passages.WINDOW + 1):
+            if len(set(w[a : a + passages.WINDOW])) >= passages.MIN_DIFFERENT:
+                holders[tuple(w[a : a + passages.WINDOW])].add((i, a))
+    expected = {(i, a) for places in holders.values() for i, a in places if i != min(places)[0]}
+    assert expected
+    got = {(r["doc_id"], a) for r in passages.repeats(docs).collect() for a in r["runs"]}
+    assert got == expected
+
+
 def test_byte_bpe_round_trip(spark):
     import tiktoken
 
