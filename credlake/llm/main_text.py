@@ -5,15 +5,17 @@ their class, id or role (menus, headers, footers, sidebars, notices, adverts, fo
 styles, comments) are set apart. If the page declares an article or a main part, that is the
 text, whole: an article's passages may well occur on other pages too.
 
-A page that declares nothing is judged by its host. The token streams of the host's
-pages (all text outside declared articles) are cut into suffixes, ordered by their first
-``DEPTH`` tokens, and a run of DEPTH tokens that stands on two or more pages is repeated text.
-Repeated runs are removed from undeclared pages and the unique runs are kept. Ordering is
-done by grouping on (host, prefix), which adds up before the shuffle, so neither a large host
-nor a line that all its pages share gathers in one task.
+A page that declares nothing is judged by its host. The blocks of the host's pages (all text
+outside declared articles) are cut into suffixes, ordered by their first ``LONG`` words; a block
+of ``SHORT`` words up to that length counts whole. What stands on a ``SHARE`` of the host's
+distinct pages, and on two at least, is repeated text; overlapping runs add up to the whole
+repeated passage, so it ends where the pages part. It is removed from undeclared pages and the
+rest is kept: phrases, and passages that only some pages share, are the pages' own text.
+Ordering is done by grouping on (host, prefix), which adds up before the shuffle, so neither a
+large host nor a line that all its pages share gathers in one task.
 
 Defined results: null and empty html give the empty text; unclosed and stray tags are
-passed over; repeated rows get equal texts and don't count as two pages when their ids are equal; a null url is a host of its
+passed over; repeated rows get equal texts, and pages of equal ids or equal html count as one; a null url is a host of its
 own name; an empty table gives an empty table; other columns are not read.
 """
 from __future__ import annotations
@@ -27,9 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credlake.llm.common import shingles_of, word_hashes, written
+from credlake.llm.common import word_hashes, written
+from credlake.llm.passages import hashed_runs
 
-DEPTH = 5
+LONG = 20
+SHORT = 5
+SHARE = 0.3
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -139,13 +144,19 @@ def article(found: list[tuple[int, str]]) -> str | None:
     return " ".join(t for k, t in found if k == best) if best > 0 else None
 
 
+def named_hosts(pages: DataFrame) -> DataFrame:
+    """(host, page_id, page, content, html) of every page."""
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+    return pages.select(host.alias("host"), "page_id", F.xxhash64("page_id", "html").alias("page"), F.xxhash64("html").alias("content"), "html")
+
+
 def suffixes(pages: DataFrame) -> DataFrame:
-    """(host, prefix, page_id, page, pos): suffixes of each page's stream outside its article; pos is -1 where the page has a declared text."""
+    """(host, prefix, page_id, page, content, pos, size): suffixes of each page's blocks outside its article, and short blocks; pos is -1 where the page has a declared text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, prefixes, places = [], [], []
-            for i, page in enumerate(batch.column(3).to_pylist()):
+            rows, prefixes, places, sizes = [], [], [], []
+            for i, page in enumerate(batch.column(4).to_pylist()):
                 found = blocks(page)
                 free = article(found) is None
                 start = 0
@@ -153,27 +164,35 @@ def suffixes(pages: DataFrame) -> DataFrame:
                     if kind > 0:
                         continue
                     words = word_hashes(text.encode())
-                    if len(words) >= DEPTH:
-                        h = shingles_of(words, DEPTH)
+                    if len(words) >= SHORT:
+                        size = min(len(words), LONG)
+                        h = hashed_runs(words, size)
                         prefixes.append(h.astype(np.int64))
                         places.append(np.arange(start, start + len(h)) if free and kind == 0 else np.full(len(h), -1))
                         rows.append(np.full(len(h), i))
+                        sizes.append(np.full(len(h), size))
                     start += len(words) if kind == 0 else 0
             if rows:
                 at = pa.array(np.concatenate(rows))
-                yield pa.record_batch([batch.column(0).take(at), pa.array(np.concatenate(prefixes)), batch.column(1).take(at), batch.column(2).take(at), pa.array(np.concatenate(places).astype(np.int32))], ["host", "prefix", "page_id", "page", "pos"])
+                host, page_id, page, content = (batch.column(k).take(at) for k in range(4))
+                yield pa.record_batch([host, pa.array(np.concatenate(prefixes)), page_id, page, content, pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32))], ["host", "prefix", "page_id", "page", "content", "pos", "size"])
 
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(host.alias("host"), "page_id", F.xxhash64("page_id", "html").alias("page"), "html")
-    kind = dict(rows.dtypes)["page_id"]
-    return rows.mapInArrow(run, f"host string, prefix bigint, page_id {kind}, page bigint, pos int")
+    rows = named_hosts(pages)
+    return rows.mapInArrow(run, f"host string, prefix bigint, page_id {dict(rows.dtypes)['page_id']}, page bigint, content bigint, pos int, size int")
+
+
+def n_pages(rows: DataFrame, *by: str) -> DataFrame:
+    """(*by, n): distinct pages, those of equal html or equal ids taken as one."""
+    one = rows.groupBy(*by, "content").agg(F.min("page_id").alias("low"))
+    return one.groupBy(*by).agg(F.count_distinct("low").alias("n"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, declared, n_removed) of every page."""
     stream = written(suffixes(pages), "suffixes")
-    repeated = stream.groupBy("host", "prefix").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).where("low <> high").select("host", "prefix")
-    covered = stream.where("pos >= 0").join(repeated, ["host", "prefix"]).groupBy("page").agg(F.collect_set("pos").alias("covered"))
+    hosts = n_pages(named_hosts(pages), "host").withColumnRenamed("n", "of")
+    repeated = n_pages(stream, "host", "prefix").where("n >= 2").join(hosts, "host").where(F.col("n") >= SHARE * F.col("of")).select("host", "prefix")
+    covered = stream.where("pos >= 0").join(repeated, ["host", "prefix"]).groupBy("page").agg(F.collect_set(F.struct("pos", "size")).alias("covered"))
     covered = written(covered, "covered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +205,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                 n = 0
                 if text is None:
                     words = [w for k, t in found if k == 0 for w in t.split(" ")]
-                    hide = {p + k for p in gone or () for k in range(DEPTH)}
+                    hide = {r["pos"] + k for r in gone or () for k in range(r["size"])}
                     n = len(hide)
                     text = " ".join(w for k, w in enumerate(words) if k not in hide)
                 texts.append(text)

@@ -355,6 +355,22 @@ def test_main_text_of_declared_and_undeclared_pages(spark):
     assert main_text.extracted(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_main_text_keeps_what_only_some_undeclared_pages_share(spark):
+    rng = random.Random(14)
+    phrases = [prose(rng, 8) for _ in range(5)]
+    shared, notice, footer = prose(rng, 40), prose(rng, 30), prose(rng, 7)
+    own = {i: f"{prose(rng, 30)} {rng.choice(phrases)} {prose(rng, 30)}" for i in range(60)}
+    own[1] = own[0].rsplit(" ", 2)[0] + " other end"  # near copy
+    for i in range(2, 12):  # a passage on fewer pages than the share
+        own[i] += " " + shared
+    rows = [(i, f"http://big.host/{i}", f"<p>{t}</p><p>start{i} {notice} end{i}</p><div>{footer}</div>") for i, t in own.items()]
+    rows += [(100 + i, f"http://big.host/{100 + i}", rows[20][2]) for i in range(30)]  # exact copies are one page
+    got = {r["page_id"]: r["text"] for r in main_text.extracted(pages(spark, rows)).collect()}
+    for i, t in own.items():
+        assert got[i] == f"{t} start{i} end{i}"
+    assert all(got[100 + i] == got[20] for i in range(30))
+
+
 def test_warc_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_ENTRIES", 3)
     long, other = "é" * 80, "z" * 200
