@@ -37,7 +37,7 @@ SHORT = 5
 SHARE = 0.3
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "noembed", "noframes", "xmp", "template", "svg", "math", "object", "canvas", "audio", "video", "select"}
 _APART = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
@@ -50,12 +50,16 @@ _WORDS = {
 _CLOSES_P = {"p", "div", "article", "section", "main", "ul", "ol", "li", "table", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "nav", "header", "footer", "aside", "form", "hr", "dl", "figure", "fieldset"}
 
 
+def _attributes(attributes: str) -> list[tuple[str, str]]:
+    """(name, value) of each attribute, both lower-cased; values are read whole, so no name is found inside one."""
+    return [(name.lower(), (a or b or c).lower()) for name, a, b, c in _ATTRIBUTE.findall(attributes)]
+
+
 def _set_apart(tag: str, attributes: str) -> bool:
     if tag in _APART:
         return True
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+    for name, value in _attributes(attributes):
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true":
             return True
         if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main") and not _WORDS.isdisjoint(re.split(r"[\s_-]+", value)):
             return True
@@ -128,7 +132,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             if depth is not None and all(o[0] == "p" or o[0] in _INLINE for o in open_[depth:]):
                 close(depth)
         hide = _set_apart(name, tag.group(3) or "")
-        kind = 2 if name == "article" else 1 if name == "main" or re.search(r"role\s*=\s*[\"']?main\b", tag.group(3) or "", re.I) else 0
+        kind = 2 if name == "article" else 1 if name == "main" or any(n == "role" and "main" in v.split() for n, v in _attributes(tag.group(3) or "")) else 0
         if name in ("body", "html"):
             continue
         open_.append((name, hide, kind))

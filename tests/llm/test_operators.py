@@ -371,6 +371,20 @@ def test_main_text_keeps_what_only_some_undeclared_pages_share(spark):
     assert all(got[100 + i] == got[20] for i in range(30))
 
 
+@pytest.mark.parametrize("attributes", [
+    'href="/hidden-gems"', 'style="overflow:hidden"', 'href="/p?id=comments"', "href=/p?id=comments", "title='class=ad hidden'",
+    'data-id="comments"', 'data-hidden', 'my-class="ad"', 'aria-hidden="false"', 'href="/a?role=main" title="a > hidden"',
+])
+def test_names_inside_attribute_values_set_nothing_apart(attributes):
+    assert main_text.blocks(f"<article><p>one</p><p {attributes}>two</p><a {attributes}>three</a></article>") == [(2, "one"), (2, "two"), (2, "three")]
+    assert main_text.article(main_text.blocks(f"<div {attributes}>own</div>")) is None
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'HIDDEN=""', "x=y hidden", "aria-hidden = 'true'", 'class="big ad"', "id=comments", "class='a'id='sidebar'", 'role="navigation"'])
+def test_attributes_that_set_apart(attributes):
+    assert main_text.article(main_text.blocks(f"<article><p>one</p><p {attributes}>two</p><p>three</p></article>")) == "one three"
+
+
 def test_warc_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_ENTRIES", 3)
     long, other = "é" * 80, "z" * 200
