@@ -84,20 +84,21 @@ def paragraph_texts(marked: Column) -> Column:
     return F.transform(pieces, text)
 
 
-def article_rows(pages: DataFrame, max_chars: int = MAX_ARTICLE_CHARS) -> DataFrame:
-    """(url, title, author, date, text, success) of every page, plus other columns."""
+def article_rows(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """(url, title, author, date, text, success) of every page, plus other columns; pages are read whole unless ``max_chars`` is given."""
     others = [c for c in pages.columns if c not in ("html", "url")]
-    capped = pages.withColumn("html", cap_html(F.col("html"), max_chars))
+    capped = pages if max_chars is None else pages.withColumn("html", cap_html(F.col("html"), max_chars))
     marked = with_head_fields(capped).withColumn("__marked", marked_paragraphs(F.col("html")))
     decoded = marked.withColumn("__marked", unescape(F.col("__marked")))
     long_enough = F.filter(paragraph_texts(F.col("__marked")), lambda p: F.length(p) > 50)
+    text = F.array_join(long_enough, "\n\n")
     return decoded.select(
         *others,
         "url",
         "title",
         "author",
         "date",
-        F.substring(F.array_join(long_enough, "\n\n"), 1, max_chars).alias("text"),
+        (text if max_chars is None else F.substring(text, 1, max_chars)).alias("text"),
         F.lit(True).alias("success"),
     )
 

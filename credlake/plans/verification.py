@@ -81,7 +81,7 @@ def claims_from_answers(requests: DataFrame) -> DataFrame:
     )
 
 
-def verify_pages(pages: DataFrame, results: DataFrame) -> DataFrame:
+def verify_pages(pages: DataFrame, results: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Raw pages to one verdict row per page: extraction, one claim per page, verdict.
 
     ``pages`` carries request_id, url, html and optionally error and message;
@@ -90,7 +90,7 @@ def verify_pages(pages: DataFrame, results: DataFrame) -> DataFrame:
     for name in ("error", "message"):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast("string"))
-    articles = materialize(pg.article_rows(pages), "articles")
+    articles = materialize(pg.article_rows(pages, max_chars), "articles")
     claims = articles.filter(F.col("text") != "").select(
         F.col("request_id").alias("claim_id"),
         "request_id",

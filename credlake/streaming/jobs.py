@@ -21,9 +21,9 @@ def read_files(spark: SparkSession, path: str, schema, file_format: str = "parqu
     )
 
 
-def score_articles(articles: DataFrame, space: FeatureSpace, model: LinearModel) -> DataFrame:
+def score_articles(articles: DataFrame, space: FeatureSpace, model: LinearModel, max_chars: int | None = None) -> DataFrame:
     """Score arriving articles; the same narrow plan as in batch, without state."""
-    return predict_batch(articles, space, model)
+    return predict_batch(articles, space, model, max_chars)
 
 
 def first_seen(articles: DataFrame, delay: str = "1 day", time: str = "ts", url: str = "url") -> DataFrame:

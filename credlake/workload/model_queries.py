@@ -216,7 +216,7 @@ PREDICTED = f"""
 @query("batch_predictions", PREDICTED)
 def batch_predictions(spark, sf):
     _, space, model = naive_bayes(spark, sf)
-    rows = prediction.predict_batch(articles_to_score(spark, sf), space, model)
+    rows = prediction.predict_batch(articles_to_score(spark, sf), space, model, max_chars=DEFAULTS.max_input_chars)
     return rows.select("doc_id", "prediction", "confidence", "confidence_level")
 
 
@@ -230,7 +230,7 @@ def batch_predictions(spark, sf):
 )
 def explained_predictions(spark, sf):
     _, space, model = naive_bayes(spark, sf)
-    rows = prediction.predict_explained(articles_to_score(spark, sf), space, model)
+    rows = prediction.predict_explained(articles_to_score(spark, sf), space, model, max_chars=DEFAULTS.max_input_chars)
     shown = F.transform("top_features", lambda s: F.concat(s["feature"], F.lit(":"), s["direction"]))
     return rows.select(
         "doc_id", "prediction", "confidence", "confidence_level", "is_calibrated_probability", "model",
@@ -247,7 +247,7 @@ def saved_model_predictions(spark, sf):
     path = f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
     store.save_model(spark, path, space, model)
     space, model = store.load_model(spark, path)
-    rows = prediction.predict_batch(articles_to_score(spark, sf), space, model)
+    rows = prediction.predict_batch(articles_to_score(spark, sf), space, model, max_chars=DEFAULTS.max_input_chars)
     return rows.select("doc_id", "prediction", "confidence", "confidence_level")
 
 

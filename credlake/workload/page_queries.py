@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from credlake.config import DEFAULTS
 from credlake.functions.cleaning import unescape
 from credlake.operators import pages as pg
 from credlake.operators.common import checkpoint_dir
@@ -67,7 +68,7 @@ BODY = f"""
                length(body) AS n_chars, md5(body) AS text_md5, true AS success FROM ({BODY})""",
 )
 def article_rows(spark, sf):
-    rows = pg.article_rows(v.table(spark, sf, "pages"))
+    rows = pg.article_rows(v.table(spark, sf, "pages"), max_chars=pg.MAX_ARTICLE_CHARS)
     return rows.select(
         "page_id", "url", "title", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), "success"
     )
@@ -117,7 +118,7 @@ def page_verdicts(spark, sf):
         F.floor(F.col("rank") / 5).alias("request_id"), F.lit(0).alias("query_no"), "rank", "url", "title",
         "snippet", "published_date", "score",
     )
-    return vp.verify_pages(raw, found).select(
+    return vp.verify_pages(raw, found, max_chars=pg.MAX_ARTICLE_CHARS).select(
         "request_id", "status", "failure", "verdict", F.round("confidence", 6).alias("confidence"), "evidence_strength"
     )
 
@@ -172,7 +173,7 @@ def streamed_predictions(spark, sf):
     base = f"{checkpoint_dir(spark)}/articles-{uuid.uuid4().hex}"
     articles_to_score(spark, sf).write.parquet(base)
     arriving = jobs.read_files(spark, base, articles_to_score(spark, sf).schema)
-    rows = _drain(jobs.score_articles(arriving, space, model), spark)
+    rows = _drain(jobs.score_articles(arriving, space, model, max_chars=DEFAULTS.max_input_chars), spark)
     return rows.select("doc_id", "prediction", "confidence", "confidence_level")
 
 

@@ -88,6 +88,22 @@ def test_streamed_scores_equal_batch(spark, tmp_path):
     assert sorted(got.collect()) == sorted(prediction.predict_batch(df, space, model).collect())
 
 
+def test_long_texts_are_read_whole_by_default(spark, tmp_path):
+    space = FeatureSpace(["bad", "good"], [1, 1], [1.0, 2.0], 2, [(0.0, 10.0)] * 9)
+    model = linear.LinearModel("LogisticRegression", [2.0, -2.0] + [0.0] * 9, -0.1)
+    df = spark.createDataFrame([(1, "good " + "filler " * 8000 + "bad " * 50)], "id int, text string")
+    df.write.parquet(str(tmp_path / "in"))
+    assert prediction.predict_batch(df, space, model).first()["prediction"] == "FAKE"
+    assert prediction.predict_explained(df, space, model).first()["prediction"] == "FAKE"
+    assert prediction.predict_batch(df, space, model, max_chars=50_000).first()["prediction"] == "REAL"
+    stream = jobs.score_articles(jobs.read_files(spark, str(tmp_path / "in"), df.schema), space, model)
+    assert drain(stream, spark, tmp_path).first()["prediction"] == "FAKE"
+    html = "<p>" + "x" * 60_000 + "</p><!--" + "c" * 500_000 + "--><p>" + "y" * 60 + "</p>"
+    page = spark.createDataFrame([("u", html)], "url string, html string")
+    assert pages.article_rows(page).first()["text"] == "x" * 60_000 + "\n\n" + "y" * 60
+    assert pages.article_rows(page, max_chars=50_000).first()["text"] == "x" * 50_000
+
+
 def test_first_seen_and_windows(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(start + dt.timedelta(minutes=10 * n), f"u{n % 4}", "verified" if n % 3 else "false") for n in range(60)] + [(start, "", "false")]
