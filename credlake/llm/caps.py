@@ -14,8 +14,8 @@ no task holds more than two parts, however many vectors resemble each other. Lin
 counted where they are found; only counts and the edges of a spanning forest of each
 comparison leave the task.
 
-Defined results: null, zero and not finite vectors, vectors of another length than the
-most frequent one's and rows of null label or id have no links and are their own component; equal vectors are
+Defined results: null, zero and not finite vectors and rows of null label or id have no links and
+are their own component; only vectors of one length are linked, each length with filters of its own; equal vectors are
 linked; repeated ids count as one vector; an empty table gives an empty table.
 """
 from __future__ import annotations
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,36 +140,39 @@ def _first_here(i: np.ndarray, j: np.ndarray, fx: list[np.ndarray], fy: list[np.
 def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
     """(vec_id, n_links) and spanning edges (a, b) of (vec_id, embedding, label)."""
     good = vectors.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).select("vec_id", "embedding", "label")
-    size = good.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    spark = vectors.sparkSession
-    if size is None:
-        return spark.createDataFrame([], "vec_id bigint, n_links bigint"), spark.createDataFrame([], "a bigint, b bigint")
-    size = size["size"]
-    good = good.where(F.size("embedding") == size).dropDuplicates(["vec_id"])
+    good = good.dropDuplicates(["vec_id"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = Filters(size)
+        filters: dict[int, Filters] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.record_batch([*part.columns, pa.array(filters.passed(matrix(part.column(1))), pa.list_(pa.int64()))], ["vec_id", "embedding", "label", "filters"])
+            sizes = pc.list_value_length(batch.column(1)).to_numpy()
+            for size in np.unique(sizes).tolist():
+                if size not in filters:
+                    filters[size] = Filters(size)
+                alike = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                for at in range(0, alike.num_rows, 512):
+                    part = alike.slice(at, 512)
+                    yield pa.record_batch([*part.columns, pa.array(np.full(part.num_rows, size), pa.int32()), pa.array(filters[size].passed(matrix(part.column(1))), pa.list_(pa.int64()))], ["vec_id", "embedding", "label", "size", "filters"])
 
     kind = dict(good.dtypes)
-    coded = written(good.mapInArrow(decode, f"vec_id {kind['vec_id']}, embedding {kind['embedding']}, label {kind['label']}, filters array<bigint>"), "caps")
-    keyed = coded.select("vec_id", "label", F.explode("filters").alias("filter"))
-    crowd = keyed.groupBy("label", "filter").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("parts", F.ceil(F.col("m") / PART).cast("int"))
-    inside = coded.select("vec_id", "embedding", "label", F.explode("filters").alias("filter")).join(crowd, ["label", "filter"])
+    coded = written(good.mapInArrow(decode, f"vec_id {kind['vec_id']}, embedding {kind['embedding']}, label {kind['label']}, size int, filters array<bigint>"), "caps")
+    keyed = coded.select("vec_id", "label", "size", F.explode("filters").alias("filter"))
+    crowd = keyed.groupBy("label", "size", "filter").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("parts", F.ceil(F.col("m") / PART).cast("int"))
+    inside = coded.select("vec_id", "embedding", "label", "size", F.explode("filters").alias("filter")).join(crowd, ["label", "size", "filter"])
     part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     other = F.sequence(F.lit(0), F.col("parts") - 1)
     dealt = inside.withColumn("part", part).withColumn("other", F.explode(other)).select(
-        "vec_id", "embedding", "filter", F.xxhash64("label", "filter", F.least("part", "other"), F.greatest("part", "other")).alias("cell"),
+        "vec_id", "embedding", "filter", F.xxhash64("label", "size", "filter", F.least("part", "other"), F.greatest("part", "other")).alias("cell"),
         F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("part") == F.col("other")).alias("own"),
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(size)
+        known: dict[int, Known] = {}
         for _, cell in grouped_runs(batches, "cell"):
             ids = cell.column("vec_id").to_numpy()
+            size = len(cell.column("embedding")[0])
+            if size not in known:
+                known[size] = Known(size)
             raw = matrix(cell.column("embedding"))
             x = raw / np.sqrt((raw * raw).sum(1))[:, None]
             at = cell.column("filter")[0].as_py()
@@ -184,7 +188,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
                 continue
             si, ii = np.unique(i, return_inverse=True)
             sj, jj = np.unique(j, return_inverse=True)
-            ii, jj = _first_here(ii, jj, known.of(ids[si], raw[si]), known.of(ids[sj], raw[sj]), at)
+            ii, jj = _first_here(ii, jj, known[size].of(ids[si], raw[si]), known[size].of(ids[sj], raw[sj]), at)
             i, j = si[ii], sj[jj]
             if not len(i):
                 continue

@@ -293,6 +293,14 @@ def test_spherical_caps_equal_brute_force(spark, clouds):
     assert len(got) == len(clouds) and caps.groups(vectors(spark, clouds).limit(0)).count() == 0
 
 
+def test_every_vector_length_is_linked(spark):
+    rng = np.random.default_rng(15)
+    base = {size: rng.normal(size=size) for size in (64, 48)}
+    rows = [(i, (base[size] + rng.normal(size=size) * 0.01).astype(np.float32).tolist(), 0, "x", 1) for i, size in enumerate([64] * 5 + [48] * 3)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in caps.groups(vectors(spark, rows)).collect()}
+    assert got == {i: (4, 0) if i < 5 else (2, 5) for i in range(8)}
+
+
 def test_spherical_caps_recall_at_the_threshold():
     rng = np.random.default_rng(7)
     x, z = rng.normal(size=(2, 400, 64))
