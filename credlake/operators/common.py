@@ -45,6 +45,23 @@ def first_by(df: DataFrame, keys: list[str | Column], order: list[str]) -> DataF
     return grouped.select("__row.*")
 
 
+def numbered(df: DataFrame, key: list[str], order: list[Column], name: str = "number") -> DataFrame:
+    """Add a row's number within its key, from 0, by ``order``.
+
+    Rows are range-partitioned by key and order and written so; counts per (key, range) give
+    each range's offset, and rows are ranked inside (key, range) only. A key that holds a
+    third of all rows so spans a third of the ranges. Keys aren't null.
+    """
+    ranged = df.repartitionByRange(*[F.col(k) for k in key], *order).withColumn("__range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")
+    counts = ranged.groupBy(*key, "__range").agg(F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*key, "__range", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*key, "__range").orderBy(*order)
+    placed = ranged.join(offsets, [*key, "__range"])
+    return placed.withColumn(name, F.col("__before") + F.row_number().over(inside) - 1).drop("__range", "__before")
+
+
 def paged(df: DataFrame, key: list[str], item: str, size: int) -> DataFrame:
     """Add ``page``: rows of a key in item order, ``size`` to a page, alike at every size."""
     order = Window.partitionBy(*key).orderBy(item)
