@@ -1,7 +1,6 @@
 """What the operators of this subpackage share: shared storage, hashing of words, components."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -11,23 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_ROOT: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it. Only where
-    the session has none (tests in one process) is a folder made and set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _LOCAL_ROOT:
-            _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="credlake-llm-"))
-        root = _LOCAL_ROOT[0]
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+from credlake.operators.common import checkpoint_dir
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new place in the folder all executors share; without ``spark.checkpoint.dir`` an error."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +32,28 @@ def written_narrow(df: DataFrame, name: str) -> DataFrame:
     return written(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), name)
 
 
+def dropped(df: DataFrame) -> None:
+    """Free a written table that no later step reads: an empty one takes its place."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+
+
+def with_group(df: DataFrame, keys: list[str], spread: Column, **aggregates: tuple[Callable, Column]) -> DataFrame:
+    """Every row of ``df`` with its group's aggregates, each given as (function, column).
+
+    The functions are their own merge (min, max, sum, bit_xor). Rows of a group are dealt by
+    ``spread`` into at most as many parts as there are shuffle partitions; parts are aggregated
+    before they meet, and get the group's values back one row a part, so that no group, however
+    large, is one task's. Keys aren't null.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    some = dealt.groupBy(*keys, "__part").agg(*[fn(column).alias(name) for name, (fn, column) in aggregates.items()])
+    whole = some.groupBy(*keys).agg(*[fn(F.col(name)).alias(name) for name, (fn, _) in aggregates.items()])
+    each = some.select(*keys, "__part").join(whole, keys)
+    return dealt.join(each, [*keys, "__part"]).drop("__part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -179,6 +189,9 @@ def seeds(n: int, salt: int) -> np.ndarray:
 
 # --- connected components ----------------------------------------------------------------
 
+#: More rounds than any graph needs that fits a cluster; an unfinished table is never returned.
+ROUNDS = 64
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every u has one v, and no v is a u: then each v is its component's smallest node."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
@@ -197,7 +210,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     spark = edges.sparkSession
     ids = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     current = written_narrow(ids, name)
-    for _ in range(64):
+    for _ in range(ROUNDS):
         if _stars(current):
             break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -207,6 +220,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         joined = large.join(lowest, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         current = written_narrow(small.where("u <> v").distinct(), name)
+    else:
+        raise RuntimeError(f"components are not complete after {ROUNDS} rounds")
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
