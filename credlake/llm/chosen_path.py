@@ -44,6 +44,13 @@ def set_key(hashes: np.ndarray) -> int:
     return int(mix64(np.sum(mix64(total) * _KEY, keepdims=True, dtype=np.uint64))[0].astype(np.int64))
 
 
+def set_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``set_key`` of the runs of hashes that begin at ``starts``."""
+    sizes = np.diff(np.append(starts, len(hashes))).astype(np.uint64)
+    total = np.stack([np.add.reduceat(mix64(hashes), starts), np.bitwise_xor.reduceat(hashes, starts) ^ (sizes * np.uint64(0x51ED2701))], axis=1)
+    return mix64(np.sum(mix64(total) * _KEY, axis=1, dtype=np.uint64)).astype(np.int64)
+
+
 def _sketch(signature: np.ndarray) -> np.ndarray:
     return (signature & np.uint32(0xFF)).astype(np.uint8)
 

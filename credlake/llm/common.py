@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,34 @@ def dropped(df: DataFrame) -> None:
         df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
 
 
+def free_name(taken: set[str], name: str) -> str:
+    """A column name that none of ``taken`` (lower case) has."""
+    while name in taken:
+        name += "_"
+    return name
+
+
+def kept_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], *columns: Column) -> DataFrame:
+    """The rows of ``df`` for which ``keep`` says so, in one pass and without a join.
+
+    ``keep`` gets batches of the given columns and returns a truth value a row; texts travel once, with their row.
+    """
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for n in range(len(columns)):
+        names.append(free_name(taken | set(names), f"input{n}"))
+    wide = df.select("*", *[c.alias(n) for c, n in zip(columns, names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.num_columns - len(names)
+            if batch.num_rows:
+                asked = pa.RecordBatch.from_arrays(batch.columns[at:], names=names)
+                yield pa.RecordBatch.from_arrays(batch.columns[:at], schema=pa.schema(list(batch.schema)[:at])).filter(pa.array(keep(asked)))
+
+    return wide.mapInArrow(run, df.schema)
+
+
 def with_group(df: DataFrame, keys: list[str], spread: Column, **aggregates: tuple[Callable, Column]) -> DataFrame:
     """Every row of ``df`` with its group's aggregates, each given as (function, column).
 
@@ -135,23 +164,41 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash per word of ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased.
+    """A 64-bit hash per word of ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased."""
+    return placed_words(text)[0]
+
+
+def placed_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word.
 
     One polynomial prefix sum over the bytes serves all words; each word's part of it is
     shifted back to position 0, so equal words hash alike anywhere.
     """
     raw = _LOWER[np.frombuffer(text, dtype=np.uint8)]
     if not len(raw):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     word = ~_SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def text_parts(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive texts of about ``most`` bytes together, one text at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def shingles_of(words: np.ndarray, size: int = 5) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from credlake.llm.common import crc32_mod
+from credlake.llm.common import crc32_mod, kept_rows
 
 UNKNOWN = "und"
 PER_LANGUAGE = 400
@@ -154,35 +154,54 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(languages, code, weights.astype(np.float32), bias.astype(np.float32), trust / trust.sum() * 4)
 
 
+def _told(m: Model, texts: pa.Array, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, scores and ambiguity of some texts."""
+    names = np.full(len(texts), UNKNOWN, dtype=object)
+    score, flag = np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
+    texts = pc.cast(texts, pa.binary())
+    at = np.flatnonzero(usable) if m.languages else np.empty(0, int)
+    for part in np.array_split(at, max(1, len(at) // 512)):
+        if len(part):
+            x = np.sqrt(np.stack([features(texts[int(i)].as_py()) for i in part]).astype(np.float32))
+            best, p, gap = m.decode(x)
+            names[part] = np.array(m.languages, dtype=object)[best]
+            score[part], flag[part] = p, gap < AMBIGUOUS_BELOW
+    return names, score, flag
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) for every row of (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            usable = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            names = np.full(batch.num_rows, UNKNOWN, dtype=object)
-            score, flag = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=bool)
-            texts = pc.cast(batch.column(1), pa.binary())
-            at = np.flatnonzero(usable) if m.languages else np.empty(0, int)
-            for part in np.array_split(at, max(1, len(at) // 512)):
-                if len(part):
-                    x = np.sqrt(np.stack([features(texts[int(i)].as_py()) for i in part]).astype(np.float32))
-                    best, p, gap = m.decode(x)
-                    names[part] = np.array(m.languages, dtype=object)[best]
-                    score[part], flag[part] = p, gap < AMBIGUOUS_BELOW
+            names, score, flag = _told(shared.value, batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
             yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(flag)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     rows = docs.select("doc_id", "text", has_letter(F.col("text")).alias("usable"))
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, ambiguous boolean")
 
 
+def told(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` whose language can be told: not ``und``, and not both ambiguous and below ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        names, score, flag = _told(shared.value, batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool))
+        return (names != UNKNOWN) & ~(flag & (score < least))
+
+    return kept_rows(docs, keep, F.col("text"), has_letter(F.col("text")))
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
 def identify(docs: DataFrame, train: DataFrame | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Fit on ``train`` (by default the rows of ``docs`` whose crc32 of the id is not 0 modulo 5) and predict every row."""
-    learn = docs.where(crc32_mod("doc_id", 5) != 0) if train is None else train
-    return predict(docs, fit(learn, per_language))
+    return predict(docs, fit(learnable(docs) if train is None else train, per_language))
+
+
+def learnable(docs: DataFrame) -> DataFrame:
+    """The rows that may be learned from: the crc32 of their id is not 0 modulo 5."""
+    return docs.where(crc32_mod("doc_id", 5) != 0)

@@ -1,39 +1,40 @@
 """Removal of text that repeats across documents: paragraph MinHash banding, and passages inside paragraphs.
 
-Paragraphs are lines of at least ``MIN_WORDS`` words. Bands of minwise hashes are tuned to
+Paragraphs are lines of at least ``min_words`` words. Bands of minwise hashes are tuned to
 the longest that find a pair of similarity 0.75 with ``RECALL``; paragraphs that collide in a
 band are joined (crowded bands are told apart by further tokens), exact Jaccard similarity of
-their 5-word shingles decides, and components of similar paragraphs are clusters. A passage
-set into other paragraphs has no line of its own, so all runs of ``WINDOW`` words are compared
-too. Each run names the least hash among its ``GRAM``-word grams, a rule of the words alone,
-so equal runs name the same gram; only runs whose gram stands in a second document are
-hashed whole, and equal hashes decide. Runs with fewer than ``MIN_DIFFERENT`` different words
-are no evidence.
+their 5-word shingles decides, and components of similar paragraphs are clusters. Of a cluster the
+document with the smallest id keeps its paragraph; in every other document it is cut out.
 
-Of a cluster or a run the document with the smallest id keeps its text; in every other
-document the paragraph or the run is cut out, and overlapping runs add up to whole passages.
+A passage set into other paragraphs has no line of its own, so all runs of ``WINDOW`` words of what the first
+step leaves are compared too. Each run names the least hash among its ``GRAM``-word grams, a rule of the words alone,
+so equal runs name the same gram. Grams are aggregated to the smallest and largest id that hold them as
+they leave the scan, and only keys of two documents are written; runs that name one of those are
+hashed whole, and equal hashes decide. The smallest id keeps the run, overlapping runs add up to whole passages. Runs with fewer than
+``MIN_DIFFERENT`` different words are no evidence.
 
 Defined results: null and empty texts stay as they are; a row without an id is never cut and
 never makes others be cut; repeats inside one document, and so repeated rows, are kept; a document whose every paragraph
 repeats is left with an empty text; an empty table gives an empty table; all columns of the
-input come back.
+input come back under their names, and the two counts join them (a column of the input that has a
+count's name gives way to it).
 """
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from credlake.llm import chosen_path
-from credlake.llm.common import minwise, mix64, seeds, shingles_of, word_hashes, written, written_narrow
+from credlake.llm.common import dropped, free_name, minwise, mix64, placed_words, seeds, shingles_of, text_parts, written, written_narrow
 
 MIN_WORDS = 20
 RECALL = 0.999
@@ -82,75 +83,112 @@ def named_grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, (np.arange(n) + at)[starts], least[starts]
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, key, n, sig): paragraphs by line number; named grams have no sig, and pos is their word number."""
+class Texts:
+    """Some texts hashed together: their words, and the text and line that each belongs to."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(t) for t in texts]) + 1
+        joined = b"\n".join(texts)
+        self.words, starts = placed_words(joined)
+        breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+        begins = np.cumsum(sizes) - sizes
+        self.owner = np.searchsorted(begins, starts, "right") - 1
+        self.line = np.searchsorted(breaks, starts)
+        self.first_line = np.searchsorted(breaks, begins)
+
+    def paragraphs(self, min_words: int, by: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, line of it, key, size, minwise hashes) of the lines of ``min_words`` words and more."""
+        n = len(self.words)
+        edges = np.flatnonzero(np.diff(self.line, prepend=-1))
+        lengths = np.diff(np.append(edges, n))
+        long = np.repeat(lengths >= min_words, lengths)
+        left = np.repeat(edges + lengths, lengths) - np.arange(n)  # words from here to the line's end
+        short = lengths < 5
+        hashes = np.empty(n, np.uint64)
+        full = np.flatnonzero(long & (left >= 5))
+        if len(full):
+            hashes[full] = shingles_of(self.words)[full]
+        at = full
+        if min_words < 5:
+            few = np.flatnonzero(short & (lengths >= min_words))
+            for e, m in zip(edges[few], lengths[few]):
+                hashes[e] = shingles_of(self.words[e : e + m])[0]
+            at = np.sort(np.concatenate([full, edges[few]]))
+        if not len(at):
+            return (np.empty(0, np.int64),) * 4 + (np.empty((0, len(by)), np.uint32),)
+        order = np.lexsort((hashes[at], self.line[at]))
+        line, value = self.line[at][order], hashes[at][order]
+        new = np.ones(len(line), dtype=bool)
+        new[1:] = (line[1:] != line[:-1]) | (value[1:] != value[:-1])
+        line, value = line[new], value[new]
+        starts = np.flatnonzero(np.diff(line, prepend=-1))
+        offsets = np.append(starts, len(value))
+        number = line[starts]
+        owner = np.searchsorted(self.first_line, number, "right") - 1
+        return owner, number - self.first_line[owner], chosen_path.set_keys(value, starts), np.diff(offsets), minwise(value, offsets, by)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word in it, word number, gram's word number, gram's hash) of the runs that are evidence."""
+        starts, grams, keys = named_grams(self.words)
+        whole = self.owner[starts] == self.owner[starts + WINDOW - 1] if len(starts) else np.empty(0, bool)
+        starts, grams, keys = starts[whole], grams[whole], keys[whole]
+        begins = np.searchsorted(self.owner, np.arange(self.owner[-1] + 1 if len(self.owner) else 0))
+        owner = self.owner[starts]
+        return owner, starts - begins[owner] if len(starts) else starts, starts, grams, keys
+
+
+def _scanned(docs: DataFrame, schema: str, fn: Callable[[Texts, pa.RecordBatch, int, int], pa.RecordBatch | None]) -> DataFrame:
+    """What ``fn`` gives for parts of the texts of (doc_id, text, …); rows without id or text are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = seeds(HASHES, 2)
         for batch in batches:
             texts = pc.cast(batch.column(1), pa.binary())
-            for at in range(0, len(texts), 128):
-                owner, pos, keys, sizes, sigs = [], [], [], [], []
-                f_owner, f_pos, f_key = [], [], []
-                for i, value in enumerate(texts[at : at + 128]):
-                    text = value.as_py()
-                    if not text:
-                        continue
-                    sets = []
-                    every = []
-                    for line, raw in enumerate(text.split(b"\n")):
-                        words = word_hashes(raw)
-                        every.append(words)
-                        if len(words) >= MIN_WORDS:
-                            sets.append(np.unique(shingles_of(words)))
-                            pos.append(line)
-                            owner.append(at + i)
-                    if sets:
-                        sig = minwise(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), chosen)
-                        keys += [chosen_path.set_key(s) for s in sets]
-                        sizes += [len(s) for s in sets]
-                        sigs += [s.astype("<u4").tobytes() for s in sig]
-                    words = np.concatenate(every)
-                    _, grams, named = named_grams(words)
-                    grams, once = np.unique(grams, return_index=True)
-                    f_owner.append(np.full(len(grams), at + i))
-                    f_pos.append(grams)
-                    f_key.append(named[once].astype(np.int64))
-                ids = batch.column(0)
-                yield pa.record_batch([ids.take(pa.array(owner, pa.int64())), pa.array(pos, pa.int32()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "pos", "key", "n", "sig"])
-                if f_owner:
-                    o = np.concatenate(f_owner)
-                    yield pa.record_batch([ids.take(pa.array(o)), pa.array(np.concatenate(f_pos).astype(np.int32)), pa.array(np.concatenate(f_key)), pa.nulls(len(o), pa.int64()), pa.nulls(len(o), pa.binary())], ["doc_id", "pos", "key", "n", "sig"])
-
-    rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, pos int, key bigint, n bigint, sig binary")
-
-
-def runs_at(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """(doc_id, pos, key): first word and hash of every run that names one of ``grams`` (doc_id, pos)."""
+            for a, b in text_parts(texts):
+                out = fn(Texts(texts.slice(a, b - a).to_pylist()), batch, a, b)
+                if out is not None and out.num_rows:
+                    yield out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, wanted = pc.cast(batch.column(1), pa.binary()), batch.column(2)
-            for at in range(0, len(texts), 128):
-                owner, pos, keys = [], [], []
-                for i in range(at, min(at + 128, len(texts))):
-                    words = word_hashes(texts[i].as_py())
-                    starts, named, _ = named_grams(words)
-                    marked = np.zeros(len(words) + 1, dtype=bool)
-                    places = wanted[i].values.to_numpy()
-                    marked[places[places < len(words)]] = True
-                    starts = starts[marked[named]]
-                    if len(starts):
-                        owner.append(np.full(len(starts), i))
-                        pos.append(starts)
-                        keys.append(hashed_runs(words, WINDOW)[starts])
-                if owner:
-                    yield pa.record_batch([batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(keys).astype(np.int64))], ["doc_id", "pos", "key"])
-
-    marks = grams.groupBy("doc_id").agg(F.collect_set("pos").alias("__grams"))
-    rows = docs.select("doc_id", "text").where("text is not null").join(marks, "doc_id")
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, pos int, key bigint")
+    return docs.where("doc_id is not null and text is not null").mapInArrow(run, schema)
+
+
+def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, pos, key, n, sig): paragraphs by line number, with their set's name, size and minwise hashes."""
+    by = seeds(HASHES, 2)
+
+    def rows(some: Texts, batch: pa.RecordBatch, a: int, b: int) -> pa.RecordBatch:
+        owner, line, keys, sizes, sigs = some.paragraphs(min_words, by)
+        packed = [s.tobytes() for s in sigs.astype("<u4")]
+        return pa.record_batch([batch.column(0).take(pa.array(owner + a)), pa.array(line.astype(np.int32)), pa.array(keys), pa.array(sizes.astype(np.int64)), pa.array(packed, pa.binary())], ["doc_id", "pos", "key", "n", "sig"])
+
+    return _scanned(docs.select("doc_id", "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, pos int, key bigint, n bigint, sig binary", rows)
+
+
+def grams(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, key): the grams that a document's runs name, by the word they begin with."""
+
+    def rows(some: Texts, batch: pa.RecordBatch, a: int, b: int) -> pa.RecordBatch:
+        owner, first, starts, named, keys = some.runs()
+        _, once = np.unique(named, return_index=True)
+        at = (first + named - starts)[once]
+        return pa.record_batch([batch.column(0).take(pa.array(owner[once] + a)), pa.array(at.astype(np.int32)), pa.array(keys[once].astype(np.int64))], ["doc_id", "pos", "key"])
+
+    return _scanned(docs.select("doc_id", "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, pos int, key bigint", rows)
+
+
+def runs_at(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(doc_id, pos, key): first word and hash of every run that names one of the grams ``marked`` (doc_id, pos)."""
+
+    def rows(some: Texts, batch: pa.RecordBatch, a: int, b: int) -> pa.RecordBatch:
+        owner, first, starts, named, _ = some.runs()
+        wanted = batch.column(2).slice(a, b - a)
+        places, sizes = wanted.flatten().to_numpy(), wanted.value_lengths().to_numpy()
+        owner_of = np.repeat(np.arange(b - a), sizes)
+        hit = np.isin(owner.astype(np.int64) << 32 | (first + named - starts), owner_of.astype(np.int64) << 32 | places)
+        whole = hashed_runs(some.words, WINDOW)[starts[hit]] if hit.any() else np.empty(0, np.uint64)
+        return pa.record_batch([batch.column(0).take(pa.array(owner[hit] + a)), pa.array(first[hit].astype(np.int32)), pa.array(whole.astype(np.int64))], ["doc_id", "pos", "key"])
+
+    marks = marked.groupBy("doc_id").agg(F.collect_set("pos").alias("__grams"))
+    return _scanned(docs.select("doc_id", "text").join(marks, "doc_id"), f"doc_id {dict(docs.dtypes)['doc_id']}, pos int, key bigint", rows)
 
 
 def held_twice(runs: DataFrame) -> DataFrame:
@@ -158,10 +196,9 @@ def held_twice(runs: DataFrame) -> DataFrame:
     return runs.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("key", "first")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, lines array<int>, runs array<int>): line numbers and first word numbers of what a smaller id holds too."""
-    found = written(paragraphs(docs), "paragraphs")
-    lines, prints = found.where("sig is not null"), found.where("sig is null")
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, lines array<int>): numbers of the lines whose cluster a smaller id holds too."""
+    lines = written(paragraphs(docs, min_words), "paragraphs")
     holder = written(lines.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig")).select("key", "at.doc_id", "at.pos", "n", "sig"), "holders")
     items = holder.select("key", "n", "sig")
 
@@ -175,14 +212,31 @@ def repeats(docs: DataFrame) -> DataFrame:
     cluster = written_narrow(cluster, "clusters")
     first = cluster.groupBy("cluster").agg(F.min("doc_id").alias("first"))
     owner = cluster.join(first, "cluster").select("key", "first")
-    cut_lines = lines.select("doc_id", "pos", "key").join(owner, "key").where("doc_id <> first").select("doc_id", "pos", F.lit(True).alias("line"))
-    grams = prints.select("doc_id", "pos", "key")
-    runs = written(runs_at(docs, grams.join(held_twice(grams), "key")), "runs")
-    cut_runs = runs.join(held_twice(runs), "key").where("doc_id <> first").select("doc_id", "pos", F.lit(False).alias("line"))
-    return (
-        cut_lines.unionByName(cut_runs).groupBy("doc_id")
-        .agg(F.collect_set(F.when(F.col("line"), F.col("pos"))).alias("lines"), F.collect_set(F.when(~F.col("line"), F.col("pos"))).alias("runs"))
-    )
+    cut_lines = lines.select("doc_id", "pos", "key").join(owner, "key").where("doc_id <> first")
+    marks = written(cut_lines.groupBy("doc_id").agg(F.collect_set("pos").alias("lines")), "cut-lines")
+    for table in (lines, holder):
+        dropped(table)
+    return marks
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, runs array<int>): first word numbers of the runs that a smaller id holds too."""
+    named = grams(docs)
+    shared = written(held_twice(named.select("doc_id", "key")).select("key"), "shared-grams")
+    marked = written(named.join(shared, "key", "left_semi").select("doc_id", "pos"), "marked-grams")
+    runs = written(runs_at(docs, marked), "runs")
+    marks = written(runs.join(held_twice(runs), "key").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("pos").alias("runs")), "cut-runs")
+    for table in (shared, marked, runs):
+        dropped(table)
+    return marks
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, lines array<int>, runs array<int>): line numbers and first word numbers of what a smaller id
+    holds too, both counted in the whole texts (the removal counts runs in what its lines leave)."""
+    none = F.array().cast("array<int>")
+    both = repeated_lines(docs, min_words).join(repeated_runs(docs), "doc_id", "full")
+    return both.select("doc_id", F.coalesce("lines", none).alias("lines"), F.coalesce("runs", none).alias("runs"))
 
 
 def cut(text: str, lines: list[int], runs: list[int]) -> str:
@@ -215,16 +269,25 @@ def cut(text: str, lines: list[int], runs: list[int]) -> str:
     return "\n".join(out)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``docs``, with repeated text cut, and n_cut_lines, n_cut_runs."""
-    marks = written(repeats(docs), "repeats").withColumnsRenamed({"lines": "__lines", "runs": "__runs"})
+    taken = {c.lower() for c in docs.columns}
+    columns = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_cut_lines", "n_cut_runs")])
+    id_, mark = free_name(taken, "id"), free_name(taken, "mark")
 
     @F.pandas_udf(StringType())
     def shortened(text: pd.Series, lines: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or li is None else cut(t, list(li), list(ru)) for t, li, ru in zip(text, lines, runs)], dtype=object)
-
-    joined = docs.join(marks, "doc_id", "left")
-    return joined.select(
-        *[shortened("text", "__lines", "__runs").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size("__lines"), F.lit(0)).alias("n_cut_lines"), F.coalesce(F.size("__runs"), F.lit(0)).alias("n_cut_runs"),
-    )
+        marks = ((() if li is None else li, () if ru is None else ru) for li, ru in zip(lines, runs))
+        return pd.Series([t if t is None or not len(li) + len(ru) else cut(t, list(li), list(ru)) for t, (li, ru) in zip(text, marks)], dtype=object)
+
+    def without(rows: DataFrame, marks: DataFrame, lines: Column, runs: Column, name: str) -> DataFrame:
+        """Rows with marked text cut, and how many marks there were as ``name``."""
+        marks = marks.select(F.col("doc_id").alias(id_), F.struct(lines.alias("lines"), runs.alias("runs")).alias(mark))
+        joined = rows.join(marks, F.col("doc_id") == F.col(id_), "left")
+        got = F.coalesce(F.size(f"{mark}.lines"), F.lit(0)) + F.coalesce(F.size(f"{mark}.runs"), F.lit(0))
+        text = shortened("text", f"{mark}.lines", f"{mark}.runs")
+        return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in rows.columns], got.alias(name))
+
+    none = F.array().cast("array<int>")
+    rest = written(without(columns, repeated_lines(columns, min_words), F.col("lines"), none, "n_cut_lines"), "lines-cut")
+    return without(rest, repeated_runs(rest), none, F.col("runs"), "n_cut_runs")

@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credlake.llm.common import crc32_mod
+from credlake.llm.common import crc32_mod, kept_rows
 
 MAX_TRAINING = 40_000
 STEM_LENGTHS = (4, 5, 6, 7)
@@ -194,8 +194,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING) -> Gram
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tox, clean = Counter(), Counter()
-            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                (tox if label else clean).update(counted_stems(text))
+            for text, label in zip(batch.column(1), batch.column(2).to_pylist()):
+                (tox if label else clean).update(counted_stems(text.as_py()))
             keys = list({*tox, *clean})
             yield pa.record_batch([pa.array(keys, pa.string()), pa.array([tox[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["stem", "toxic", "clean"])
 
@@ -222,7 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING) -> Gram
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [shared.value.evidence(t).tolist() for t in batch.column(0).to_pylist()]
+            values = [shared.value.evidence(t.as_py()).tolist() for t in batch.column(0)]
             yield pa.record_batch([pa.array(values, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
     got = rows.select("text", "toxic").mapInArrow(evidence, "x array<double>, toxic int").groupBy("x", "toxic").count().toArrow()
@@ -242,8 +242,8 @@ def _contexts(rows: DataFrame, stems: set[str]) -> dict[str, int]:
         wanted = shared.value
         for batch in batches:
             seen = set()
-            for text in batch.column(0).to_pylist():
-                words = ["", *_WORD.findall(text.lower()), ""]
+            for value in batch.column(0):
+                words = ["", *_WORD.findall(value.as_py().lower()), ""]
                 for i in range(1, len(words) - 1):
                     w = words[i]
                     for stem in ("=" + w, *(w[:n] for n in STEM_LENGTHS if n < len(w))):
@@ -291,6 +291,17 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, n_matches int")
 
 
+def below(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        g = shared.value
+        return np.array([g.score(g.evidence(value.as_py())) < threshold for value in batch.column(0)], dtype=bool)
+
+    return kept_rows(docs, keep, F.col("text"))
+
+
 def matched_clauses(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """(doc_id, begin, end, pattern, weight, clause) of every match."""
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
