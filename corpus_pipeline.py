@@ -1,7 +1,12 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes every stage's
-table to the shared folder and gives it, read again, to the next stage.
+table to the shared folder and gives it, read again, to the next stage; a stage's table makes
+way once its successor's is written.
+
+Defined results: null, empty and wordless texts have no language and go in the first stage; a
+null id is judged by its text and never a duplicate; rows that repeat an id and text stay
+together; extra columns come through all stages but the last; an empty table gives an empty table.
 """
 from __future__ import annotations
 
@@ -9,31 +14,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credlake.llm import language, minhash, packing, passages, toxicity
-from credlake.llm.common import crc32_mod, table, written
-
-
-def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``kept``; rows without an id aren't judged and stay."""
-    ids = kept.select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+from credlake.llm.common import crc32_mod, dropped, free_name, table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without letters, or as near to two codewords, go."""
-    found = written(language.identify(docs), "language")
-    return only(docs, found.where((F.col("lang_pred") != language.UNKNOWN) & ~(F.col("ambiguous") & (F.col("score") < 0.4))))
+    return language.told(docs, language.fit(language.learnable(docs)))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold."""
     labels = table(spark, sf_dir, "labels").where(crc32_mod("doc_id", 4) != 2)
-    found = written(toxicity.score(docs, toxicity.learn(docs, labels)), "toxicity")
-    return only(docs, found.where(F.col("score") < toxicity.THRESHOLD))
+    return toxicity.below(docs, toxicity.learn(docs, labels))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate group (rows that repeat its id are the same document and stay with it)."""
-    return only(docs, minhash.groups(docs).where("kept"))
+    """One document of every near-duplicate group (rows that repeat its id are the same document and stay with it).
+
+    Only the ids of what goes travel to the documents; rows without an id stay.
+    """
+    found = minhash.groups(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = free_name({c.lower() for c in docs.columns}, "gone")
+    ids = found.where("not kept").select(F.col("doc_id").alias(gone))
+    return docs.join(ids, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +57,15 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: Trained models, minwise hashes and tokenizers have no SQL form; tests/llm holds the stages against brute force.
+#: Trained models, minwise hashes and tokenizers have no SQL form; tests/llm holds a run against its stages one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
