@@ -6,17 +6,16 @@ plans as a literal.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credlake.config import DEFAULTS, Settings
 from credlake.functions.text import confidence_level, decode_label
+from credlake.operators import shards
+from credlake.operators.shards import Config
 from credlake.operators.vectorize import FeatureSpace, double_array, string_array
 
 # Fixed value: the note shown with every explained prediction.
@@ -109,59 +108,29 @@ def fit_naive_bayes_folds(
     }
 
 
-def with_class_weight(train: DataFrame, class_weight: str | None) -> DataFrame:
-    """Add ``weight``: 1, or n / (2 * rows of the class) when balanced."""
-    if class_weight != "balanced":
-        return train.withColumn("weight", F.lit(1.0))
-    counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-    n = sum(counts.values())
-    pairs = [F.lit(x) for label, c in counts.items() for x in (label, n / (len(counts) * c))]
-    return train.withColumn("weight", F.create_map(*pairs)[F.col("label")])
+def _model(name: str, weights: np.ndarray, params: dict) -> LinearModel:
+    return LinearModel(name, weights[:-1].tolist(), float(weights[-1]), params)
 
 
-def fit_logistic_regression(
-    train: DataFrame,
-    n_rows: int,
-    C: float = 1.0,
-    class_weight: str | None = None,
-    max_iter: int = 2000,
-    **_ignored,
-) -> LinearModel:
-    """L2 logistic regression. The loss here is a weighted mean plus regParam, so a
-    penalty of 1/C on the summed loss is regParam = 1 / (C n)."""
-    estimator = LogisticRegression(
-        labelCol="label",
-        featuresCol="features",
-        weightCol="weight",
-        regParam=1.0 / (C * n_rows),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-    )
-    model = estimator.fit(with_class_weight(train, class_weight))
-    params = {"C": C, "class_weight": class_weight}
-    return LinearModel("LogisticRegression", model.coefficients.toArray().tolist(), float(model.intercept), params)
+def fit_logistic_regression(train: DataFrame, space: FeatureSpace, C: float = 1.0, class_weight: str | None = None, max_iter: int = 2000, **_ignored) -> LinearModel:
+    """L2 logistic regression: C times the summed loss plus half the squared weights, constant not penalised."""
+    found = shards.fit_smooth(shards.sharded(train, space.size), "logistic", [Config(C, class_weight)], max_iter)
+    return _model("LogisticRegression", found[0], {"C": C, "class_weight": class_weight})
 
 
-def fit_linear_svc(
-    train: DataFrame,
-    n_rows: int,
-    C: float = 1.0,
-    class_weight: str | None = None,
-    max_iter: int = 5000,
-) -> LinearModel:
-    """Linear support vector classifier (hinge loss)."""
-    estimator = LinearSVC(
-        labelCol="label",
-        featuresCol="features",
-        weightCol="weight",
-        regParam=1.0 / (C * n_rows),
-        standardization=False,
-        maxIter=max_iter,
-    )
-    model = estimator.fit(with_class_weight(train, class_weight))
-    params = {"C": C, "class_weight": class_weight}
-    return LinearModel("LinearSVC", model.coefficients.toArray().tolist(), float(model.intercept), params)
+def fit_linear_svc(train: DataFrame, space: FeatureSpace, C: float = 1.0, class_weight: str | None = None, max_iter: int = 5000) -> LinearModel:
+    """Linear support vector classifier: squared hinge loss, the constant penalised like a weight."""
+    found = shards.fit_smooth(shards.sharded(train, space.size), "squared_hinge", [Config(C, class_weight)], max_iter)
+    return _model("LinearSVC", found[0], {"C": C, "class_weight": class_weight})
+
+
+def fit_smooth_folds(name: str, train: DataFrame, space: FeatureSpace, sets: list[dict], folds: int) -> dict[tuple[int, int], LinearModel]:
+    """Models by (fold, position of the parameter set), fitted without the fold, all in the same passes."""
+    loss = "logistic" if name == "LogisticRegression" else "squared_hinge"
+    keys = [(fold, n) for n in range(len(sets)) for fold in range(folds)]
+    configs = [Config(sets[n]["C"], sets[n].get("class_weight"), fold) for fold, n in keys]
+    found = shards.fit_smooth(shards.sharded(train, space.size), loss, configs)
+    return {key: _model(name, weights, sets[key[1]]) for key, weights in zip(keys, found)}
 
 
 def fit_passive_aggressive(
@@ -180,74 +149,10 @@ def fit_passive_aggressive_many(
     patience: int = 5,
     seed: int = DEFAULTS.seed,
 ) -> list[LinearModel]:
-    """Passive-aggressive (PA-I) models by iterative parameter mixing, several at once.
-
-    A config is (C, fold left out or none). Each epoch every partition updates its own
-    copies of all weight vectors in one reading of its rows, and the copies are
-    averaged in Spark, weighted by rows; so a whole cross-validated grid costs as many
-    jobs as one model. A model stops when its mean loss has not improved by ``tol`` for
-    ``patience`` epochs, or at ``max_iter``.
-    """
-    size, k = space.size, len(configs)
-    weights, bias = np.zeros((k, size)), np.zeros(k)
-    steps = np.array([c for c, _ in configs])
-    skipped = np.array([-1 if fold is None else fold for _, fold in configs])
-    best, stale = np.full(k, np.inf), np.zeros(k, dtype=int)
-    rows_in = train.select(
-        "idx", "val", "label", (F.col("fold") if "fold" in train.columns else F.lit(0)).alias("fold")
-    )
-    for epoch in range(max_iter):
-        active = stale < patience
-        if not active.any():
-            break
-        state = train.sparkSession.sparkContext.broadcast((weights, bias, active))
-
-        def run(batches: Iterator[pd.DataFrame], state=state, epoch=epoch) -> Iterator[pd.DataFrame]:
-            start, start_bias, live = state.value
-            w, b = start.copy(), start_bias.copy()
-            rows, loss = np.zeros(k, dtype=np.int64), np.zeros(k)
-            rng = np.random.default_rng(seed + epoch)
-            for batch in batches:
-                for r in rng.permutation(len(batch)):
-                    use = np.flatnonzero(live & (skipped != batch["fold"].iloc[r]))
-                    i = np.asarray(batch["idx"].iloc[r])
-                    v = np.asarray(batch["val"].iloc[r])
-                    y = 1.0 if batch["label"].iloc[r] == 1 else -1.0
-                    cells = np.ix_(use, i)
-                    miss = np.maximum(0.0, 1.0 - y * (w[cells] @ v + b[use]))
-                    step = y * np.minimum(steps[use], miss / (float(v @ v) + 1.0))
-                    w[cells] += np.outer(step, v)
-                    b[use] += step
-                    rows[use] += 1
-                    loss[use] += miss
-            seen = np.flatnonzero(rows)
-            if len(seen):
-                yield pd.DataFrame(
-                    {
-                        "model": seen,
-                        "rows": rows[seen],
-                        "w": [np.concatenate([w[m], [b[m], loss[m] / rows[m]]]) for m in seen],
-                    }
-                )
-
-        parts = rows_in.mapInPandas(run, "model int, rows long, w array<double>")
-        mixed = (
-            parts.select("model", "rows", F.posexplode("w").alias("i", "x"))
-            .groupBy("model", "i")
-            .agg((F.sum(F.col("x") * F.col("rows")) / F.sum("rows")).alias("x"))
-            .toPandas()
-        )
-        state.unpersist()
-        values = np.concatenate([weights, bias[:, None], best[:, None]], axis=1)
-        values[mixed["model"], mixed["i"]] = mixed["x"]
-        loss = values[:, size + 1]
-        weights, bias = values[:, :size], values[:, size]
-        stale = np.where(active & (loss <= best - tol), 0, stale + 1)
-        best = np.minimum(best, loss)
-    return [
-        LinearModel("PassiveAggressiveClassifier", weights[m].tolist(), float(bias[m]), {"C": c, "max_iter": max_iter})
-        for m, (c, _) in enumerate(configs)
-    ]
+    """Passive-aggressive (PA-I) models, several at once; a config is (C, fold left out or none)."""
+    asked = [Config(c, None, -1 if fold is None else fold) for c, fold in configs]
+    found = shards.fit_passive_aggressive(shards.sharded(train, space.size), asked, max_iter, tol, patience, seed)
+    return [_model("PassiveAggressiveClassifier", w, {"C": c, "max_iter": max_iter}) for (c, _), w in zip(configs, found)]
 
 
 # ---- scoring ----------------------------------------------------------------

@@ -7,9 +7,6 @@ from dataclasses import dataclass
 from itertools import product
 
 import pyspark
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,38 +76,10 @@ def _best_by_folds(train: DataFrame, models: dict, size: int) -> int:
     return means.orderBy(F.desc("f1"), "key").first()["key"]
 
 
-def _tune_ml(name: str, train: DataFrame, n_rows: int, sets: list[dict], settings: Settings) -> dict:
-    """Cross-validated search with the ML tuner, one run per class weight (the weight
-    is a column of the data, not a parameter of the estimator)."""
-    evaluator = MulticlassClassificationEvaluator(
-        labelCol="label", predictionCol="prediction", metricName="fMeasureByLabel", metricLabel=1.0
-    )
-    fit_rows = n_rows * (settings.cv_folds - 1) / settings.cv_folds
-    best, best_f1 = sets[0], -1.0
-    for class_weight in dict.fromkeys(s.get("class_weight") for s in sets):
-        chosen = [s for s in sets if s.get("class_weight") == class_weight]
-        make = LogisticRegression if name == "LogisticRegression" else LinearSVC
-        estimator = make(
-            labelCol="label", featuresCol="features", weightCol="weight", standardization=False,
-            maxIter=2000 if name == "LogisticRegression" else 5000,
-        )
-        grid = ParamGridBuilder().addGrid(
-            estimator.regParam, [1.0 / (s["C"] * fit_rows) for s in chosen]
-        )
-        tuner = CrossValidator(
-            estimator=estimator,
-            estimatorParamMaps=grid.build(),
-            evaluator=evaluator,
-            numFolds=settings.cv_folds,
-            foldCol="fold",
-            parallelism=4,
-        )
-        data = linear.with_class_weight(train, class_weight)
-        columns = data.select("features", "weight", F.col("label").cast("double").alias("label"), "fold")
-        for params, f1 in zip(chosen, tuner.fit(columns).avgMetrics):
-            if f1 > best_f1:
-                best, best_f1 = params, f1
-    return best
+def _tune_smooth(name: str, train: DataFrame, space: FeatureSpace, sets: list[dict], settings: Settings) -> dict:
+    """The whole grid of a smooth loss, every (set, fold) fitted in the same passes."""
+    models = linear.fit_smooth_folds(name, train, space, sets, settings.cv_folds)
+    return sets[_best_by_folds(train, models, space.size)]
 
 
 def _tune_naive_bayes(train: DataFrame, space: FeatureSpace, sets: list[dict]) -> dict:
@@ -139,7 +108,7 @@ def tune(name: str, train: DataFrame, space: FeatureSpace, sets: list[dict], set
         return _tune_naive_bayes(train, space, sets)
     if name == "PassiveAggressiveClassifier":
         return _tune_passive_aggressive(train, space, sets, settings)
-    return _tune_ml(name, train, train.count(), sets, settings)
+    return _tune_smooth(name, train, space, sets, settings)
 
 
 def fit(name: str, train: DataFrame, space: FeatureSpace, params: dict) -> LinearModel:
@@ -149,7 +118,7 @@ def fit(name: str, train: DataFrame, space: FeatureSpace, params: dict) -> Linea
     if name == "PassiveAggressiveClassifier":
         return linear.fit_passive_aggressive(train, space, **params)
     make = linear.fit_logistic_regression if name == "LogisticRegression" else linear.fit_linear_svc
-    return make(train, train.count(), **params)
+    return make(train, space, **params)
 
 
 def train_models(

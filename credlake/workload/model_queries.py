@@ -278,6 +278,44 @@ def linear_svc_weights(spark, sf):
     return _weights(spark, sf, "LinearSVC", C=1.0)
 
 
+def _gradient(spark, sf, name: str):
+    """Largest part of the objective's gradient at the fitted weights, by joins of feature and weight rows."""
+    _, features, space = _features(spark, sf)
+    train = features.filter(F.col("split") == "train")
+    model = training.fit(name, train, space, {"C": 1.0})
+    weights = linear.weight_rows(spark, model, space).select("idx", "weight")
+    sign = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
+    # the constant is a feature that is 1 everywhere, beyond the last index
+    constant = spark.range(1).select(F.lit(space.size).cast("int").alias("idx"), F.lit(model.bias).alias("weight"))
+    weights = materialize(weights.select(F.col("idx").cast("int"), "weight").unionByName(constant), "weights")
+    cells = train.select(
+        "doc_id", sign.alias("y"),
+        F.explode(F.map_from_arrays(F.concat("idx", F.array(F.lit(space.size))), F.concat("val", F.array(F.lit(1.0))))).alias("idx", "value"),
+    )
+    margins = cells.join(weights, "idx").groupBy("doc_id", "y").agg(F.sum(F.col("value") * F.col("weight")).alias("m"))
+    margin = F.col("y") * F.col("m")
+    if name == "LinearSVC":
+        slope = -2.0 * F.greatest(F.lit(0.0), 1.0 - margin) * F.col("y")
+    else:
+        slope = -F.col("y") / (1.0 + F.exp(margin))
+    back = cells.join(margins.select("doc_id", slope.alias("slope")), "doc_id").groupBy("idx").agg(F.sum(F.col("value") * F.col("slope")).alias("g"))
+    penalty = F.when((F.col("idx") == space.size) & F.lit(name != "LinearSVC"), 0.0).otherwise(F.col("weight"))
+    parts = weights.join(back, "idx", "left").select((F.coalesce("g", F.lit(0.0)) + penalty).alias("g"))
+    return parts.agg(F.count(F.lit(1)).alias("n_components"), F.count_if(F.abs("g") > 1e-4).alias("n_above")).select(F.lit(name).alias("model"), "n_components", "n_above")
+
+
+@query("linear_svc_gradient", "SELECT 'LinearSVC' AS model, count(*) + 1 AS n_components, 0 AS n_above FROM v_nb_weights")
+def linear_svc_gradient(spark, sf):
+    """No component of the squared-hinge objective's gradient is left above the tolerance."""
+    return _gradient(spark, sf, "LinearSVC")
+
+
+@query("logistic_regression_gradient", "SELECT 'LogisticRegression' AS model, count(*) + 1 AS n_components, 0 AS n_above FROM v_nb_weights")
+def logistic_regression_gradient(spark, sf):
+    """The same certificate for logistic regression."""
+    return _gradient(spark, sf, "LogisticRegression")
+
+
 @query("passive_aggressive_weights")
 def passive_aggressive_weights(spark, sf):
     return _weights(spark, sf, "PassiveAggressiveClassifier", C=1.0)
