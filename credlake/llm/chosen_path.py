@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credlake.llm.common import components, grouped_runs, mix64, seeds, shingle_set, written, written_narrow
+from credlake.llm.common import components, grouped_runs, mix64, released, seeds, shingle_set, written, written_narrow
 
 TREES = 21
 ROWS = 3
@@ -167,11 +167,12 @@ def confirmed(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar
                 if side == 0:
                     at, own = (a, part), mine
                 elif at == (a, part):
-                    both = len(np.intersect1d(own, mine, assume_unique=True))
+                    both = int((own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine).sum())
                     if 100 * both >= similarity * (len(own) + len(mine) - both):
                         left.append(a)
                         right.append(key)
             yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        released()
 
     rows = fetch(wanted).select("a", "part", "side", "key", "text")
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(run, "a bigint, b bigint")

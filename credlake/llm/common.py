@@ -1,6 +1,7 @@
 """What the operators of this subpackage share: shared storage, hashing of words, components."""
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -52,6 +53,17 @@ def dropped(df: DataFrame) -> None:
         df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
 
 
+HELD_ROWS = 512
+
+
+def released() -> None:
+    """Give freed memory back to the system: a worker lives on for the next stage's tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def free_name(taken: set[str], name: str) -> str:
     """A column name that none of ``taken`` (lower case) has."""
     while name in taken:
@@ -59,23 +71,24 @@ def free_name(taken: set[str], name: str) -> str:
     return name
 
 
-def kept_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], *columns: Column) -> DataFrame:
+def kept_rows(df: DataFrame, keep: Callable[[pa.Array, np.ndarray], np.ndarray], column: str, usable: Column | None = None) -> DataFrame:
     """The rows of ``df`` for which ``keep`` says so, in one pass and without a join.
 
-    ``keep`` gets batches of the given columns and returns a truth value a row; texts travel once, with their row.
+    ``keep`` gets a column of the row and a truth value a row (``usable``, by default true), and returns a truth
+    value a row. A text travels once, with its row, and no more than ``HELD_ROWS`` rows are judged at a time.
     """
-    taken = {c.lower() for c in df.columns}
-    names = []
-    for n in range(len(columns)):
-        names.append(free_name(taken | set(names), f"input{n}"))
-    wide = df.select("*", *[c.alias(n) for c, n in zip(columns, names)])
+    name = free_name({c.lower() for c in df.columns}, "usable")
+    at = df.columns.index(column)
+    wide = df.withColumn(name, F.lit(True) if usable is None else usable)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.num_columns - len(names)
-            if batch.num_rows:
-                asked = pa.RecordBatch.from_arrays(batch.columns[at:], names=names)
-                yield pa.RecordBatch.from_arrays(batch.columns[:at], schema=pa.schema(list(batch.schema)[:at])).filter(pa.array(keep(asked)))
+            last = batch.num_columns - 1
+            rows = pa.RecordBatch.from_arrays(batch.columns[:last], schema=pa.schema(list(batch.schema)[:last]))
+            for start in range(0, batch.num_rows, HELD_ROWS):
+                some = rows.slice(start, HELD_ROWS)
+                yield some.filter(pa.array(keep(some.column(at), batch.column(last).slice(start, HELD_ROWS).to_numpy(zero_copy_only=False).astype(bool)), pa.bool_()))
+        released()
 
     return wide.mapInArrow(run, df.schema)
 
@@ -139,6 +152,8 @@ def grouped_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[
             held.append(part.slice(a, b - a))
     if held:
         yield held_key, pa.concat_tables(held)
+    held = []
+    released()
 
 
 # --- 64-bit hashes of words and shingles -------------------------------------------------
@@ -201,7 +216,7 @@ def placed_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def text_parts(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def text_parts(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """(from, to) of consecutive texts of about ``most`` bytes together, one text at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0

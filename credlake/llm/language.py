@@ -186,11 +186,11 @@ def told(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` whose language can be told: not ``und``, and not both ambiguous and below ``least``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def keep(batch: pa.RecordBatch) -> np.ndarray:
-        names, score, flag = _told(shared.value, batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool))
+    def keep(texts: pa.Array, usable: np.ndarray) -> np.ndarray:
+        names, score, flag = _told(shared.value, texts, usable)
         return (names != UNKNOWN) & ~(flag & (score < least))
 
-    return kept_rows(docs, keep, F.col("text"), has_letter(F.col("text")))
+    return kept_rows(docs, keep, "text", has_letter(F.col("text")))
 
 
 def has_letter(text: Column) -> Column:

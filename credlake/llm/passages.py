@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from credlake.llm import chosen_path
-from credlake.llm.common import dropped, free_name, minwise, mix64, placed_words, seeds, shingles_of, text_parts, written, written_narrow
+from credlake.llm.common import dropped, free_name, minwise, mix64, placed_words, released, seeds, shingles_of, text_parts, written, written_narrow
 
 MIN_WORDS = 20
 RECALL = 0.999
@@ -147,6 +147,7 @@ def _scanned(docs: DataFrame, schema: str, fn: Callable[[Texts, pa.RecordBatch,
                 out = fn(Texts(texts.slice(a, b - a).to_pylist()), batch, a, b)
                 if out is not None and out.num_rows:
                     yield out
+        released()
 
     return docs.where("doc_id is not null and text is not null").mapInArrow(run, schema)
 

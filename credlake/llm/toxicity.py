@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credlake.llm.common import crc32_mod, kept_rows
+from credlake.llm.common import crc32_mod, kept_rows, released
 
 MAX_TRAINING = 40_000
 STEM_LENGTHS = (4, 5, 6, 7)
@@ -44,6 +44,8 @@ MIN_TOXIC, MIN_LOG_ODDS, MAX_CANDIDATES = 4, 3.0, 20_000
 MIN_CONTEXTS, CONTEXT_SHARE = 4, 0.2
 REACH = 3
 THRESHOLD = 0.3
+#: Texts whose words are counted together in a task's memory.
+COUNTED_ROWS = 2000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Closed word classes, in the languages of the corpus.
@@ -193,11 +195,14 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING) -> Gram
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tox, clean = Counter(), Counter()
-            for text, label in zip(batch.column(1), batch.column(2).to_pylist()):
-                (tox if label else clean).update(counted_stems(text.as_py()))
-            keys = list({*tox, *clean})
-            yield pa.record_batch([pa.array(keys, pa.string()), pa.array([tox[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["stem", "toxic", "clean"])
+            for start in range(0, batch.num_rows, COUNTED_ROWS):
+                tox, clean = Counter(), Counter()
+                some = batch.slice(start, COUNTED_ROWS)
+                for text, label in zip(some.column(1), some.column(2).to_pylist()):
+                    (tox if label else clean).update(counted_stems(text.as_py()))
+                keys = list({*tox, *clean})
+                yield pa.record_batch([pa.array(keys, pa.string()), pa.array([tox[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["stem", "toxic", "clean"])
+        released()
 
     smooth = F.log((F.col("t") + 0.5) / (count[1] + 1.0)) - F.log((F.col("c") + 0.5) / (count[0] + 1.0))
     found = (
@@ -295,11 +300,11 @@ def below(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD) -> Da
     """The rows of ``docs`` that score below the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
-    def keep(batch: pa.RecordBatch) -> np.ndarray:
+    def keep(texts: pa.Array, usable: np.ndarray) -> np.ndarray:
         g = shared.value
-        return np.array([g.score(g.evidence(value.as_py())) < threshold for value in batch.column(0)], dtype=bool)
+        return np.array([g.score(g.evidence(value.as_py())) < threshold for value in texts], dtype=bool)
 
-    return kept_rows(docs, keep, F.col("text"))
+    return kept_rows(docs, keep, "text")
 
 
 def matched_clauses(docs: DataFrame, grammar: Grammar) -> DataFrame:

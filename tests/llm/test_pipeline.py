@@ -111,9 +111,9 @@ def test_an_empty_table_passes_all_stages(spark, tables, tmp_path):
 
 
 def test_kept_rows_of_clashing_columns(spark):
-    df = spark.createDataFrame([(1, "a", None), (2, None, "b"), (3, "c", "d")], "input0 int, text string, input1 string")
-    got = kept_rows(df, lambda batch: batch.column(0).is_valid().to_numpy(zero_copy_only=False), F.col("text"))
-    assert got.columns == df.columns and sorted(r["input0"] for r in got.collect()) == [1, 3]
+    df = spark.createDataFrame([(1, "a", None), (2, None, "b"), (3, "c", "d")], "usable int, text string, Usable_ string")
+    got = kept_rows(df, lambda texts, usable: texts.is_valid().to_numpy(zero_copy_only=False) & usable, "text", F.col("text") != "c")
+    assert got.columns == df.columns and [r["usable"] for r in got.collect()] == [1]
 
 
 @pytest.mark.parametrize("min_words", [1, 20])
