@@ -5,7 +5,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from credlake.config import DEFAULTS
 from credlake.functions.cleaning import unescape
 from credlake.operators import pages as pg
 from credlake.operators.common import checkpoint_dir
@@ -58,8 +57,8 @@ MARKED = (
 BODY = f"""
     SELECT page_id, url, html, substr(array_to_string(list_filter(list_transform(string_split({_entities('m')}, chr(1))[2:],
            lambda p: array_to_string(list_transform(string_split(split_part(p, chr(2), 1), chr(3)), lambda n: {q.strip('n')}), '')),
-           lambda t: length(t) > 50), chr(10) || chr(10)), 1, 50000) AS body
-    FROM (SELECT page_id, url, html, {MARKED} AS m FROM (SELECT page_id, url, substr(html, 1, 500000) AS html FROM pages))"""
+           lambda t: length(t) > 50), chr(10) || chr(10)), 1) AS body
+    FROM (SELECT page_id, url, html, {MARKED} AS m FROM (SELECT page_id, url, html FROM pages))"""
 
 
 @query(
@@ -68,7 +67,7 @@ BODY = f"""
                length(body) AS n_chars, md5(body) AS text_md5, true AS success FROM ({BODY})""",
 )
 def article_rows(spark, sf):
-    rows = pg.article_rows(v.table(spark, sf, "pages"), max_chars=pg.MAX_ARTICLE_CHARS)
+    rows = pg.article_rows(v.table(spark, sf, "pages"))
     return rows.select(
         "page_id", "url", "title", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), "success"
     )
@@ -118,7 +117,7 @@ def page_verdicts(spark, sf):
         F.floor(F.col("rank") / 5).alias("request_id"), F.lit(0).alias("query_no"), "rank", "url", "title",
         "snippet", "published_date", "score",
     )
-    return vp.verify_pages(raw, found, max_chars=pg.MAX_ARTICLE_CHARS).select(
+    return vp.verify_pages(raw, found).select(
         "request_id", "status", "failure", "verdict", F.round("confidence", 6).alias("confidence"), "evidence_strength"
     )
 
@@ -166,14 +165,14 @@ def _stream(spark, sf, name: str):
     return jobs.read_files(spark, f"{sf}/{name}*.parquet", v.table(spark, sf, name).schema)
 
 
-@query("streamed_predictions", PREDICTED.replace("v_cut_nb_scores JOIN", "v_cut_nb_scores JOIN"))
+@query("streamed_predictions", PREDICTED)
 def streamed_predictions(spark, sf):
     """Articles arriving as files, scored by the batch plan."""
     _, space, model = naive_bayes(spark, sf)
     base = f"{checkpoint_dir(spark)}/articles-{uuid.uuid4().hex}"
     articles_to_score(spark, sf).write.parquet(base)
     arriving = jobs.read_files(spark, base, articles_to_score(spark, sf).schema)
-    rows = _drain(jobs.score_articles(arriving, space, model, max_chars=DEFAULTS.max_input_chars), spark)
+    rows = _drain(jobs.score_articles(arriving, space, model), spark)
     return rows.select("doc_id", "prediction", "confidence", "confidence_level")
 
 

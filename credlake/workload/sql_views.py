@@ -309,7 +309,7 @@ VIEWS: dict[str, str] = {
                ))::DOUBLE AS score
         FROM v_evidence e LEFT JOIN v_sources s ON e.source_id = s.source_id""",
     "request_ids": """
-        SELECT event_id AS request_id FROM events JOIN documents ON doc_id = event_id""",
+        SELECT event_id AS request_id FROM events JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents)""",
     "counts": """
         SELECT r.request_id, coalesce(e.s, 0) AS s, coalesce(e.c, 0) AS c, coalesce(e.n, 0) AS n,
                coalesce(t.t, 0) AS t, coalesce(t.p, 0) AS p,
@@ -337,7 +337,7 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS request_id, {pick('event_id % 4', ['url', 'headline', 'article', 'claim'])} AS input_type,
                d.text AS original_text,
                CASE WHEN event_id % 10 = 9 THEN 'failed' ELSE 'processing' END AS status, ts AS created_at
-        FROM events JOIN documents d ON d.doc_id = event_id""",
+        FROM events JOIN documents d ON d.doc_id = event_id % (SELECT count(*) FROM documents)""",
     "registry": f"""
         SELECT source_url, 'Site ' || source_url AS name, {pick('num % 3', ['FR', 'DE', 'US'])} AS country,
                coalesce({pick('num % 4', ['news', 'science', 'local'])}, 'news') AS category, language,
@@ -383,9 +383,9 @@ VIEWS: dict[str, str] = {
 }
 
 
-# The documents to score: all news, every tenth one blank, text cut as at inference.
+# The documents to score: all news, every tenth one blank.
 VIEWS["cut_clean_news"] = f"""
-        SELECT doc_id, 0 AS label, '' AS split, substr({combine('title', 'text')}, 1, 50000) AS content
+        SELECT doc_id, 0 AS label, '' AS split, {combine('title', 'text')} AS content
         FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN ' ' ELSE title END AS title,
                      CASE WHEN doc_id % 10 = 9 THEN '' ELSE text END AS text FROM v_news)"""
 # The same feature and score views over them, in the space fitted on the training split.

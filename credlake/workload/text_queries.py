@@ -142,15 +142,16 @@ def url_checks(spark, sf):
         FROM (SELECT event_id, link, body, {q.words('body')} AS ws FROM (
               SELECT event_id, CASE WHEN event_id % 5 = 0 THEN url WHEN event_id % 5 = 1 THEN 'no link' ELSE '' END AS link,
                      CASE event_id % 3 WHEN 0 THEN text WHEN 1 THEN split_part(text, ' ', 1) ELSE ' ' || url || ' ' END AS body
-              FROM events JOIN documents ON doc_id = event_id JOIN pages ON page_id = event_id))""",
+              FROM events JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents) JOIN pages ON page_id = event_id % (SELECT count(*) FROM pages)))""",
 )
 def input_types(spark, sf):
     e = F.col("event_id")
+    n_documents, n_pages = (v.table(spark, sf, t).agg(F.count(F.lit(1))).scalar() for t in ("documents", "pages"))
     rows = (
         v.table(spark, sf, "events")
-        .select("event_id")
-        .join(v.table(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id") == e)
-        .join(v.table(spark, sf, "pages").select("page_id", "url"), F.col("page_id") == e)
+        .select("event_id", (e % n_documents).alias("doc_id"), (e % n_pages).alias("page_id"))
+        .join(v.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+        .join(v.table(spark, sf, "pages").select("page_id", "url"), "page_id")
     )
     link = F.when(e % 5 == 0, F.col("url")).when(e % 5 == 1, "no link").otherwise("")
     body = (
