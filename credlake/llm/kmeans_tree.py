@@ -2,17 +2,18 @@
 
 The tree is fitted on at most ``SAMPLE`` vectors, those with the smallest hash of their id
 (a documented bound), and has at most ``MAX_LEAVES`` leaves; every vector is then filed in
-its leaf by Spark. A query walks the tree through a priority queue: the node of largest
+its leaf by Spark. Vectors of each length have a tree of their own, fitted on the sample's vectors of
+that length; a length that the sample doesn't hold is one leaf. A query walks the tree through a priority queue: the node of largest
 inner product between query and centre comes first, and leaves come out best first. How many
 leaves are visited is calibrated: ``CALIBRATION`` queries are answered exactly against all
 vectors, and visits are widened until the leaves of ``RECALL`` of their true neighbours are
-among them. A leaf's queries and vectors are cut into blocks; each block gives its nearest
+among them; a length with fewer than ``CALIBRATED`` of these queries has all its leaves visited. A leaf's queries and vectors are cut into blocks; each block gives its nearest
 ``k``, a task merges what its blocks give, and a query's tasks are merged by rank.
 
 Nearness is the largest inner product in double precision, ties by the smaller id.
 
-Defined results: null, zero and not finite vectors and those of another length than the most
-frequent one's take no part; rows of null id neither; repeated ids count once; a query never
+Defined results: null, zero and not finite vectors take no part; rows of null id neither; vectors
+of different lengths have no inner product and never meet; repeated ids count once; a query never
 finds itself; fewer candidates than k give fewer rows; an empty table gives an empty table.
 """
 from __future__ import annotations
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,6 +37,7 @@ MAX_LEAVES = 512
 VECTORS_PER_LEAF = 200
 BRANCHES = 8
 CALIBRATION = 200
+CALIBRATED = 20
 RECALL = 0.96
 BLOCK = 4096
 HELD_ROWS = 1_000_000
@@ -122,6 +125,39 @@ def fit(x: np.ndarray, leaves: int) -> Tree:
     return Tree(np.array(centres), children, leaf)
 
 
+class Forest:
+    """A tree for each vector length of the sample; leaves are numbered through, other lengths are leaf -length."""
+
+    def __init__(self, trees: dict[int, Tree]):
+        self.trees = trees
+        self.first = dict(zip(trees, np.cumsum([0, *(t.leaves for t in trees.values())]).tolist()))
+
+    def leaves(self, size: int) -> int:
+        return self.trees[size].leaves if size in self.trees else 1
+
+    def file(self, column: pa.Array) -> np.ndarray:
+        """The leaf of each vector of a list column."""
+        out = np.empty(len(column), dtype=np.int32)
+        for size, at, x in of_lengths(column):
+            out[at] = self.first[size] + self.trees[size].file(x) if size in self.trees else -size
+        return out
+
+    def order(self, q: np.ndarray, most: int) -> list[int]:
+        """The first leaves that a query's traversal comes to."""
+        size = len(q)
+        return [self.first[size] + n for n in self.trees[size].order(q, most)] if size in self.trees else [-size]
+
+
+def of_lengths(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, positions, matrix) of the vectors of each length in a list column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for size in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == size)
+        yield size, at, matrix(column.take(pa.array(at)))
+
+
 def _best(products: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k largest, ties by id; with a margin for rounding."""
     if len(products) > k:
@@ -174,32 +210,34 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     spark = vectors.sparkSession
     nothing = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     good = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding")
-    sizes = good.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if sizes is None:
-        return nothing
-    size, total = sizes["size"], sizes["count"]
-    good = written(good.where(F.size("embedding") == size).dropDuplicates(["vec_id"]), "vectors")
-    asked = queries.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).where(F.size("embedding") == size).select("vec_id", "embedding").dropDuplicates(["vec_id"])
+    good = written(good.dropDuplicates(["vec_id"]), "vectors")
+    asked = queries.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding").dropDuplicates(["vec_id"])
     asked = written(asked, "queries")
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    x = matrix(sample.column("embedding"))
-    tree = fit(x, int(max(1, min(MAX_LEAVES, total // VECTORS_PER_LEAF))))
-    shared = spark.sparkContext.broadcast(tree)
+    total = good.count()
+    if not total:
+        return nothing
+    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().column("embedding")
+    leaves = min(MAX_LEAVES, total // VECTORS_PER_LEAF)
+    forest = Forest({size: fit(x, max(1, leaves * len(x) // len(sample))) for size, _, x in of_lengths(sample)})
+    shared = spark.sparkContext.broadcast(forest)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.record_batch([*batch.columns, pa.array(shared.value.file(matrix(batch.column(1))).astype(np.int32))], ["vec_id", "embedding", "leaf"])
+                yield pa.record_batch([*batch.columns, pa.array(shared.value.file(batch.column(1)))], ["vec_id", "embedding", "leaf"])
 
     kind = dict(good.dtypes)
     filed = written(good.mapInArrow(file, f"vec_id {kind['vec_id']}, embedding {kind['embedding']}, leaf int"), "filed")
-    visits = _calibrated(filed, asked, shared, tree.leaves, k, recall)
+    visits = _calibrated(filed, asked, shared, k, recall)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                leaves = [shared.value.order(q, visits) for q in matrix(part.column(1))]
+                leaves = [[]] * part.num_rows
+                for size, rows, x in of_lengths(part.column(1)):
+                    for r, q in zip(rows.tolist(), x):
+                        leaves[r] = shared.value.order(q, visits.get(size, shared.value.leaves(size)))
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(leaves, pa.list_(pa.int32()))], ["vec_id", "embedding", "leaves"])
 
     # Blocks: a leaf's vectors by hash into parts of about BLOCK; its queries go to each part, themselves in parts.
@@ -207,7 +245,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     visiting = asked.mapInArrow(walk, f"vec_id {kind['vec_id']}, embedding {kind['embedding']}, leaves array<int>").withColumn("leaf", F.explode("leaves")).drop("leaves")
     visiting = written(visiting, "visits")
     waiting = visiting.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("query_parts"))
-    plan = F.broadcast(crowd.join(waiting, "leaf"))  # a row for each of at most MAX_LEAVES leaves
+    plan = written(crowd.join(waiting, "leaf"), "plan")  # a row a leaf, joined by its written size
     left = filed.join(plan, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts")).withColumn("query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
     right = visiting.join(plan, "leaf").withColumn("query_part", F.pmod(F.xxhash64("vec_id"), "query_parts")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     columns = ["vec_id", "embedding", F.xxhash64("leaf", F.col("part").cast("long"), F.col("query_part").cast("long")).alias("cell")]
@@ -235,23 +273,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     return _merged(found, k).select("query_id", "rank", "vec_id", "score")
 
 
-def _calibrated(filed: DataFrame, asked: DataFrame, shared, leaves: int, k: int, recall: float) -> int:
-    """How many leaves to visit so that ``recall`` of the true neighbours of some queries are found."""
+def _calibrated(filed: DataFrame, asked: DataFrame, shared, k: int, recall: float) -> dict[int, int]:
+    """How many leaves to visit so that ``recall`` of the true neighbours of some queries are found, for each length with enough of them."""
     some = asked.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION).toArrow()
-    if not some.num_rows:
-        return leaves
-    q, q_ids = matrix(some.column("embedding")), some.column("vec_id").to_numpy()
-    probe = filed.sparkSession.sparkContext.broadcast((q, q_ids))
+    some_ids = some.column("vec_id").to_numpy()
+    probes = {size: (x, some_ids[at]) for size, at, x in of_lengths(some.column("embedding")) if len(at) >= CALIBRATED}
+    if not probes:
+        return {}
+    probe = filed.sparkSession.sparkContext.broadcast(probes)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                ids = batch.column(0).to_numpy()
-                leaf = dict(zip(ids.tolist(), batch.column(2).to_pylist()))
-                a, b, s = _answer(*probe.value, matrix(batch.column(1)), ids, k)
+            for size, at, x in of_lengths(batch.column(1)):
+                if size not in probe.value:
+                    continue
+                ids = batch.column(0).to_numpy()[at]
+                leaf = dict(zip(ids.tolist(), batch.column(2).to_numpy()[at].tolist()))
+                a, b, s = _answer(*probe.value[size], x, ids, k)
                 yield pa.record_batch([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(s), pa.array([leaf[i] for i in b.tolist()], pa.int32())], ["query_id", "vec_id", "score", "leaf"])
 
     truth = _merged(filed.mapInArrow(exact, "query_id bigint, vec_id bigint, score double, leaf int"), k).select("query_id", "leaf").toArrow()
-    at = {i: {leaf: n for n, leaf in enumerate(shared.value.order(v, leaves))} for i, v in zip(q_ids.tolist(), q)}
-    ranks = sorted(at[i][leaf] for i, leaf in zip(truth.column("query_id").to_pylist(), truth.column("leaf").to_pylist()))
-    return 1 + ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)] if ranks else leaves
+    found = list(zip(truth.column("query_id").to_pylist(), truth.column("leaf").to_pylist()))
+    visits = {}
+    for size, (q, q_ids) in probes.items():
+        at = {i: {leaf: n for n, leaf in enumerate(shared.value.order(v, shared.value.leaves(size)))} for i, v in zip(q_ids.tolist(), q)}
+        ranks = sorted(at[i][leaf] for i, leaf in found if i in at)
+        if ranks:
+            visits[size] = 1 + ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]
+    return visits
