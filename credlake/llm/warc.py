@@ -139,8 +139,13 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return written(rows.mapInArrow(run, f"key string, page_id {dict(pages.dtypes)['page_id']}, file string, offset bigint, length bigint"), "manifest")
 
 
-def index(manifest: DataFrame, folder: str) -> list[tuple[str, str, int, int]]:
-    """Write the index files; the upper level is returned: (first key, file, directory offset, directory length), by key."""
+def capture(key: str, page_id) -> tuple:
+    """A capture's place in the index order: by key, then id, null ids first."""
+    return (key, 0, 0) if page_id is None else (key, 1, page_id)
+
+
+def index(manifest: DataFrame, folder: str) -> list[tuple]:
+    """Write the index files; the upper level is returned: (first key, its page_id, file, directory offset, directory length), in index order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = storage(folder)
@@ -151,7 +156,7 @@ def index(manifest: DataFrame, folder: str) -> list[tuple[str, str, int, int]]:
             nonlocal at, waiting
             block = zlib.compress(json.dumps(waiting).encode(), LEVEL)
             out.write(block)
-            directory.append((waiting[0][0], at, len(block)))
+            directory.append((*waiting[0][:2], at, len(block)))
             at += len(block)
             waiting = []
 
@@ -170,30 +175,32 @@ def index(manifest: DataFrame, folder: str) -> list[tuple[str, str, int, int]]:
         tail = zlib.compress(json.dumps(directory).encode(), LEVEL)
         out.write(tail)
         out.close()
-        yield pa.record_batch([[directory[0][0]], [name], pa.array([at]), pa.array([len(tail)])], ["key", "file", "offset", "length"])
+        first = pa.array([directory[0][1]], batch.schema.field(1).type)
+        yield pa.record_batch([[directory[0][0]], first, [name], pa.array([at]), pa.array([len(tail)])], ["key", "page_id", "file", "offset", "length"])
 
     dealt = manifest.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    top = written(dealt.mapInArrow(run, "key string, file string, offset bigint, length bigint"), "index")
-    return sorted(tuple(r) for r in top.collect())
+    top = written(dealt.mapInArrow(run, f"key string, page_id {dict(manifest.dtypes)['page_id']}, file string, offset bigint, length bigint"), "index")
+    return sorted((tuple(r) for r in top.collect()), key=lambda t: (capture(*t[:2]), t[2]))
 
 
-def locate(keys: DataFrame, top: list[tuple[str, str, int, int]], folder: str) -> DataFrame:
+def locate(keys: DataFrame, top: list[tuple], folder: str) -> DataFrame:
     """(file, offset, length) of the captures of each (url, page_id), by the two-level index.
 
-    Captures of one url may lie in several blocks and files, sorted by id; ids are compared in the block.
+    Both levels are searched for the pair, so a url of very many captures costs a capture no more
+    than other urls do; only rows that repeat a pair may lie in several blocks or files.
     """
     spark = keys.sparkSession
     shared = spark.sparkContext.broadcast(top)  # one row for each index file
     kind = dict(keys.dtypes)["page_id"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts = [t[0] for t in shared.value]
+        firsts = [capture(*t[:2]) for t in shared.value]
         for batch in batches:
             where, key, page = [], [], []
             for url, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 k = url_key(url)
-                last = bisect.bisect_right(firsts, k) - 1
-                for f in range(max(0, bisect.bisect_left(firsts, k) - 1), last + 1):
+                place = capture(k, page_id)
+                for f in range(max(0, bisect.bisect_left(firsts, place) - 1), bisect.bisect_right(firsts, place)):
                     where.append(f)
                     key.append(k)
                     page.append(page_id)
@@ -207,13 +214,14 @@ def locate(keys: DataFrame, top: list[tuple[str, str, int, int]], folder: str) -
             for f, key, page_id in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 if f != at:
                     at = f
-                    _, name, offset, length = shared.value[f]
+                    _, _, name, offset, length = shared.value[f]
                     source = system.open_input_file(f"{base}/{name}")
                     directory = json.loads(zlib.decompress(source.read_at(length, offset)))
-                    firsts, number = [d[0] for d in directory], -1
-                for b in range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key)):
+                    firsts, number = [capture(*d[:2]) for d in directory], -1
+                place = capture(key, page_id)
+                for b in range(max(0, bisect.bisect_left(firsts, place) - 1), bisect.bisect_right(firsts, place)):
                     if b != number:
-                        block = json.loads(zlib.decompress(source.read_at(directory[b][2], directory[b][1])))
+                        block = json.loads(zlib.decompress(source.read_at(directory[b][3], directory[b][2])))
                         number = b
                         places = {}
                         for e in block:
