@@ -3,19 +3,20 @@
 A page is read once, tag by tag. Parts that are no article by their element or by a word of
 their class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, comments) are set apart. If the page declares an article or a main part, that is the
-text, whole: an article's passages may well occur on other pages too.
+text, whole: an article's passages may well occur on other pages too. An article element that
+its class, id or role calls a comment, a reply or a teaser is set apart as other elements are.
 
 A page that declares nothing is judged by its host. The blocks of the host's pages (all text
 outside declared articles) are cut into suffixes, ordered by their first ``LONG`` words; a block
 of ``SHORT`` words up to that length counts whole. What stands on a ``SHARE`` of the host's
-distinct pages, and on two at least, is repeated text; overlapping runs add up to the whole
+distinct pages, a whole block on two at least and a run on ``RUN_PAGES``, is repeated text; overlapping runs add up to the whole
 repeated passage, so it ends where the pages part. It is removed from undeclared pages and the
 rest is kept: phrases, and passages that only some pages share, are the pages' own text.
 Ordering is done by grouping on (host, prefix), which adds up before the shuffle, so neither a
 large host nor a line that all its pages share gathers in one task.
 
 Defined results: null and empty html give the empty text; unclosed and stray tags are
-passed over; repeated rows get equal texts, and pages of equal ids or equal html count as one; a null url is a host of its
+passed over; a quote that no closing quote ends in its tag is part of the tag; repeated rows get equal texts, and pages of equal ids or equal html count as one; a null url is a host of its
 own name; an empty table gives an empty table; other columns are not read.
 """
 from __future__ import annotations
@@ -32,11 +33,12 @@ from pyspark.sql import functions as F
 from credlake.llm.common import word_hashes, written
 from credlake.llm.passages import hashed_runs
 
-LONG = 20
+LONG = 12
 SHORT = 5
 SHARE = 0.3
+RUN_PAGES = 3
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"(?=[\s/>]|[a-zA-Z-]+=)|'[^']*'(?=[\s/>]|[a-zA-Z-]+=))*|[^<>]*)/?>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "noembed", "noframes", "xmp", "template", "svg", "math", "object", "canvas", "audio", "video", "select"}
 _APART = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head"}
@@ -47,6 +49,9 @@ _WORDS = {
     "newsletter", "subscribe", "subscription", "sidebar", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "header", "masthead", "footer", "copyright",
     "comment", "comments", "respond", "disqus", "share", "sharing", "social", "related", "recommended", "popup", "modal", "overlay", "widget", "login", "signup", "search", "complementary", "contentinfo",
 }
+_NO_ARTICLE = {"comment", "comments", "reply", "respond", "related", "recommended", "teaser", "promo", "sponsored", "ad", "advert", "advertisement"}
+_STATES = {"open", "closed", "has", "no", "with", "without"}  # "comments-open" tells of an article, not of a comment
+_AD = re.compile(r"ads?(?:box|slot|unit|block|space|container|wrapper|frame|area|zone|bar|sense)s?")
 _CLOSES_P = {"p", "div", "article", "section", "main", "ul", "ol", "li", "table", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "nav", "header", "footer", "aside", "form", "hr", "dl", "figure", "fieldset"}
 
 
@@ -61,8 +66,13 @@ def _set_apart(tag: str, attributes: str) -> bool:
     for name, value in _attributes(attributes):
         if name == "hidden" or name == "aria-hidden" and value.strip() == "true":
             return True
-        if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main") and not _WORDS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
+        if name in ("class", "id", "role") and tag not in ("body", "html", "main"):
+            names = [re.split(r"[_-]+", n) for n in value.split()]
+            if tag == "article":
+                names = [n for n in names if _STATES.isdisjoint(n)]
+            apart = _NO_ARTICLE if tag == "article" else _WORDS
+            if any(w in apart or _AD.fullmatch(w) for n in names for w in n):
+                return True
     return False
 
 
@@ -195,7 +205,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, declared, n_removed) of every page."""
     stream = written(suffixes(pages), "suffixes")
     hosts = n_pages(named_hosts(pages), "host").withColumnRenamed("n", "of")
-    repeated = n_pages(stream, "host", "prefix").where("n >= 2").join(hosts, "host").where(F.col("n") >= SHARE * F.col("of")).select("host", "prefix")
+    least = F.when(F.col("size") < LONG, 2).otherwise(RUN_PAGES)
+    repeated = n_pages(stream, "host", "prefix", "size").where(F.col("n") >= least).join(hosts, "host").where(F.col("n") >= SHARE * F.col("of")).select("host", "prefix")
     covered = stream.where("pos >= 0").join(repeated, ["host", "prefix"]).groupBy("page").agg(F.collect_set(F.struct("pos", "size")).alias("covered"))
     covered = written(covered, "covered")
 

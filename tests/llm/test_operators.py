@@ -1,6 +1,7 @@
 """Operators of credlake.llm against brute force, round trips and planted cases."""
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -336,6 +337,29 @@ def test_kmeans_tree_search(spark, clouds):
     assert kmeans_tree.search(table.limit(0), table).count() == 0
 
 
+def test_kmeans_tree_search_of_every_length_ties_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr(kmeans_tree, "VECTORS_PER_LEAF", 20)
+    rng = np.random.default_rng(16)
+    sizes = {i: (12, 12, 7)[i % 3] for i in range(600)} | {700: 5, 720: 5, 740: 3}
+    good = {i: rng.normal(size=size).astype(np.float32) for i, size in sizes.items()}
+    for i in range(3, 30, 3):
+        good[i] = good[0]  # ties
+    rows = [(i, v.tolist(), 0, "x", 1) for i, v in good.items()] + [(20, good[20].tolist(), 0, "x", 1), (None, good[0].tolist(), 0, "x", 1)]
+    table = vectors(spark, rows)
+    got = defaultdict(list)
+    for r in kmeans_tree.search(table, table.where("vec_id % 20 = 0"), k=10).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = asked = 0
+    for q in [i for i in good if i % 20 == 0]:
+        other = {i: float((good[i].astype(np.float64) * good[q].astype(np.float64)).sum()) for i in good if i != q and len(good[i]) == len(good[q])}
+        true = sorted(other, key=lambda i: (-other[i], i))[:10]
+        assert len(got[q]) == len(true) and all(abs(s - other[i]) < 1e-9 for i, s in got[q])
+        assert [i for i, _ in got[q]] == sorted((i for i, _ in got[q]), key=lambda i: (-other[i], i))
+        hits += len(set(true) & {i for i, _ in got[q]})
+        asked += len(true)
+    assert hits >= 0.9 * asked and [i for i, _ in got[700]] == [720] and got[740] == []
+
+
 PAGES = "page_id long, url string, html string, key string, digest string"
 
 
@@ -393,6 +417,58 @@ def test_attributes_that_set_apart(attributes):
     assert main_text.article(main_text.blocks(f"<article><p>one</p><p {attributes}>two</p><p>three</p></article>")) == "one three"
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<article><p>own</p></article><article class='comment'><p>theirs</p></article>", "own"),
+    ("<article><p>own</p><article class='related-teaser'>other</article><p>end</p></article>", "own end"),
+    ("<article class='post comments-open has-sidebar'><p>own</p></article>", "own"),
+    ("<main><p>own</p><div class='adbox'>buy</div><div id='ad_slot'>buy</div><div class='adslots x'>buy</div><p class='adverb'>end</p></main>", "own end"),
+    ("<article><p class=\"x>Hello</p><p>there <a href=\"z\">you</a></p></article>", "Hello there you"),
+    ("<article><p title=\"a <b> c\">one</p><p title='it\"s > x'class=y>two</p></article>", "one two"),
+])
+def test_main_text_of_comments_teasers_adverts_and_open_quotes(html, text):
+    assert main_text.article(main_text.blocks(html)) == text
+
+
+def test_main_text_of_small_hosts_and_numbered_footers(spark):
+    rng = random.Random(21)
+    shared, footer = prose(rng, 40), prose(rng, 12)
+    own = {i: prose(rng, 25) for i in range(10, 16)}
+    rows = [(1, "http://two.host/a", f"<p>{shared}</p>"), (2, "http://two.host/b", f"<p>{shared}</p><p>tail one</p>")]
+    rows += [(i, f"http://six.host/{i}", f"<p>{t}</p><div>{footer} {i}</div>") for i, t in own.items()]
+    got = {r["page_id"]: r["text"] for r in main_text.extracted(pages(spark, rows)).collect()}
+    assert got == {1: shared, 2: f"{shared} tail one"} | {i: f"{t} {i}" for i, t in own.items()}
+
+
+def test_very_long_html(spark):
+    words = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, "http://l.m/", f"<nav>menu</nav><article><p>{words}</p></article>")]
+    assert main_text.extracted(pages(spark, rows)).first()["text"] == words
+    assert warc.round_trip(pages(spark, rows)).first()["payload_bytes"] == len(rows[0][2])
+
+
+def test_a_capture_of_a_hot_url_reads_few_index_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_ENTRIES", 20)
+    rows = [(i, "http://hot.url/" if i < 1500 else f"http://u{i}.url/", f"page {i}") for i in range(3000)]
+    table = pages(spark, rows)
+    folder = f"{tmp_path}/warc"
+    top = warc.index(warc.write(table, folder), folder)
+    assert [warc.capture(*t[:2]) for t in top] == sorted(warc.capture(*t[:2]) for t in top)
+    one, walked = bisect.bisect_right, spark.sparkContext.accumulator(0)
+
+    class Counted:
+        bisect_left = staticmethod(bisect.bisect_left)
+
+        @staticmethod
+        def bisect_right(*args):
+            walked.add(max(0, one(*args) - max(0, bisect.bisect_left(*args) - 1)))
+            return one(*args)
+
+    monkeypatch.setattr(warc, "bisect", Counted)
+    found = warc.read(warc.locate(table, top, folder), folder).select("page_id").collect()
+    assert sorted(r[0] for r in found) == list(range(3000))
+    assert 0 < walked.value <= 4 * len(rows)  # index files and blocks looked at, two a capture at most each
+
+
 def test_warc_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_ENTRIES", 3)
     long, other = "é" * 80, "z" * 200
