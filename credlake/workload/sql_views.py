@@ -259,14 +259,14 @@ VIEWS: dict[str, str] = {
                {pick('item_id % 3', ['high', 'medium', 'low'])} AS certainty_level
         FROM benchmark""",
     "page_results": f"""
-        SELECT page_id AS rank,
-               coalesce('https://' || {pick('page_id % 8', HOSTS)} || regexp_extract(url, '^https?://[^/]+(/[a-z]*)', 1), url) AS url,
-               {pick('page_id % 7', TITLE_PREFIXES)} || regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-               CASE WHEN page_id % 11 = 0 THEN 'Brief note' ELSE d.text END AS snippet,
-               '2024-0' || CAST(page_id % 9 + 1 AS VARCHAR) || '-15' AS published_date,
-               CAST((page_id % 100) / 100.0 AS DOUBLE) AS score,
+        SELECT doc_id AS rank,
+               coalesce('https://' || {pick('doc_id % 8', HOSTS)} || regexp_extract(url, '^https?://[^/]+(/[a-z]*)', 1), url) AS url,
+               {pick('doc_id % 7', TITLE_PREFIXES)} || regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+               CASE WHEN doc_id % 11 = 0 THEN 'Brief note' ELSE d.text END AS snippet,
+               '2024-0' || CAST(doc_id % 9 + 1 AS VARCHAR) || '-15' AS published_date,
+               CAST((doc_id % 100) / 100.0 AS DOUBLE) AS score,
                regexp_extract(url, '^https?://([^/]+)', 1) AS source_url
-        FROM pages JOIN documents d ON d.doc_id = page_id""",
+        FROM documents d JOIN pages ON page_id = d.doc_id % (SELECT count(*) FROM pages)""",
     "search_results": """
         SELECT rank % n AS claim_id, (rank // n) % 6 AS query_no, rank, url, title, snippet, published_date, score
         FROM v_page_results, (SELECT count(*) AS n FROM benchmark)""",

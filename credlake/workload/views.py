@@ -88,13 +88,15 @@ def page_title_text() -> Column:
 
 
 def page_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as search results, joined to documents for their snippet."""
-    page = F.col("page_id")
+    """Search results, one per document: its text is the snippet, url and title come from the page that its number comes to."""
+    page = F.col("doc_id")
+    n_pages = table(spark, sf, "pages").agg(F.count(F.lit(1))).scalar()
     path = F.regexp_extract("url", "^https?://[^/]+(/[a-z]*)", 1)
     host = pick(page % 8, HOSTS)
     return (
-        table(spark, sf, "pages")
-        .join(table(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id") == page)
+        table(spark, sf, "documents")
+        .select("doc_id", "text", (page % F.nullif(n_pages, F.lit(0))).alias("on"))
+        .join(table(spark, sf, "pages"), F.col("page_id") == F.col("on"))
         .select(
             page.alias("rank"),
             F.when(host.isNotNull(), F.concat(F.lit("https://"), host, path)).otherwise(F.col("url")).alias("url"),
@@ -153,7 +155,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     n_documents = table(spark, sf, "documents").agg(F.count(F.lit(1))).scalar()
     return (
         table(spark, sf, "events")
-        .select("event_id", "ts", (event % n_documents).alias("about"))
+        .select("event_id", "ts", (event % F.nullif(n_documents, F.lit(0))).alias("about"))
         .join(table(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id") == F.col("about"))
         .select(
             event.alias("request_id"),

@@ -14,13 +14,6 @@ from credlake.workload import ORACLE, QUERIES
 SF = Path(os.environ.get("CREDLAKE_SF_DIR", "/root/testdata/sf0.001"))
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
 
-# A cross-section by default; CREDLAKE_ALL=1 compares every query.
-SAMPLE = [
-    "label_coercion", "cleaning_audit", "clean_texts", "style_features", "deduplicated_corpus", "vocabulary",
-    "evidence_scores", "verdict_rows", "trending_report", "roc_auc", "article_rows",
-]
-NAMES = list(ORACLE) if os.environ.get("CREDLAKE_ALL") else SAMPLE
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -36,7 +29,7 @@ def plain(value):
     return repr(value)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", list(ORACLE))
 def test_query_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, str(SF))
     columns = sorted(df.columns)
