@@ -1,6 +1,8 @@
 """Streaming forms of three batch paths: scoring, feed ingestion, verdict counts."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,6 +45,44 @@ def verdict_windows(verdicts: DataFrame, delay: str = "1 hour", width: str = "1
     )
 
 
+def first_rows(articles: DataFrame, time: str = "ts", url: str = "url", ties: tuple[str, ...] = ()) -> DataFrame:
+    """The earliest row of each URL by event time, then by ``ties``; rows without a time come last,
+    blank URLs go. The rows of a batch or the first rows of many batches go in alike."""
+    order = F.struct(F.col(time).isNull(), time, *ties)
+    rest = F.struct(*[c for c in articles.columns if c != url])
+    first = articles.filter(~is_blank(F.col(url))).groupBy(url).agg(F.min_by(rest, order).alias("row"))
+    return first.select(url, "row.*").select(*articles.columns)
+
+
+def window_counts(verdicts: DataFrame, width: str = "1 hour", time: str = "created_at") -> DataFrame:
+    """Counts of a batch per tumbling window and verdict; rows without a time belong to no window."""
+    counts = verdicts.groupBy(F.window(time, width), "verdict").agg(F.count(F.lit(1)).alias("n_checks"))
+    return counts.select(F.col("window.start").alias("window_start"), "verdict", "n_checks")
+
+
+def window_totals(counts: DataFrame) -> DataFrame:
+    """Totals per window and verdict over the counts of all batches."""
+    return counts.groupBy("window_start", "verdict").agg(F.sum("n_checks").alias("n_checks"))
+
+
+def batch_sink(reduced: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """Writes what a batch reduces to in a folder of its number. A batch that is run again after a
+    failure replaces its own folder, so it counts once; no row is too late, and no state is held."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        reduced(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return put
+
+
+def write_batches(df: DataFrame, reduced: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Reduce each batch of a stream and keep the results by batch; readers reduce them once more."""
+    writer = df.writeStream.foreachBatch(batch_sink(reduced, path)).option("checkpointLocation", checkpoint).outputMode("update")
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def write_parquet(df: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Append a stream to parquet; exactly once, by the checkpoint and the sink log."""
     writer = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")

@@ -200,3 +200,47 @@ def streamed_verdict_windows(spark, sf):
     return rows.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "verdict", "n_checks"
     )
+
+
+def _batched(stream, reduced, spark):
+    """Run a stream over what is there now, two files a batch, and read what its batches reduced to."""
+    base = f"{checkpoint_dir(spark)}/batches-{uuid.uuid4().hex}"
+    jobs.write_batches(stream, reduced, f"{base}/out", f"{base}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+def _late_events(spark, sf):
+    """Events arriving in three rounds by number, so that later files hold rows of every hour again."""
+    base = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
+    rows = v.table(spark, sf, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("verdict"),
+        F.concat(F.lit("https://feed.example/"), F.col("user_id").cast("string")).alias("url"),
+    )
+    for n in range(3):
+        rows.where(F.pmod("event_id", F.lit(3)) == n).write.mode("append").parquet(base)
+    return jobs.read_files(spark, base, rows.schema, max_files=2)
+
+
+@query(
+    "streamed_first_rows",
+    """SELECT 'https://feed.example/' || user_id AS url, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS first_seen
+       FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""",
+)
+def streamed_first_rows(spark, sf):
+    """The first row of each feed URL by event time, whichever batch brings it."""
+    reduced = lambda rows: jobs.first_rows(rows, ties=("event_id",))
+    return reduced(_batched(_late_events(spark, sf).select("event_id", "ts", "url"), reduced, spark)).select(
+        "url", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("first_seen")
+    )
+
+
+@query(
+    "streamed_window_totals",
+    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS verdict, count(*) AS n_checks
+       FROM events GROUP BY ALL""",
+)
+def streamed_window_totals(spark, sf):
+    """Counts per hour and kind over all rows, late ones and windows still open included."""
+    reduced = lambda rows: jobs.window_counts(rows, time="ts")
+    totals = jobs.window_totals(_batched(_late_events(spark, sf).select("ts", "verdict"), reduced, spark))
+    return totals.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "verdict", "n_checks")

@@ -116,3 +116,36 @@ def test_first_seen_and_windows(spark, tmp_path):
     closed = start + dt.timedelta(minutes=590) - dt.timedelta(hours=1)
     batch = df.groupBy(F.window("ts", "1 hour").alias("w"), "verdict").count().filter(F.col("w.end") <= F.lit(closed))
     assert sorted(counts) == sorted(values(batch.select(F.col("w.start").alias("s"), "verdict", "count"), "s", "verdict", "count"))
+
+
+def test_late_rows_and_repeated_batches(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(n, start + dt.timedelta(minutes=10 * (n * 37 % 300)), f"u{n % 7}", "verified" if n % 3 else "false") for n in range(300)]
+    rows += [(300, start, " ", "false"), (301, None, "u1", "false"), (302, None, "u9", "false"), (303, rows[3][1], rows[3][2], "false")]
+    df = spark.createDataFrame(rows, "event_id int, ts timestamp, url string, verdict string")
+    for n in range(4):  # every file holds rows days older than the last one's newest
+        df.where(F.col("event_id") % 4 == n).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for name, reduced, merged in (
+        ("first", lambda d: jobs.first_rows(d, ties=("event_id",)), lambda d: jobs.first_rows(d, ties=("event_id",))),
+        ("counts", lambda d: jobs.window_counts(d, time="ts"), jobs.window_totals),
+    ):
+        out = str(tmp_path / name)
+        stream = jobs.read_files(spark, str(tmp_path / "in"), df.schema, max_files=1)
+        jobs.write_batches(stream, reduced, out, f"{out}-cp", available_now=True).awaitTermination()
+        read = lambda: sorted(merged(spark.read.parquet(out).drop("batch")).collect(), key=str)  # noqa: E731, B023
+        assert read() == sorted(merged(reduced(df)).collect(), key=str)
+        before = read()
+        batches = spark.read.parquet(out)
+        assert batches.select("batch").distinct().count() == 4
+        files = sorted(r[0] for r in spark.read.parquet(str(tmp_path / "in")).select(F.input_file_name()).distinct().collect())
+        assert len(files) == 4
+        number, again = next((n, f) for n in range(4) for f in files if sorted(reduced(spark.read.parquet(f)).collect(), key=str) == sorted(batches.where(f"batch = {n}").drop("batch").collect(), key=str))
+        jobs.batch_sink(reduced, out)(spark.read.parquet(again), number)
+        assert read() == before
+    first = {r["url"]: r["event_id"] for r in jobs.first_rows(df, ties=("event_id",)).collect()}
+    by_url = {}
+    for i, ts, url, _ in rows:
+        if url.strip():
+            by_url.setdefault(url, []).append((ts is None, ts or start, i))
+    assert first == {u: min(found)[2] for u, found in by_url.items()}
+    assert jobs.first_rows(df.limit(0)).count() == jobs.window_counts(df.limit(0), time="ts").count() == 0
