@@ -1,6 +1,8 @@
 """Search results, sources, evidence, fact checks, verdicts, scans, stored results."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from credlake.functions import answers, rules, urls
@@ -8,8 +10,9 @@ from credlake.operators import evidence as ev
 from credlake.operators import results as rs
 from credlake.operators import scan as sc
 from credlake.operators import verdicts as vd
-from credlake.operators.common import materialize
+from credlake.operators.common import checkpoint_dir, materialize
 from credlake.plans import verification as vp
+from credlake.sources import committed, news_files
 from credlake.sources.search_payloads import normalize_payloads
 from credlake.workload import sql_views as q
 from credlake.workload import views as v
@@ -827,13 +830,15 @@ def result_documents(spark, sf):
     "SELECT kind, count(*) AS n_rows FROM (SELECT 'claims' AS kind FROM v_claims WHERE request_id = 3 UNION ALL SELECT 'evidence' FROM v_evidence WHERE request_id = 3 UNION ALL SELECT 'sources' FROM v_sources WHERE request_id = 3 UNION ALL SELECT 'media' FROM v_media WHERE request_id = 3) GROUP BY kind",
 )
 def stored_request(spark, sf):
-    """All stored rows of one request: the lookup by id is the operator."""
-    tables = {n: df.select("request_id") for n, df in _stored(spark, sf).items() if n in ("claims", "evidence", "sources", "media")}
-    parts = [df.select(F.lit(n).alias("kind")) for n, df in rs.stored_result(tables, 3).items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"))
+    """All stored rows of one request: the run is committed twice, which stores it once, and read back by id."""
+    names = {"claims": "claims", "evidence": "evidence", "sources": "sources", "media": "media_items"}
+    stored = _stored(spark, sf)
+    root = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    for _ in range(2):
+        committed.commit(spark, root, "first", {table: stored[n] for n, table in names.items()})
+    found = committed.read_result(spark, root, 3)
+    parts = [found[table].select(F.lit(n).alias("kind")) for n, table in names.items()]
+    return news_files.union_all(parts).groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query(
@@ -853,20 +858,21 @@ def history_page(spark, sf):
        WHERE request_id NOT IN (SELECT request_id FROM v_requests WHERE status = 'failed') GROUP BY kind""",
 )
 def cascade_delete(spark, sf):
-    """Failed requests and everything that belongs to them are left out."""
-    requests = v.requests(spark, sf)
-    failed = requests.filter(F.col("status") == "failed").select("request_id")
+    """Failed requests and everything that belongs to them leave the store; untouched files stay."""
+    requests = v.requests(spark, sf).drop("original_text")
+    names = {"requests": "verification_requests", "claims": "claims", "evidence": "evidence", "media": "media_items"}
     tables = {
-        "requests": requests.select("request_id"),
-        "claims": v.claims(spark, sf).select("request_id"),
-        "evidence": v.evidence_items(spark, sf).select("request_id"),
-        "media": v.media(spark, sf).select("request_id"),
+        "verification_requests": requests,
+        "claims": v.claims(spark, sf),
+        "evidence": v.evidence_items(spark, sf),
+        "media_items": v.media(spark, sf),
     }
-    out = None
-    for name, df in rs.delete_requests(tables, failed).items():
-        part = df.select(F.lit(name).alias("kind"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"))
+    root = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    committed.commit(spark, root, "first", tables)
+    failed = committed.read_table(spark, root, "verification_requests").filter("status = 'failed'")
+    committed.delete_requests(spark, root, "failed-out", failed)
+    parts = [committed.read_table(spark, root, table).select(F.lit(n).alias("kind")) for n, table in names.items()]
+    return news_files.union_all(parts).groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query(
