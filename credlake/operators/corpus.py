@@ -9,7 +9,7 @@ from credlake.errors import DataValidationError
 from credlake.functions import text as tx
 from credlake.functions.cleaning import clean_tokens, normalize_text, normalize_unicode
 from credlake.functions.style import with_style
-from credlake.operators.common import first_by
+from credlake.operators.common import first_rows
 
 
 def with_content(df: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
@@ -32,9 +32,10 @@ def with_text_content(df: DataFrame) -> DataFrame:
 def deduplicate(df: DataFrame, order: list[str]) -> DataFrame:
     """One row per exact content, the first by ``order``.
 
-    Grouped on a 32-byte digest: long texts travel once, as values, not as keys.
+    ``order`` names the columns that identify a row. Grouped on a 32-byte digest with ids alone;
+    texts stay out of the aggregation and join back by id.
     """
-    return first_by(df, [tx.content_digest(F.col("content"))], order)
+    return first_rows(df, [tx.content_digest(F.col("content"))], order)
 
 
 def clean_dataset(df: DataFrame, order: list[str], check: bool = False) -> DataFrame:

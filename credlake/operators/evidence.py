@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credlake.functions import rules, urls
-from credlake.operators.common import first_by, paged
+from credlake.operators.common import first_by, first_rows, paged
 
 RESULT_ORDER = ["claim_id", "query_no", "rank"]
 
@@ -27,7 +27,7 @@ def merge_search_results(
     The constant bound lets Spark cut every claim to that many rows before the
     shuffle; the exact bound of the claim follows.
     """
-    unique = first_by(results.filter(_not_blank_url()), ["claim_id", "url"], RESULT_ORDER)
+    unique = first_rows(results.filter(_not_blank_url()), ["claim_id", "url"], RESULT_ORDER)
     order = Window.partitionBy("claim_id").orderBy("query_no", "rank")
     ranked = unique.withColumn("position", F.row_number().over(order)).filter(
         F.col("position") <= per_query * max_queries
@@ -75,7 +75,7 @@ def source_rows(candidates: DataFrame) -> DataFrame:
 
 def unique_sources(sources: DataFrame) -> DataFrame:
     """Each URL of a request once, the first result winning; blank URLs dropped."""
-    return first_by(sources.filter(_not_blank_url()), ["request_id", "url"], RESULT_ORDER)
+    return first_rows(sources.filter(_not_blank_url()), ["request_id", "url"], ["request_id", *RESULT_ORDER])
 
 
 def evidence_rows(candidates: DataFrame) -> DataFrame:

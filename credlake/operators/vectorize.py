@@ -183,14 +183,22 @@ def string_array(values: list[str]) -> Column:
     return F.split(F.lit("\n".join(values)), "\n")
 
 
-def transform(df: DataFrame, space: FeatureSpace) -> DataFrame:
-    """Add ``idx`` (array<int>) and ``val`` (array<double>): the sparse TF-IDF row with
-    unit length, followed by the scaled numeric features that are not zero."""
+def _weighed(df: DataFrame, space: FeatureSpace) -> DataFrame:
+    """Add the counted ``terms`` as ``__sparse``, their TF-IDF weights ``__w`` and the length ``__norm``."""
     idf = double_array(space.idf)
 
     def weigh(i: Column, tf: Column) -> Column:
         return (F.log(tf) + 1.0 if space.settings.sublinear_tf else tf) * F.get(idf, i)
 
+    counted = space.counter.transform(df).withColumn("__sparse", F.unwrap_udt("__counts"))
+    weighted = counted.withColumn("__w", F.zip_with("__sparse.indices", "__sparse.values", weigh))
+    squares = F.aggregate("__w", F.lit(0.0), lambda acc, w: acc + w * w)
+    return weighted.withColumn("__norm", F.sqrt(squares))
+
+
+def transform(df: DataFrame, space: FeatureSpace) -> DataFrame:
+    """Add ``idx`` (array<int>) and ``val`` (array<double>): the sparse TF-IDF row with
+    unit length, followed by the scaled numeric features that are not zero."""
     numeric = F.array(
         *[
             F.struct(
@@ -200,12 +208,7 @@ def transform(df: DataFrame, space: FeatureSpace) -> DataFrame:
             for k, name in enumerate(NUMERIC_FEATURES)
         ]
     )
-    counted = space.counter.transform(with_terms(df, space.settings)).withColumn(
-        "__sparse", F.unwrap_udt("__counts")
-    )
-    weighted = counted.withColumn("__w", F.zip_with("__sparse.indices", "__sparse.values", weigh))
-    squares = F.aggregate("__w", F.lit(0.0), lambda acc, w: acc + w * w)
-    normed = weighted.withColumn("__norm", F.sqrt(squares)).withColumn(
+    normed = _weighed(with_terms(df, space.settings), space).withColumn(
         "__num", F.filter(numeric, lambda s: s["v"] != 0.0)
     )
     return normed.withColumns(
@@ -257,24 +260,17 @@ def feature_names(space_vocab: DataFrame) -> DataFrame:
     return terms_part.unionByName(numeric)
 
 
-# ---- purely relational form -------------------------------------------------
-
-
 def tfidf_long(df: DataFrame, vocab: DataFrame, key: list[str], settings: Settings = DEFAULTS) -> DataFrame:
-    """(key, term, weight) by joins and aggregates, for vocabularies kept as tables.
+    """(key, term, weight) of documents with ``terms``, for vocabularies kept as tables.
 
-    The vocabulary is broadcast, its size being bounded by ``max_features``. The
-    terms of a document start in one task, so the counts combine map-side.
+    The vocabulary comes to the driver, its size being bounded by ``max_features``. Terms are
+    counted, weighed and normalised inside the row and taken apart last: nothing is shuffled.
     """
-    counts = (
-        df.select(*key, F.explode_outer("terms").alias("term"))
-        .join(vocab.select("term", "idf"), "term")
-        .groupBy(*key, "term", "idf")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    tf = F.log("tf") + 1.0 if settings.sublinear_tf else F.col("tf").cast("double")
-    weighted = counts.select(*key, "term", (tf * F.col("idf")).alias("w"))
-    norms = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, key).select(
-        *key, "term", (F.col("w") / F.col("norm")).alias("weight")
-    )
+    rows = vocab.orderBy("idx").select("term", "df", "idf").collect()
+    if not rows:
+        return df.select(*key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).where("false")
+    space = FeatureSpace([r["term"] for r in rows], [r["df"] for r in rows], [r["idf"] for r in rows], 0, [], settings)
+    weighed = _weighed(df.select(*key, "terms"), space)
+    unit = F.transform("__w", lambda w: w / F.col("__norm"))
+    pairs = weighed.select(*key, F.inline(F.arrays_zip(F.col("__sparse.indices").alias("i"), unit.alias("weight"))))
+    return pairs.select(*key, F.get(string_array(space.terms), F.col("i")).alias("term"), "weight")

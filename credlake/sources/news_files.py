@@ -1,11 +1,13 @@
 """Labelled news files: layout detection, alias columns, scans."""
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from credlake.config import FAKE, REAL
 from credlake.errors import DataValidationError
@@ -35,12 +37,15 @@ def detect_columns(columns: list[str]) -> dict[str, str | None]:
 
 
 def _list_tables(spark: SparkSession, folder: str) -> list[str] | None:
-    """Paths of csv/tsv files in a folder of any file system; null when it is missing."""
+    """Paths of csv/tsv tables in a folder of any file system; null when it is missing.
+
+    A table is a file or, as Spark writes them, a folder with such a name.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
-    paths = [str(status.getPath().toString()) for status in fs.listStatus(path) if status.isFile()]
+    paths = [str(status.getPath().toString()) for status in fs.listStatus(path)]
     return sorted(p for p in paths if PurePosixPath(p).suffix in (".csv", ".tsv"))
 
 
@@ -63,26 +68,31 @@ def find_layout(spark: SparkSession, folder: str) -> dict:
     )
 
 
+def _raw(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Tables of one separator and header as strings; quoted texts may hold line ends."""
+    reader = spark.read
+    if columns is not None:
+        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+    sep = "\t" if paths[0].lower().endswith(".tsv") else ","
+    return reader.csv(paths, header=True, sep=sep, multiLine=True, quote='"', escape='"')
+
+
+def _presented(raw: DataFrame, *more: Column) -> DataFrame:
+    """Missing-value tokens as null."""
+    return raw.select(*[_present(F.col(f"`{c}`")).alias(c) for c in raw.columns], *more)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Header file as strings, separator by suffix, missing-value tokens as null."""
-    raw = spark.read.csv(
-        path,
-        header=True,
-        sep="\t" if path.lower().endswith(".tsv") else ",",
-        multiLine=True,
-        quote='"',
-        escape='"',
-        inferSchema=False,
-    )
-    return raw.select(*[_present(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    return _presented(_raw(spark, [path]))
 
 
 def _present(col: Column) -> Column:
     return F.when(~col.isin(NULL_TOKENS), col)
 
 
-def standard_columns(df: DataFrame, name: str, need_label: bool, label: Column | None = None) -> DataFrame:
-    """Project any table to title, text, label; raise when a role cannot be filled."""
+def standard_columns(df: DataFrame, name: str, need_label: bool, label: Column | None = None, *keys: Column) -> DataFrame:
+    """Project any table to title, text, label (and ``keys``); raise when a role cannot be filled."""
     roles = detect_columns(df.columns)
     if need_label and roles["label"] is None:
         raise DataValidationError(
@@ -99,7 +109,7 @@ def standard_columns(df: DataFrame, name: str, need_label: bool, label: Column |
         return F.lit("") if column is None else F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
     value = label if label is not None else coerce_label(F.col(f"`{roles['label']}`"))
-    return df.select(role("title").alias("title"), role("text").alias("text"), value.alias("label"))
+    return df.select(role("title").alias("title"), role("text").alias("text"), value.alias("label"), *keys)
 
 
 def read_single(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +129,7 @@ def read_paired(spark: SparkSession, fake: str, true: str) -> DataFrame:
 def read_truth_labels(spark: SparkSession, path: str) -> DataFrame:
     """Headerless 14-column TSV whose six-way truth label collapses to REAL/FAKE."""
     schema = ", ".join(f"{c} string" for c in TRUTH_COLUMNS)
-    raw = spark.read.schema(schema).csv(path, sep="\t", header=False, quote='"', escape='"')
+    raw = spark.read.schema(schema).csv(path, sep="\t", header=False, multiLine=True, quote='"', escape='"')
     return raw.select(
         F.lit("").alias("title"),
         F.coalesce(_present(F.col("statement")), F.lit("")).alias("text"),
@@ -132,24 +142,32 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, ...]]:
+    """Column names of each table; only first lines are read, several tables at a time."""
+    with ThreadPoolExecutor(8) as pool:
+        return list(pool.map(lambda p: tuple(_raw(spark, [p]).columns), paths))
+
+
 def read_news(spark: SparkSession, folder: str) -> DataFrame:
     """All labelled rows of a folder as title, text, label, with an order key.
 
-    ``file_no`` and ``row_no`` stand for file order, which files do not carry: rows of
-    a quoted multi-line file are read in order by one task, so the generated id
-    follows the file.
+    Tables with the same header and label are one scan, however many they are. ``file`` (the
+    file's path) and ``row_no`` order the rows: rows of a quoted multi-line file are read in order
+    by one task, so the generated id rises with the file's lines however files are dealt to tasks.
     """
     layout = find_layout(spark, folder)
     if layout["mode"] == "paired":
-        files = [(layout["fake"], F.lit(FAKE)), (layout["true"], F.lit(REAL))]
+        tables = [(layout["fake"], FAKE), (layout["true"], REAL)]
     else:
-        files = [(path, None) for path in layout["files"]]
+        tables = [(path, None) for path in layout["files"]]
+    scans: dict[tuple, list[str]] = {}
+    for (path, label), header in zip(tables, _headers(spark, [path for path, _ in tables])):
+        scans.setdefault((header, PurePosixPath(path).suffix.lower(), label), []).append(path)
+    order = (F.col("__file").alias("file"), F.col("__row").alias("row_no"))
+    keys = (F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__row"))
     parts = []
-    for number, (path, label) in enumerate(files):
-        rows = standard_columns(
-            read_table(spark, path), PurePosixPath(path).name, need_label=label is None, label=label
-        )
-        parts.append(
-            rows.withColumn("file_no", F.lit(number)).withColumn("row_no", F.monotonically_increasing_id())
-        )
+    for (header, _, label), paths in scans.items():
+        rows = _presented(_raw(spark, paths, list(header)), *keys)
+        value = None if label is None else F.lit(label)
+        parts.append(standard_columns(rows, PurePosixPath(paths[0]).name, label is None, value, *order))
     return union_all(parts)

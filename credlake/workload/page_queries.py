@@ -9,6 +9,7 @@ from credlake.functions.cleaning import unescape
 from credlake.operators import pages as pg
 from credlake.operators.common import checkpoint_dir
 from credlake.plans import verification as vp
+from credlake.schemas import TRUTH_COLUMNS
 from credlake.sources import news_files, store
 from credlake.streaming import jobs
 from credlake.workload import sql_views as q
@@ -151,6 +152,75 @@ def news_file_scan(spark, sf):
     )
 
 
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+READ_NEWS = "SELECT md5(title) AS title_md5, md5(text) AS text_md5, label, count(*) AS n_rows FROM ({rows}) GROUP BY ALL"
+CODED_NEWS = "SELECT coalesce(title, '') AS title, coalesce(text, '') AS text, CASE label WHEN 'FAKE' THEN 1 WHEN 'REAL' THEN 0 END AS label FROM v_news"
+
+
+def _read_news(rows):
+    return rows.groupBy(F.md5("title").alias("title_md5"), F.md5("text").alias("text_md5"), "label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("single_folder_scan", READ_NEWS.format(rows=CODED_NEWS))
+def single_folder_scan(spark, sf):
+    """A folder of many labelled files of two headers, found, read and put together by the loader."""
+    folder, rows = _folder(spark, "many"), v.news(spark, sf)
+    store.write_csv(rows.filter("doc_id % 2 = 0").select(F.col("title").alias("Headline"), F.col("text").alias("News Text"), F.col("label").alias("Class")), f"{folder}/first.csv")
+    store.write_csv(rows.filter("doc_id % 2 = 1").select(F.col("label").alias("target"), F.col("text").alias("body"), F.col("title").alias("head")), f"{folder}/second.csv")
+    return _read_news(news_files.read_news(spark, folder))
+
+
+@query("paired_folder_scan", READ_NEWS.format(rows=CODED_NEWS + " WHERE label IS NOT NULL"))
+def paired_folder_scan(spark, sf):
+    """A folder with a table of FAKE and a table of REAL news, whose names give the label."""
+    folder, rows = _folder(spark, "paired"), v.news(spark, sf)
+    for name, label in (("Fake", "FAKE"), ("TRUE", "REAL")):
+        store.write_csv(rows.filter(F.col("label") == label).select("title", "text"), f"{folder}/{name}.csv")
+    return _read_news(news_files.read_news(spark, folder))
+
+
+TRUTH = ["true", "mostly-true", "half-true", "barely-true", "false", "pants-fire"]
+
+
+@query(
+    "truth_label_scan",
+    "SELECT md5(coalesce(text, '')) AS text_md5, CASE WHEN doc_id % 6 >= 3 THEN 1 ELSE 0 END AS label, count(*) AS n_rows FROM documents GROUP BY ALL",
+)
+def truth_label_scan(spark, sf):
+    """Documents as statements of a headerless file with six truth labels."""
+    path, doc = _folder(spark, "truth"), F.col("doc_id")
+    rest = [F.lit("x").alias(c) for c in TRUTH_COLUMNS[3:]]
+    rows = v.table(spark, sf, "documents").select(doc.alias("id"), v.pick(doc % 6, TRUTH).alias("label"), F.col("text").alias("statement"), *rest)
+    rows.write.csv(path, sep="\t", header=False, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = news_files.read_truth_labels(spark, path)
+    return back.groupBy(F.md5("text").alias("text_md5"), "label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("csv_report", "SELECT doc_id, lang, md5(coalesce(text, '')) AS text_md5 FROM documents")
+def csv_report(spark, sf):
+    """Documents through a CSV report: quotes, line ends and blanks come back as they were."""
+    path = _folder(spark, "report-csv")
+    store.write_csv(v.table(spark, sf, "documents").select("doc_id", "lang", "text"), path)
+    back = spark.read.schema("doc_id long, lang string, text string").csv(
+        path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    return back.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+@query("json_report", "SELECT doc_id, label IS NULL AS no_label, label, md5(title) AS title_md5, md5(text) AS text_md5 FROM v_news")
+def json_report(spark, sf):
+    """News through a JSON report: fields that are null are written as null."""
+    path = _folder(spark, "report-json")
+    store.write_json(v.news(spark, sf).select("doc_id", "label", "title", "text"), path)
+    lines = spark.read.text(path).select("value", F.from_json("value", "doc_id long, label string, title string, text string").alias("r"))
+    return lines.select(
+        "r.doc_id", F.col("value").contains('"label":null').alias("no_label"), "r.label", F.md5("r.title").alias("title_md5"), F.md5("r.text").alias("text_md5")
+    )
+
+
 # ---- streams ----------------------------------------------------------------
 
 

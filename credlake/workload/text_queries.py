@@ -267,6 +267,25 @@ def unescaped_clean_pages(spark, sf):
     return rows.select("page_id", F.md5("clean_text").alias("clean_md5"))
 
 
+# Texts with compatibility characters and their NFKC forms.
+COMPATIBILITY = [
+    ("\ufb01ne ", "fine "), ("\uff21\uff22\uff11 ", "AB1 "), ("\u2460 x\u00b2 ", "1 x2 "), ("\u2163 \u2122 ", "IV TM "),
+    ("\u00bd ", "1\u20442 "), ("cafe\u0301 ", "caf\u00e9 "), ("\uff1cb\uff1e ", "<b> "), ("a\u00a0b\u2003c ", "a b c "),
+]
+
+
+@query(
+    "compatibility_characters",
+    f"""SELECT doc_id, md5({q.pick('doc_id % 8', [after for _, after in COMPATIBILITY])} || t) AS text_md5
+        FROM (SELECT doc_id, {_entities('text')} AS t FROM documents)""",
+)
+def compatibility_characters(spark, sf):
+    """Documents behind words of compatibility characters, which the cleaner folds (NFKC)."""
+    start = v.pick(F.col("doc_id") % 8, [before for before, _ in COMPATIBILITY])
+    rows = v.table(spark, sf, "documents").select("doc_id", F.concat(start, "text").alias("t"))
+    return rows.select("doc_id", F.md5(cleaning.normalize_unicode(F.col("t"))).alias("text_md5"))
+
+
 # ---- style ------------------------------------------------------------------
 
 

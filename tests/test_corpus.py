@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from credlake.config import Settings
 from credlake.errors import DataValidationError, SharedFolderError
 from credlake.operators import corpus
-from credlake.operators.common import checkpoint_dir, paged
+from credlake.operators.common import checkpoint_dir, first_rows, numbered, paged
 from credlake.sources import news_files, registry, store
 
 
@@ -58,6 +58,56 @@ def test_pages_are_numbered_alike(spark):
     assert got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 1, ("a", 3): 1, ("a", 4): 2, ("b", 9): 0}
 
 
+def test_first_rows_keep_texts_out_of_the_aggregation(spark, capsys):
+    rows = [(i, i % 3, None if i % 4 == 0 else f"text {i % 3}") for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, part int, wide string")
+    kept = first_rows(df, [F.md5("wide")], ["id"])
+    assert kept.columns == df.columns
+    first = {}
+    for row in rows:
+        first.setdefault(row[2], row)
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(first.values())
+    kept.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "SortAggregate" not in plan
+    aggregates = [part for part in plan.split("\n\n") if "HashAggregate" in part.split("\n")[0] and "Input" in part]
+    assert aggregates and not any("wide" in line for part in aggregates for line in part.split("\n") if line.startswith("Input"))
+    two = first_rows(df.where("wide is not null"), ["wide"], ["part", "id"])
+    assert sorted(values(two, "part", "id")) == [(0, 3), (1, 1), (2, 2)]
+    assert first_rows(df.limit(0), ["wide"], ["id"]).collect() == []
+
+
+def test_numbers_of_a_hot_and_a_null_key(spark):
+    rows = [("hot", i) for i in range(200)] + [(None, i) for i in range(5)] + [("b", 7)]
+    got = numbered(spark.createDataFrame(rows, "k string, item int"), ["k"], [F.desc("item")])
+    assert got.columns == ["k", "item", "number"]
+    assert {(r["k"], r["item"]): r["number"] for r in got.collect()} == {
+        (k, i): ({"hot": 199, None: 4, "b": 7}[k] - i) for k, i in rows
+    }
+
+
+def test_a_thousand_files_of_one_header_are_one_scan(spark, tmp_path, capsys):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(40):
+        (folder / f"f{i:04}.csv").write_text(f'title,text,label\nt{i},"one\ntwo",1\nu{i},x,0\n')
+    (folder / "other.csv").write_text("label,headline\nreal,odd\n")
+    rows = news_files.read_news(spark, str(folder))
+    rows.explain("formatted")
+    assert capsys.readouterr().out.count("\nLocation: ") == 2
+    assert rows.count() == 81
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    orders = []
+    for cut in (size, "64b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+        try:
+            orders.append(values(news_files.read_news(spark, str(folder)).orderBy("file", "row_no"), "title", "text"))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert orders[0] == orders[1]
+    assert orders[0][:2] == [("t0", "one\ntwo"), ("u0", "x")]
+
+
 def test_unset_shared_folder_is_an_error():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default))
     with pytest.raises(SharedFolderError):
