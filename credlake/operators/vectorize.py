@@ -184,7 +184,11 @@ def string_array(values: list[str]) -> Column:
 
 
 def _weighed(df: DataFrame, space: FeatureSpace) -> DataFrame:
-    """Add the counted ``terms`` as ``__sparse``, their TF-IDF weights ``__w`` and the length ``__norm``."""
+    """Add the counted ``terms`` as ``__sparse`` and their TF-IDF weights at unit length as ``__unit``.
+
+    The length is bound once; a column of its own would be copied into the division and so
+    summed again for every term of the row.
+    """
     idf = double_array(space.idf)
 
     def weigh(i: Column, tf: Column) -> Column:
@@ -193,7 +197,7 @@ def _weighed(df: DataFrame, space: FeatureSpace) -> DataFrame:
     counted = space.counter.transform(df).withColumn("__sparse", F.unwrap_udt("__counts"))
     weighted = counted.withColumn("__w", F.zip_with("__sparse.indices", "__sparse.values", weigh))
     squares = F.aggregate("__w", F.lit(0.0), lambda acc, w: acc + w * w)
-    return weighted.withColumn("__norm", F.sqrt(squares))
+    return weighted.withColumn("__unit", let(F.sqrt(squares), lambda norm: F.transform("__w", lambda w: w / norm))).drop("__w")
 
 
 def transform(df: DataFrame, space: FeatureSpace) -> DataFrame:
@@ -214,9 +218,9 @@ def transform(df: DataFrame, space: FeatureSpace) -> DataFrame:
     return normed.withColumns(
         {
             "idx": F.concat("__sparse.indices", F.col("__num.i")),
-            "val": F.concat(F.transform("__w", lambda w: w / F.col("__norm")), F.col("__num.v")),
+            "val": F.concat("__unit", F.col("__num.v")),
         }
-    ).drop("terms", "__counts", "__sparse", "__w", "__norm", "__num")
+    ).drop("terms", "__counts", "__sparse", "__unit", "__num")
 
 
 def to_long(df: DataFrame, key: list[str], space: FeatureSpace | None = None) -> DataFrame:
@@ -271,6 +275,5 @@ def tfidf_long(df: DataFrame, vocab: DataFrame, key: list[str], settings: Settin
         return df.select(*key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).where("false")
     space = FeatureSpace([r["term"] for r in rows], [r["df"] for r in rows], [r["idf"] for r in rows], 0, [], settings)
     weighed = _weighed(df.select(*key, "terms"), space)
-    unit = F.transform("__w", lambda w: w / F.col("__norm"))
-    pairs = weighed.select(*key, F.inline(F.arrays_zip(F.col("__sparse.indices").alias("i"), unit.alias("weight"))))
+    pairs = weighed.select(*key, F.inline(F.arrays_zip(F.col("__sparse.indices").alias("i"), F.col("__unit").alias("weight"))))
     return pairs.select(*key, F.get(string_array(space.terms), F.col("i")).alias("term"), "weight")
