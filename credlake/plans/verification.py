@@ -12,7 +12,7 @@ from credlake.operators import evidence as ev
 from credlake.operators import pages as pg
 from credlake.operators import verdicts as vd
 from credlake.operators.common import materialize
-from credlake.sources import store
+from credlake.sources import committed
 
 
 @dataclass
@@ -25,9 +25,11 @@ class Verification:
     fact_checks: DataFrame
     verdicts: DataFrame
 
-    def save(self, root: str) -> None:
-        for name in ("claims", "sources", "evidence", "fact_checks", "verdicts"):
-            store.append_table(getattr(self, name), root, name)
+    def save(self, root: str, run: str) -> bool:
+        """Commit all tables of the run at once; False if the run is stored already."""
+        names = ("claims", "sources", "evidence", "fact_checks", "verdicts")
+        tables = {name: getattr(self, name) for name in names}
+        return committed.commit(self.claims.sparkSession, root, run, tables)
 
 
 def verify(

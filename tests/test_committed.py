@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credlake.errors import DataValidationError
+from credlake.plans.verification import Verification
 from credlake.sources import committed
 from conftest import values
 
@@ -91,3 +92,12 @@ def test_empty_tables_null_requests_and_names(spark, tmp_path):
     assert values(committed.read_table(spark, root, "claims"), "claim_id", "request_id") == [("1", None)]
     with pytest.raises(DataValidationError):
         committed.commit(spark, root, "a/b", {})
+
+
+def test_verification_is_saved_once(spark, tmp_path):
+    root = str(tmp_path / "s")
+    rows = spark.createDataFrame([(1, 9, "v")], "claim_id long, request_id long, verdict string")
+    run = Verification(claims=rows, sources=rows, evidence=rows, fact_checks=rows.limit(0), verdicts=rows)
+    assert run.save(root, "run-1") and not run.save(root, "run-1")
+    stored = committed.read_result(spark, root, 9)
+    assert {name: df.count() for name, df in stored.items() if name in ("claims", "fact_checks", "verdicts")} == {"claims": 1, "fact_checks": 0, "verdicts": 1}

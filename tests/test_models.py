@@ -7,12 +7,22 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from credlake.config import Settings
 from credlake.errors import EmptyInputError, ModelNotFoundError
 from credlake.operators import linear, metrics, vectorize
 from credlake.plans import prediction, training
 from credlake.sources import store
 
 
+def test_random_search_draws_a_repeatable_part_of_the_grid():
+    grid = training.FULL_GRIDS["LogisticRegression"]
+    whole = training.parameter_sets(grid)
+    drawn = [training.parameter_sets(grid, Settings(search_type="random", random_search_iterations=n, seed=3)) for n in (5, 5, 99)]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 5
+    assert all(p in whole for p in drawn[0]) and len({str(p) for p in drawn[0]}) == 5
+    assert sorted(map(str, drawn[2])) == sorted(map(str, whole))
+
+
 def scored(spark, rows):
     df = spark.createDataFrame(rows, "model string, label int, score double")
     return linear.with_prediction(df)
