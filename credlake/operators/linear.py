@@ -283,7 +283,7 @@ def contributions(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     value = F.col("value") * F.col("weight")
     return (
         pairs.filter(F.col("value") != 0.0)
-        .join(F.broadcast(weights.select("feature", "weight")), "feature")
+        .join(weights.select("feature", "weight"), "feature")
         .withColumns(
             {
                 "contribution": value,

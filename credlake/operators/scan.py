@@ -17,11 +17,8 @@ REGISTRY_DEFAULTS = {
 }
 
 
-def registry_articles(registry: DataFrame, results: DataFrame, max_sources: int | None = None) -> DataFrame:
-    """Article rows: results joined with the attributes of their registry source.
-
-    The registry side is broadcast only when the caller states a bound on it.
-    """
+def registry_articles(registry: DataFrame, results: DataFrame) -> DataFrame:
+    """Article rows: results joined with the attributes of their registry source."""
     filled = registry.withColumns(
         {n: F.coalesce(F.col(n), F.lit(v)) for n, v in REGISTRY_DEFAULTS.items()}
     ).select(
@@ -74,7 +71,7 @@ def _report(
         numbered.select("source_url", "source_no"), "source_url"
     )
     picked = _results_per_source(chosen, per_source)
-    articles = registry_articles(numbered, picked, n_sources)
+    articles = registry_articles(numbered, picked)
     return _first_urls(articles, limit).select(
         "source_no", "position", "title", "url", "snippet", "source_name", "source_url",
         "source_country", "language", "credibility", "published_date",
@@ -89,7 +86,7 @@ def category_scan(registry: DataFrame, results: DataFrame, per_list: int = 10, p
         F.col("source_no") <= per_list
     )
     chosen = results.join(top.select("source_url"), "source_url", "left_semi")
-    articles = registry_articles(top, _results_per_source(chosen, per_source), 2 * per_list)
+    articles = registry_articles(top, _results_per_source(chosen, per_source))
     article = F.struct(
         "position", "url", "title", "snippet", "source_country", "category", "language", "credibility"
     )
