@@ -1,8 +1,8 @@
 """Linear models fitted over shards of rows, many at once.
 
 Rows are dealt to shards by a hash of what they hold, and ordered by it inside, so shards don't
-depend on how the table is partitioned; a shard is one stored row of arrays, which a task
-reads as a sparse matrix. A pass reads every shard once for all models that still ask for
+depend on how the table is partitioned; a shard is stored as one row of packed arrays, which a
+task maps as a sparse matrix without touching its elements. A pass reads every shard once for all models that still ask for
 something, sums what they asked for inside the task, then by (model, bucket) and by model in
 Spark; one vector a model, at most ``max_features`` + 11 numbers, reaches the driver.
 """
@@ -34,7 +34,8 @@ class Config:
 
 @dataclass
 class Shards:
-    table: DataFrame
+    table: DataFrame  # shard and its rows, as dealt
+    packed: DataFrame  # the same, as bytes, written once; what every pass reads
     size: int  # features
     counts: dict[tuple[int, int], int]  # rows by (fold, label)
 
@@ -52,27 +53,42 @@ class Shards:
 
 
 def sharded(train: DataFrame, size: int) -> Shards:
-    """Pack rows (idx, val, label and perhaps fold); written once because every pass reads it."""
+    """Pack rows (idx, val, label and perhaps fold); written once because every pass reads it.
+
+    As bytes: taking nested arrays apart element by element cost a pass many times its arithmetic.
+    """
     fold = F.coalesce(F.col("fold"), F.lit(0)) if "fold" in train.columns else F.lit(0)
     rows = train.select("idx", "val", F.col("label").cast("int").alias("label"), fold.cast("int").alias("fold"))
     rows = rows.withColumn("hash", F.xxhash64("idx", "val", "label", "fold"))
     counts = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
     n_shards = max(1, -(-sum(counts.values()) // ROWS_A_SHARD))
-    packed = rows.groupBy(F.pmod("hash", F.lit(n_shards)).alias("shard")).agg(F.array_sort(F.collect_list(F.struct("hash", "label", "fold", "idx", "val"))).alias("rows"))
-    return Shards(materialize(packed, "shards"), size, counts)
+    dealt = rows.groupBy(F.pmod("hash", F.lit(n_shards)).alias("shard")).agg(F.array_sort(F.collect_list(F.struct("hash", "label", "fold", "idx", "val"))).alias("rows"))
+    return Shards(dealt, materialize(dealt.mapInArrow(_packed, _PACKED), "shards"), size, counts)
+
+
+_PACKED = "shard long, label binary, fold binary, length binary, at binary, value binary"
+_KINDS = {"label": np.int32, "fold": np.int32, "length": np.int32, "at": np.int32, "value": np.float64}
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of each shard's rows as the bytes of one array each."""
+    for batch in batches:
+        for n, number in enumerate(batch.column(0).to_pylist()):
+            rows = batch.column(1).slice(n, 1).flatten()
+            idx, val = rows.field("idx"), rows.field("val")
+            columns = {"label": rows.field("label"), "fold": rows.field("fold"), "length": idx.value_lengths(), "at": idx.flatten(), "value": val.flatten()}
+            parts = [pa.array([columns[c].to_numpy(zero_copy_only=False).astype(kind).tobytes()], pa.binary()) for c, kind in _KINDS.items()]
+            yield pa.record_batch([pa.array([number], pa.int64()), *parts], ["shard", *_KINDS])
 
 
 class Shard:
     """Sparse rows of one shard."""
 
-    def __init__(self, number: int, rows: pa.StructArray):
-        self.number = number
-        self.y = np.where(rows.field("label").to_numpy() == 1, 1.0, -1.0)
-        self.fold = rows.field("fold").to_numpy()
-        lengths = rows.field("idx").value_lengths().to_numpy()
-        self.ends = np.concatenate([[0], np.cumsum(lengths)])
-        self.at, self.value = rows.field("idx").flatten().to_numpy(), rows.field("val").flatten().to_numpy()
-        self.row = np.repeat(np.arange(len(self.y)), lengths)
+    def __init__(self, number: int, label: np.ndarray, fold: np.ndarray, length: np.ndarray, at: np.ndarray, value: np.ndarray):
+        self.number, self.fold, self.at, self.value = number, fold, at, value
+        self.y = np.where(label == 1, 1.0, -1.0)
+        self.ends = np.concatenate([[0], np.cumsum(length)])
+        self.row = np.repeat(np.arange(len(self.y)), length)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         """Products of the rows with weights whose last entry is the constant's."""
@@ -84,14 +100,13 @@ class Shard:
 
 
 def _shards_of(batch: pa.RecordBatch) -> Iterator[Shard]:
-    numbers, rows = batch.column(0).to_pylist(), batch.column(1)
-    for n, number in enumerate(numbers):
-        yield Shard(number, rows.slice(n, 1).flatten())
+    for n, number in enumerate(batch.column(0).to_pylist()):
+        yield Shard(number, *[np.frombuffer(batch.column(c)[n].as_buffer(), kind) for c, kind in enumerate(_KINDS.values(), 1)])
 
 
 def _pass(shards: Shards, asked: dict[int, tuple], answer: Callable[[Shard, int, tuple], np.ndarray]) -> dict[int, np.ndarray]:
     """Per model the sum over shards of ``answer(shard, model, request)``."""
-    shared = shards.table.sparkSession.sparkContext.broadcast(asked)
+    shared = shards.packed.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, first = {}, None
@@ -104,9 +119,9 @@ def _pass(shards: Shards, asked: dict[int, tuple], answer: Callable[[Shard, int,
         if sums:
             yield _vectors(list(sums), [first % BUCKETS] * len(sums), list(sums.values()))
 
-    parts = shards.table.mapInArrow(run, _VECTORS)
+    parts = shards.packed.mapInArrow(run, _VECTORS)
     for keys in (["model", "bucket"], ["model"]):
-        parts = parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_summed, _VECTORS)
+        parts = parts.repartition(*keys).sortWithinPartitions("model", "bucket").mapInArrow(_summed(keys), _VECTORS)
     found = parts.toArrow()
     shared.unpersist()
     return {m: _numbers(k, v) for m, k, v in zip(found["model"].to_pylist(), found["kind"].to_pylist(), found["vector"].to_pylist())}
@@ -124,14 +139,19 @@ def _vectors(models: list[int], buckets: list[int], vectors: list[np.ndarray]) -
     return pa.record_batch(columns, ["model", "bucket", "kind", "vector"])
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for model, bucket, kind, vector in zip(*(c.to_pylist() for c in batch.columns)):
-            value = _numbers(kind, vector)
-            sums[model, bucket] = sums[model, bucket] + value if (model, bucket) in sums else value
-    if sums:
-        yield _vectors([m for m, _ in sums], [b for _, b in sums], list(sums.values()))
+def _summed(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One vector per value of ``keys``; the bucket is 0 once it is no key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for model, bucket, kind, vector in zip(*(c.to_pylist() for c in batch.columns)):
+                at, value = (model, bucket if "bucket" in keys else 0), _numbers(kind, vector)
+                sums[at] = sums[at] + value if at in sums else value
+        if sums:
+            yield _vectors([m for m, _ in sums], [b for _, b in sums], list(sums.values()))
+
+    return run
 
 
 # ---- smooth losses: Newton steps with conjugate gradients ------------------------------------
@@ -182,7 +202,8 @@ def newton(size: int, penalty: np.ndarray, max_iter: int, tol: float) -> Generat
         share = 1.0
         for _ in range(40):
             found = whole(w + share * step, (yield ("value", w + share * step, None)))
-            if found[0] <= value + 1e-4 * share * float(gradient @ step) or share * np.abs(step).max() < 1e-12:
+            # sums over many rows are equal within their rounding near the minimum
+            if found[0] <= value + 1e-4 * share * float(gradient @ step) + 1e-12 * abs(value) or share * np.abs(step).max() < 1e-12:
                 break
             share /= 2
         w = w + share * step

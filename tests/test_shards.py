@@ -132,3 +132,24 @@ def test_rows_of_a_key_are_numbered_across_ranges(spark):
     for k in (0, 1):
         mine = [r for r in rows if r[0] == k]
         assert [r[1] for r in mine] == list(range(len(mine))) and [r[2] for r in mine] == sorted(r[2] for r in mine)
+
+
+@pytest.mark.parametrize("loss", ["squared_hinge", "logistic"])
+def test_sums_of_shards_in_several_tasks(train, spark, monkeypatch, loss):
+    """Each task's shards come in a bucket of their own; buckets of a model are summed, not chosen from."""
+    monkeypatch.setattr(shards, "ROWS_A_SHARD", 40)
+    dealt = shards.sharded(train, SIZE)
+    assert dealt.packed.count() == 8
+    dealt.packed = dealt.packed.repartitionByRange(8, "shard")
+    assert dealt.packed.select(F.spark_partition_id()).distinct().count() > 1
+    w = shards.fit_smooth(dealt, loss, [Config(1.0)])[0]
+    x, y, s = dense(Config(1.0))
+    margin = y * (x @ w)
+    slope = -2 * s * np.maximum(0, 1 - margin) if loss == "squared_hinge" else -s / (1 + np.exp(margin))
+    assert np.abs(x.T @ (slope * y) + np.append(np.ones(SIZE), loss == "squared_hinge") * w).max() < 1e-4
+
+
+def test_a_pass_reads_bytes(train):
+    """A pass reads flat columns, so Spark takes no nested array apart."""
+    packed = shards.sharded(train, SIZE).packed
+    assert {f.dataType.simpleString() for f in packed.schema} == {"bigint", "binary"}
