@@ -138,3 +138,28 @@ def test_style_counts(spark):
     assert rows[3]["uppercase_ratio"] == 0.0
     assert (rows[4]["word_count"], rows[4]["url_count"]) == (4.0, 1.0)
     assert rows[4]["uppercase_ratio"] == round(2 / 9, 4)
+
+
+def test_input_types_shuffle_no_text(spark, tmp_path):
+    """Documents and pages are judged before the joins: no join carries a text or a URL."""
+    from credlake.workload import QUERIES
+
+    spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 5, 6, 7, 10, 30, None)], "event_id long").selectExpr(
+        "event_id", "timestamp_ntz'2024-01-01' ts", "1L user_id", "'view' event_type", "1D value", "'' props"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    texts = [(0, "http://a.org " + "word " * 120), (1, "six words stand in this text"), (2, None)]
+    spark.createDataFrame([(*t, "en", "s", 1) for t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = [(0, "https://b.org/x", ""), (1, "no url", ""), (2, None, "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    df = QUERIES["input_types"](spark, str(tmp_path))
+    assert {r["event_id"]: r["input_type"] for r in df.collect()} == {
+        0: "url", 1: "claim", 2: "claim", 3: "article", 5: "claim", 6: "article", 7: "claim", 10: "claim", 30: "url"
+    }
+    plan, inputs = [df._jdf.queryExecution().optimizedPlan()], []
+    while plan:
+        node = plan.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            inputs += [c.output().apply(i).name() for c in children for i in range(c.output().size())]
+        plan += children
+    assert inputs and not {"text", "url"} & set(inputs)
