@@ -163,3 +163,13 @@ def test_input_types_shuffle_no_text(spark, tmp_path):
             inputs += [c.output().apply(i).name() for c in children for i in range(c.output().size())]
         plan += children
     assert inputs and not {"text", "url"} & set(inputs)
+
+
+def test_term_statistics_emit_a_term_once(spark):
+    """One row per occurrence carries both counts; there is no second set of distinct terms."""
+    from credlake.operators import vectorize
+
+    rows = [(["b", "a", None, "a", None],), (None,), ([],), (["a"],)]
+    stats = vectorize.term_statistics(spark.createDataFrame(rows, "terms array<string>"))
+    assert sorted(tuple(r) for r in stats.collect()) == [("a", 3, 2), ("b", 1, 1)]
+    assert "array_distinct" not in stats._jdf.queryExecution().optimizedPlan().toString()
