@@ -318,6 +318,34 @@ def test_parts_of_a_crowded_filter_lose_nothing(spark, clouds, monkeypatch):
     assert sorted(map(tuple, caps.groups(vectors(spark, clouds)).collect())) == whole
 
 
+def test_strangers_rarely_meet_in_a_filter():
+    x = np.random.default_rng(8).normal(size=(4000, 64))
+    names, counts = np.unique(np.concatenate([*caps.Filters(64).passed(x)]), return_counts=True)
+    assert 1 - len(names[counts == 1]) / counts.sum() < 0.05
+    for rows in (0, 100, 65_536, 10**6):
+        c = caps.codewords(rows)
+        assert 4 * rows * caps.TAKEN[c] <= c**caps.BLOCKS
+
+
+@pytest.mark.parametrize("words", caps.TAKEN)
+def test_every_codebook_finds_near_pairs(words):
+    x, z = np.random.default_rng(9).normal(size=(2, 200, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    y = caps.COSINE * x + np.sqrt(1 - caps.COSINE**2) * z / np.linalg.norm(z, axis=1)[:, None]
+    filters = caps.Filters(64, words)
+    one, two = filters.passed(x), filters.passed(y)
+    assert (np.diff(one, axis=1) > 0).all() and one.shape[1] == caps.TAKEN[words]
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(one, two)]) >= 0.96
+
+
+def test_cells_compared_together_as_apart(spark, clouds, monkeypatch):
+    whole = sorted(map(tuple, caps.groups(vectors(spark, clouds)).collect()))
+    monkeypatch.setattr(caps, "SMALL", 1)
+    monkeypatch.setattr(caps, "AT_ONCE", 3)
+    assert sorted(map(tuple, caps.groups(vectors(spark, clouds)).collect())) == whole
+
+
 def test_kmeans_tree_search(spark, clouds):
     table = vectors(spark, clouds).withColumn("leaf", F.lit(1))
     got = defaultdict(list)
