@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credlake.llm.common import components, grouped_runs, mix64, released, seeds, shingle_set, written, written_narrow
+from credlake.llm.common import components, grouped_runs, mix64, released, seeds, shingle_sets, written, written_narrow
 
 TREES = 21
 ROWS = 3
@@ -51,6 +51,17 @@ def set_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix64(np.sum(mix64(total) * _KEY, axis=1, dtype=np.uint64)).astype(np.int64)
 
 
+def _named_sets(texts: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Key and shingle set of every text."""
+    for sets in shingle_sets(texts, shingle):
+        sizes = np.array([len(x) for x in sets])
+        full = np.flatnonzero(sizes)
+        keys = np.full(len(sets), set_key(np.empty(0, np.uint64)))
+        if len(full):
+            keys[full] = set_keys(np.concatenate(sets), (np.cumsum(sizes) - sizes)[full])
+        yield from zip(keys.tolist(), sets)
+
+
 def _sketch(signature: np.ndarray) -> np.ndarray:
     return (signature & np.uint32(0xFF)).astype(np.uint8)
 
@@ -160,9 +171,8 @@ def confirmed(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar
         at, own = None, None
         for batch in batches:
             left, right = [], []
-            for a, part, side, key, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                mine = shingle_set(text.encode() if text else None, shingle)
-                if set_key(mine) != key:
+            for a, part, side, key, (name, mine) in zip(*(batch.column(c).to_pylist() for c in range(4)), _named_sets(batch.column(4), shingle)):
+                if name != key:
                     continue  # another row under the same id
                 if side == 0:
                     at, own = (a, part), mine
@@ -252,9 +262,8 @@ def _dense(going: DataFrame, labels: DataFrame | None, fetch: Callable[[DataFram
 
         for batch in batches:
             left, right = [], []
-            for clump, part, side, key, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                mine = shingle_set(text.encode() if text else None, shingle)
-                if set_key(mine) != key:
+            for clump, part, side, key, (name, mine) in zip(*(batch.column(c).to_pylist() for c in range(4)), _named_sets(batch.column(4), shingle)):
+                if name != key:
                     continue
                 if at != (clump, part):
                     at, names, sets, index, parent = (clump, part), [], [], None, {}

@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from credlake.llm import chosen_path
-from credlake.llm.common import dropped, free_name, minwise, mix64, placed_words, released, seeds, shingles_of, text_parts, written, written_narrow
+from credlake.llm.common import distinct_within, dropped, free_name, minwise, mix64, placed_words, released, seeds, shingles_of, text_parts, written, written_narrow
 
 MIN_WORDS = 20
 RECALL = 0.999
@@ -93,9 +94,13 @@ class Texts:
         breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
         begins = np.cumsum(sizes) - sizes
         self.owner = np.searchsorted(begins, starts, "right") - 1
-        self.line = np.searchsorted(breaks, starts)
+        self._starts, self._breaks = starts, breaks
         self.first_line = np.searchsorted(breaks, begins)
 
+    @cached_property
+    def line(self) -> np.ndarray:
+        return np.searchsorted(self._breaks, self._starts)
+
     def paragraphs(self, min_words: int, by: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, line of it, key, size, minwise hashes) of the lines of ``min_words`` words and more."""
         n = len(self.words)
@@ -116,11 +121,7 @@ class Texts:
             at = np.sort(np.concatenate([full, edges[few]]))
         if not len(at):
             return (np.empty(0, np.int64),) * 4 + (np.empty((0, len(by)), np.uint32),)
-        order = np.lexsort((hashes[at], self.line[at]))
-        line, value = self.line[at][order], hashes[at][order]
-        new = np.ones(len(line), dtype=bool)
-        new[1:] = (line[1:] != line[:-1]) | (value[1:] != value[:-1])
-        line, value = line[new], value[new]
+        line, value = distinct_within(self.line[at], hashes[at])
         starts = np.flatnonzero(np.diff(line, prepend=-1))
         offsets = np.append(starts, len(value))
         number = line[starts]
@@ -169,7 +170,7 @@ def grams(docs: DataFrame) -> DataFrame:
 
     def rows(some: Texts, batch: pa.RecordBatch, a: int, b: int) -> pa.RecordBatch:
         owner, first, starts, named, keys = some.runs()
-        _, once = np.unique(named, return_index=True)
+        once = np.flatnonzero(np.diff(named, prepend=-1))  # they never go back
         at = (first + named - starts)[once]
         return pa.record_batch([batch.column(0).take(pa.array(owner[once] + a)), pa.array(at.astype(np.int32)), pa.array(keys[once].astype(np.int64))], ["doc_id", "pos", "key"])
 

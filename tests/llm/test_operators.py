@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +319,26 @@ def test_parts_of_a_crowded_filter_lose_nothing(spark, clouds, monkeypatch):
     assert sorted(map(tuple, caps.groups(vectors(spark, clouds)).collect())) == whole
 
 
+def test_texts_hashed_together_as_apart():
+    from credlake.llm import common
+
+    texts = [None, "", " \n", "a", "a b c", "A b c d e", "x\ny z\n", "é ü " * 40, "one two three four five " * 9, None] * 3
+    together = [s for part in common.shingle_sets(pa.array(texts)) for s in part]
+    apart = [common.shingle_set(t.encode() if t else None) for t in texts]
+    assert [s.tolist() for s in together] == [s.tolist() for s in apart]
+    assert [k for k, _ in chosen_path._named_sets(pa.array(texts), 5)] == [chosen_path.set_key(s) for s in apart]
+
+
+@pytest.mark.parametrize("groups, values", [(7, 5), (7, 1 << 20), (7, 1 << 63), (1 << 25, 9)])
+def test_distinct_within_groups(groups, values):
+    from credlake.llm import common
+
+    rng = np.random.default_rng(3)
+    g, v = rng.integers(0, groups, 3000), rng.integers(0, values, 3000).astype(np.uint64)
+    one, two = common.distinct_within(g, v)
+    assert list(zip(one.tolist(), two.tolist())) == sorted(set(zip(g.tolist(), v.tolist())))
+
+
 def test_strangers_rarely_meet_in_a_filter():
     x = np.random.default_rng(8).normal(size=(4000, 64))
     names, counts = np.unique(np.concatenate([*caps.Filters(64).passed(x)]), return_counts=True)
