@@ -8,9 +8,9 @@ pieces of at most CAPACITY tokens; the pieces, longest first, each go to the seq
 lowest cost so far that has room; a piece that is longer than the room is cut there and its
 rest waits as a shorter piece. So every sequence is filled to its last token.
 
-Tokens come from the tokenizers library. A word's ids don't depend on its neighbours (the
-normaliser and the pre-tokeniser never look across white space), so each worker keeps the
-ids of words that it has seen, in a table of bounded size.
+Tokens come from the tokenizers library. A pre-token's ids don't depend on its neighbours, so each
+worker keeps the ids of pre-tokens that it has seen, in a table of bounded size. Latin-1 texts are split
+into pre-tokens many at once; other texts go to the library whole.
 
 Defined results: a null or empty text is a document of one token, the end id; repeated rows
 are separate documents; an empty table gives no pieces; other columns are not read.
@@ -20,7 +20,6 @@ from __future__ import annotations
 import heapq
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,94 +29,130 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credlake.llm.common import grouped_runs, vocabulary_file
+from credlake.llm.common import grouped_runs, text_parts, vocabulary_file
 
 CAPACITY = 2048
 END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SHARD_BYTES = 4 << 20
 CACHE_WORDS = 700_000
-#: Characters that Python splits at and the tokenizer may not.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85]")
+#: Bytes of text that a worker splits at once.
+PART_BYTES = 4 << 20
+#: The pre-tokens that ``pretokens`` finds; a tokenizer with another pattern encodes whole texts.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin-1 characters that others take for space and the tokenizer may not.
+_OTHER_SPACE = b"\x1c\x1d\x1e\x1f\x85"
+_LATIN = [chr(c) for c in range(256)]
+_LOWER = np.array([ord(c.lower()) for c in _LATIN], np.uint8)
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_CLASS = np.array([_SPACE if c.isspace() else _LETTER if regex.match(r"\p{L}", c) else _NUMBER if regex.match(r"\p{N}", c) else _OTHER for c in _LATIN], np.uint8)
 _LOADED: dict = {}
 
 
+def pretokens(raw: np.ndarray) -> np.ndarray:
+    """First bytes of the matches of PATTERN, and of the white space between them, in lower-case Latin-1."""
+    kind = _CLASS[raw]
+    new = np.ones(len(raw), dtype=bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    at = np.flatnonzero(new & (raw == ord("'")))  # an apostrophe inside a run of signs belongs to the run
+    after = np.append(raw, np.zeros(3, np.uint8))
+    one, two = after[at + 1], after[at + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    ends = np.concatenate([at[short] + 2, at[long] + 3])
+    new[at[short | long] + 1] = False
+    new[ends[ends < len(raw)]] = True
+    return np.flatnonzero(new)
+
+
 class WordIds:
-    """Ids (as little-endian 16- or 32-bit bytes) of white-space separated words of normalised text."""
+    """Ids (as little-endian 16- or 32-bit bytes) of the pre-tokens of normalised text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.kind = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        self.model = self.tokenizer.model
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
-        suffix = spec["model"]["end_of_word_suffix"]
-        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.is_end[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == PATTERN
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        to_alphabet = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.alphabet = {c: "".join(piece for piece, _ in to_alphabet(chr(c))) for c in range(256)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the table: places of pre-tokens, and the ids that begin and end there."""
+        self.words: dict[bytes, int] = {}
+        self.flat, self.ends = np.empty(0, self.kind), np.zeros(1, np.int64)
 
     def encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
-    def normal(self, text: str) -> str | None:
-        """The text as the tokenizer's normaliser leaves it, or None where only the library can tell."""
+    def plain(self, text: str) -> bytes | None:
+        """The text in Latin-1 (composed already, and lower case is one character by another), or None where only the library can tell."""
         try:
-            text.encode("latin-1")  # composed already, and lower case is one character by another
-            lower = text.lower()
-            return None if self.special.search(text) else lower
+            raw = text.encode("latin-1")
         except UnicodeEncodeError:
             return None
-
-    def split(self, word: str) -> tuple[str, ...]:
-        """The pre-tokens of a normalised word."""
-        if word.isalpha():
-            return (word,)
-        if word[:-1].isalpha() and word[-1] in ".,;:!?":
-            return word[:-1], word[-1]
-        return tuple(self.pattern.findall(word))
-
-    def learn(self, new: set[str]) -> None:
-        """Put words into the table; pre-tokens that are new are encoded together."""
-        split = {w: self.split(w) for w in new}
-        unknown = list({p for parts in split.values() for p in parts}.difference(self.parts))
-        for at in range(0, len(unknown), 500):
-            some = unknown[at : at + 500]
-            ids = self.encoded(" ".join(some))
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids)):
-                data, size, a = ids.tobytes(), ids.itemsize, 0
-                for part, b in zip(some, (ends * size).tolist()):
-                    self.parts[part] = data[a:b]
-                    a = b
-            else:
-                for part in some:
-                    self.parts[part] = self.encoded(part).tobytes()
-        parts = self.parts
-        for w, p in split.items():
-            self.words[w] = parts[p[0]] if len(p) == 1 else b"".join([parts[x] for x in p])
+        if not self.known or len(raw.translate(None, _OTHER_SPACE)) < len(raw) or any(t in text for t in self.special):
+            return None
+        return raw
+
+    def learn(self, new: list[bytes]) -> None:
+        """Put pre-tokens into the table; the library's model reads bytes as characters of its alphabet."""
+        tokenize, alphabet = self.model.tokenize, self.alphabet
+        ids: list[int] = []
+        ends = []
+        for word in new:
+            text = word.decode("latin-1")
+            if not text.isspace():
+                ids += [t.id for t in tokenize(text if word.isalnum() else text.translate(alphabet))]
+            ends.append(len(ids))
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.ends = np.concatenate([self.ends, np.array(ends, np.int64) + len(self.flat)])
+        self.flat = np.concatenate([self.flat, np.array(ids, self.kind)])
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Places of different pre-tokens in the table, which takes in those that it lacks."""
+        found = np.array([self.words.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.forget()
+            new = np.arange(len(words))
+        found[new] = len(self.words) + np.arange(len(new))
+        self.learn([words[i] for i in new.tolist()])
+        return found
+
+    def plain_ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of Latin-1 texts, each with the end id."""
+        raw = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
+        starts = pretokens(raw)
+        bounds = np.append(starts, len(raw)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+        solid = _CLASS[raw[starts]] != _SPACE
+        starts = starts[solid]
+        place = self.places(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()[solid]]
+        first = self.ends[place]
+        sizes = self.ends[place + 1] - first
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(first - upto[:-1], sizes) + np.arange(upto[-1])]
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+        edges = upto[np.searchsorted(starts, begins)].tolist()
+        end = np.array([END_ID], dtype=self.kind).tobytes()
+        return [ids[a:b].tobytes() + end for a, b in zip(edges, edges[1:])]
 
     def all_ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text, each with the end id."""
         end = np.array([END_ID], dtype=self.kind).tobytes()
-        out = []
-        for at in range(0, len(texts), 64):
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-            if len(self.parts) > CACHE_WORDS:
-                self.parts.clear()
-            some = texts[at : at + 64]
-            split = [normal.split() if t and (normal := self.normal(t)) is not None and not _OTHER_SPACE.search(t) else None for t in some]
-            self.learn(set().union(*(s for s in split if s)).difference(self.words))
-            get = self.words.__getitem__
-            for text, words in zip(some, split):
-                body = b"".join(map(get, words)) if words is not None else self.encoded(text).tobytes() if text else b""
-                out.append(body + end)
+        out: list[bytes] = []
+        for a, b in text_parts(pa.array(texts, pa.large_string()), PART_BYTES):
+            raw = [self.plain(t or "") for t in texts[a:b]]
+            known = iter(self.plain_ids([r for r in raw if r is not None]))
+            out += [self.encoded(t).tobytes() + end if r is None else next(known) for t, r in zip(texts[a:b], raw)]
         return out
 
 

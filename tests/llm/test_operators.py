@@ -201,6 +201,20 @@ def test_packing_covers_every_token(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_pretokens_are_encoded_once_and_like_the_library():
+    words = packing.WordIds(vocabulary_file("word_bpe_49k.json"))
+    rng = random.Random(8)
+    signs = [chr(c) for c in range(256)] + list("abst rdlvme.,''") * 20
+    texts = [None, "", "\xa0", "it's they'll 'd''re.'s 12½ Éa\x07b", "x'", "x'r", "<|endoftext|> Ω"] + ["".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(3000)]
+    end = np.array([1], words.kind).tobytes()
+    assert words.all_ids(texts) == [(words.encoded(t).tobytes() if t else b"") + end for t in texts]
+    asked = []
+    words.forget()
+    words.learn = lambda new, learn=words.learn: (asked.extend(new), learn(new))
+    words.all_ids(["One word, one word. ONE word!", "word? (one) word"])
+    assert sorted(w for w in asked if not w.isspace()) == sorted([b"one", b"word", b",", b".", b"!", b"?", b"(", b")"])  # no form of a word is encoded again
+
+
 def test_balanced_costs():
     pieces = packing.balanced([2048, 2048, *[64] * 64])
     spent = defaultdict(float)
