@@ -149,3 +149,17 @@ def test_tuning_returns_a_grid_member(trained, small_settings):
     for name in ("MultinomialNB", "PassiveAggressiveClassifier", "LogisticRegression"):
         sets = training.parameter_sets(training.QUICK_GRIDS[name], small_settings)
         assert training.tune(name, train, space, sets, small_settings) in sets
+
+
+def test_news_of_one_row_group_is_spread_over_tasks(spark, tmp_path):
+    """A file of one row group is read by one task; the work on its texts is not left there."""
+    from credlake.workload import model_queries, views
+
+    docs = [(n, f"Title {n}. Some words of text {n}", "en", "s", 30) for n in range(400)]
+    spark.createDataFrame(docs, views.SCHEMAS["documents"]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(n, n % 2, 0) for n in range(0, 400, 2)]
+    spark.createDataFrame(labels, views.SCHEMAS["labels"]).coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (model_queries.articles_to_score(spark, str(tmp_path)), views.clean_news(spark, str(tmp_path))):
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == (400 if len(rows.columns) == 3 else 200)
+        assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < sum(sizes) / 4
