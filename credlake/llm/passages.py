@@ -67,20 +67,22 @@ def named_grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(words) - WINDOW + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    nearest = np.zeros(len(words), dtype=np.int64)
+    nearest = np.zeros(len(words), dtype=np.int8)
     for lag in range(WINDOW - 1, 0, -1):
-        nearest[lag:][words[lag:] == words[:-lag]] = lag
+        np.copyto(nearest[lag:], lag, where=words[lag:] == words[:-lag])
     again = np.flatnonzero(nearest)
-    repeated = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(repeated, np.maximum(again - WINDOW + 1, 0), 1)
-    np.add.at(repeated, again - nearest[again] + 1, -1)
+    places = len(words) + 1
+    repeated = np.bincount(np.maximum(again - WINDOW + 1, 0), minlength=places) - np.bincount(again - nearest[again] + 1, minlength=places)
     starts = np.flatnonzero(WINDOW - np.cumsum(repeated)[:n] >= MIN_DIFFERENT)
-    keys = hashed_runs(words, GRAM)
-    least, at = keys[:n].copy(), np.zeros(n, dtype=np.int64)
-    for k in range(1, WINDOW - GRAM + 1):
-        lower = keys[k : n + k] < least
-        at[lower] = k
-        least[lower] = keys[k : n + k][lower]
+    # the least of a run's grams, the first of equal ones: of 1, 2, 4, … grams, and then of as many as are left
+    least = hashed_runs(words, GRAM)
+    at, held, wanted = np.zeros(len(least), dtype=np.int8), 1, WINDOW - GRAM + 1
+    while held < wanted:
+        step = min(held, wanted - held)
+        lower = least[step:] < least[:-step]
+        at = np.where(lower, at[step:] + np.int8(step), at[:-step])
+        least = np.minimum(least[step:], least[:-step])
+        held += step
     return starts, (np.arange(n) + at)[starts], least[starts]
 
 
