@@ -3,16 +3,17 @@
 Rows are dealt to shards by a hash of what they hold, and ordered by it inside, so shards don't
 depend on how the table is partitioned; a shard is stored as one row of packed arrays, which a
 task maps as a sparse matrix without touching its elements. A pass reads every shard once for all models that still ask for
-something, sums what they asked for inside the task, then by (model, bucket) and by model in
-Spark; one vector a model, at most ``max_features`` + 11 numbers, reaches the driver.
+something, sums what they asked for inside the task, then by model in Spark (of many shards, by
+(model, bucket) before); one vector a model, at most ``max_features`` + 12 numbers, reaches the driver.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Generator, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ from credlake.operators.common import materialize
 
 ROWS_A_SHARD = 2048
 BUCKETS = 32
+# From so many shards on, vectors are summed by bucket before they are summed by model.
+MANY_SHARDS = 512
+# Rows without curvature from which on Hessian products leave them out.
+NARROW_ROWS = 16 * ROWS_A_SHARD
 _FIXED = 2.0**50
 
 
@@ -39,6 +44,10 @@ class Shards:
     size: int  # features
     counts: dict[tuple[int, int], int]  # rows by (fold, label)
 
+    @property
+    def many(self) -> bool:
+        return sum(self.counts.values()) > MANY_SHARDS * ROWS_A_SHARD
+
     def rows(self, config: Config) -> tuple[int, int]:
         """Training rows of a config by label."""
         return tuple(sum(n for (fold, label), n in self.counts.items() if label == y and fold != config.fold) for y in (0, 1))
@@ -56,6 +65,7 @@ def sharded(train: DataFrame, size: int) -> Shards:
     """Pack rows (idx, val, label and perhaps fold); written once because every pass reads it.
 
     As bytes: taking nested arrays apart element by element cost a pass many times its arithmetic.
+    A shard a file: a file is not split, and those of several shards left tasks of a pass uneven.
     """
     fold = F.coalesce(F.col("fold"), F.lit(0)) if "fold" in train.columns else F.lit(0)
     rows = train.select("idx", "val", F.col("label").cast("int").alias("label"), fold.cast("int").alias("fold"))
@@ -63,7 +73,7 @@ def sharded(train: DataFrame, size: int) -> Shards:
     counts = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
     n_shards = max(1, -(-sum(counts.values()) // ROWS_A_SHARD))
     dealt = rows.groupBy(F.pmod("hash", F.lit(n_shards)).alias("shard")).agg(F.array_sort(F.collect_list(F.struct("hash", "label", "fold", "idx", "val"))).alias("rows"))
-    return Shards(dealt, materialize(dealt.mapInArrow(_packed, _PACKED), "shards"), size, counts)
+    return Shards(dealt, materialize(dealt.mapInArrow(_packed, _PACKED), "shards", maxRecordsPerFile=1), size, counts)
 
 
 _PACKED = "shard long, label binary, fold binary, length binary, at binary, value binary"
@@ -77,8 +87,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = batch.column(1).slice(n, 1).flatten()
             idx, val = rows.field("idx"), rows.field("val")
             columns = {"label": rows.field("label"), "fold": rows.field("fold"), "length": idx.value_lengths(), "at": idx.flatten(), "value": val.flatten()}
-            parts = [pa.array([columns[c].to_numpy(zero_copy_only=False).astype(kind).tobytes()], pa.binary()) for c, kind in _KINDS.items()]
-            yield pa.record_batch([pa.array([number], pa.int64()), *parts], ["shard", *_KINDS])
+            yield _bytes(number, {c: column.to_numpy(zero_copy_only=False) for c, column in columns.items()})
+
+
+def _bytes(number: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row: the shard's number, and its arrays as bytes."""
+    parts = [pa.array([columns[c].astype(kind).tobytes()], pa.binary()) for c, kind in _KINDS.items()]
+    return pa.record_batch([pa.array([number], pa.int64()), *parts], ["shard", *_KINDS])
 
 
 class Shard:
@@ -98,6 +113,12 @@ class Shard:
         """Sum of the rows times ``c``, the constant last."""
         return np.append(np.bincount(self.at, self.value * c[self.row], size), c.sum())
 
+    def only(self, kept: np.ndarray) -> pa.RecordBatch:
+        """The packed shard with the rows marked in ``kept``, in their order."""
+        cells = kept[self.row]
+        columns = {"label": self.y[kept] > 0, "fold": self.fold[kept], "length": np.diff(self.ends)[kept], "at": self.at[cells], "value": self.value[cells]}
+        return _bytes(self.number, columns)
+
 
 def _shards_of(batch: pa.RecordBatch) -> Iterator[Shard]:
     for n, number in enumerate(batch.column(0).to_pylist()):
@@ -107,6 +128,7 @@ def _shards_of(batch: pa.RecordBatch) -> Iterator[Shard]:
 def _pass(shards: Shards, asked: dict[int, tuple], answer: Callable[[Shard, int, tuple], np.ndarray]) -> dict[int, np.ndarray]:
     """Per model the sum over shards of ``answer(shard, model, request)``."""
     shared = shards.packed.sparkSession.sparkContext.broadcast(asked)
+    many = shards.many
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, first = {}, None
@@ -117,11 +139,12 @@ def _pass(shards: Shards, asked: dict[int, tuple], answer: Callable[[Shard, int,
                     got = answer(shard, model, request)
                     sums[model] = sums[model] + got if model in sums else got
         if sums:
-            yield _vectors(list(sums), [first % BUCKETS] * len(sums), list(sums.values()))
+            yield _vectors(list(sums), [first % BUCKETS if many else first] * len(sums), list(sums.values()))
 
     parts = shards.packed.mapInArrow(run, _VECTORS)
-    for keys in (["model", "bucket"], ["model"]):
-        parts = parts.repartition(*keys).sortWithinPartitions("model", "bucket").mapInArrow(_summed(keys), _VECTORS)
+    if many:
+        parts = parts.repartition("model", "bucket").sortWithinPartitions("model", "bucket").mapInArrow(_summed(["model", "bucket"]), _VECTORS)
+    parts = parts.repartition(len(asked), "model").sortWithinPartitions("model", "bucket").mapInArrow(_summed(["model"]), _VECTORS)
     found = parts.toArrow()
     shared.unpersist()
     return {m: _numbers(k, v) for m, k, v in zip(found["model"].to_pylist(), found["kind"].to_pylist(), found["vector"].to_pylist())}
@@ -158,19 +181,40 @@ def _summed(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def _loss(shard: Shard, loss: str, config: Config, weights: tuple[float, float], request: tuple, size: int) -> np.ndarray:
-    """Loss and gradient at w, or the Hessian at w times v, of the shard's training rows."""
+    """Gradient, loss and rows with curvature at w, or the Hessian at w times v, of the shard's training rows."""
     kind, w, v = request
+    value, slope, curve = _parts(shard, loss, config, weights, w)
+    if kind == "hessian":
+        return shard.back(curve * shard.times(v), size)
+    return np.append(shard.back(slope * shard.y, size), [value.sum(), np.count_nonzero(curve)])
+
+
+def _parts(shard: Shard, loss: str, config: Config, weights: tuple[float, float], w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss of each row at w, its slope and its curve by the margin."""
     s = np.where(shard.y > 0, weights[1], weights[0]) * config.C * (shard.fold != config.fold)
     margin = shard.y * shard.times(w)
     if loss == "squared_hinge":
         miss = np.maximum(0.0, 1.0 - margin)
-        value, slope, curve = s * miss**2, -2.0 * s * miss, 2.0 * s * (miss > 0)
-    else:
-        p = 1.0 / (1.0 + np.exp(np.clip(margin, -500, 500)))
-        value, slope, curve = s * np.logaddexp(0.0, -margin), -s * p, s * p * (1.0 - p)
-    if kind == "hessian":
-        return shard.back(curve * shard.times(v), size)
-    return np.append(shard.back(slope * shard.y, size), value.sum())
+        return s * miss**2, -2.0 * s * miss, 2.0 * s * (miss > 0)
+    p = 1.0 / (1.0 + np.exp(np.clip(margin, -500, 500)))
+    return s * np.logaddexp(0.0, -margin), -s * p, s * p * (1.0 - p)
+
+
+def _curved(shards: Shards, loss: str, config: Config, weights: tuple[float, float], w: np.ndarray) -> Shards:
+    """The shards without the rows that have no curvature at w, kept for the Hessian products there.
+
+    Such rows add nothing to a product, so the sums are the same. Lost blocks come again from the written table.
+    """
+    shared = shards.packed.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in _shards_of(batch):
+                kept = _parts(shard, loss, config, weights, shared.value)[2] != 0
+                if kept.any():
+                    yield shard.only(kept)
+
+    return replace(shards, packed=shards.packed.mapInArrow(run, _PACKED).persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def newton(size: int, penalty: np.ndarray, max_iter: int, tol: float) -> Generator[tuple, np.ndarray, np.ndarray]:
@@ -178,7 +222,7 @@ def newton(size: int, penalty: np.ndarray, max_iter: int, tol: float) -> Generat
     once no component of the gradient is above ``tol``."""
 
     def whole(at: np.ndarray, got: np.ndarray) -> tuple[float, np.ndarray]:
-        return got[-1] + 0.5 * float(penalty @ at**2), got[:-1] + penalty * at
+        return got[-2] + 0.5 * float(penalty @ at**2), got[:-2] + penalty * at
 
     w = np.zeros(size + 1)
     value, gradient = whole(w, (yield ("value", w, None)))
@@ -214,6 +258,7 @@ def newton(size: int, penalty: np.ndarray, max_iter: int, tol: float) -> Generat
 def fit_smooth(shards: Shards, loss: str, configs: list[Config], max_iter: int = 200, tol: float = 1e-5) -> list[np.ndarray]:
     """Weights, the constant's last, of every config. All models move in step: a pass serves
     each one's next request, so the number of jobs is that of the slowest model, not of the grid.
+    The Hessian products of a single model read only the rows with curvature, if those are less than half.
 
     ``squared_hinge`` treats the constant as a feature that is always 1 and penalises it; ``logistic`` doesn't penalise it.
     """
@@ -222,16 +267,30 @@ def fit_smooth(shards: Shards, loss: str, configs: list[Config], max_iter: int =
     weights = [shards.class_weights(c) for c in configs]
     models = [newton(size, penalty, max_iter, tol) for _ in configs]
     asked, done = {m: next(model) for m, model in enumerate(models)}, {}
+    curved, at, narrow = {}, None, None  # rows with curvature by model; the last weights and the rows with curvature there
     while asked:
-        got = _pass(shards, asked, lambda shard, m, request: _loss(shard, loss, configs[m], weights[m], request, size))
+        read, one = shards, next(iter(asked)) if len(asked) == 1 else None
+        if one is not None and asked[one][0] == "hessian":
+            if at is not asked[one][1]:
+                if narrow:
+                    narrow.packed.unpersist()
+                at, narrow, n_rows = asked[one][1], None, sum(shards.rows(configs[one]))
+                if curved[one] <= min(n_rows / 2, n_rows - NARROW_ROWS):
+                    narrow = _curved(shards, loss, configs[one], weights[one], at)
+            read = narrow or shards
+        got = _pass(read, asked, lambda shard, m, request: _loss(shard, loss, configs[m], weights[m], request, size))
         following = {}
         for m in asked:
-            answer = got.get(m, np.zeros(size + (2 if asked[m][0] == "value" else 1)))
+            answer = got.get(m, np.zeros(size + (3 if asked[m][0] == "value" else 1)))
+            if asked[m][0] == "value":
+                curved[m] = answer[-1]
             try:
                 following[m] = models[m].send(answer)
             except StopIteration as stop:
                 done[m] = stop.value
         asked = following
+    if narrow:
+        narrow.packed.unpersist()
     return [done[m] for m in range(len(configs))]
 
 

@@ -153,3 +153,53 @@ def test_a_pass_reads_bytes(train):
     """A pass reads flat columns, so Spark takes no nested array apart."""
     packed = shards.sharded(train, SIZE).packed
     assert {f.dataType.simpleString() for f in packed.schema} == {"bigint", "binary"}
+
+
+def test_hessian_products_leave_out_rows_without_curvature(spark, monkeypatch):
+    """A single model's products read only rows that add to them, and come to the same weights."""
+    rng, rows = np.random.default_rng(7), []
+    for k in range(200):
+        rows.append(([1 - k % 2, *np.sort(rng.choice(np.arange(2, SIZE), 3, replace=False)).tolist()], [0.1 + 3 * rng.random(), *rng.random(3).tolist()], k % 2, 0))
+    monkeypatch.setattr(shards, "ROWS_A_SHARD", 40)
+    dealt = shards.sharded(spark.createDataFrame(rows, SCHEMA), SIZE)
+    whole = shards.fit_smooth(dealt, "squared_hinge", [Config()])[0]
+    monkeypatch.setattr(shards, "NARROW_ROWS", 1)
+    seen, run = {}, shards._pass
+
+    def watched(read, asked, answer):
+        kind, w, _ = asked[0]
+        if kind == "hessian" and w.tobytes() not in seen:
+            seen[w.tobytes()] = sum(len(r["label"]) // 4 for r in read.packed.select("label").collect())
+        return run(read, asked, answer)
+
+    monkeypatch.setattr(shards, "_pass", watched)
+    narrow = shards.fit_smooth(dealt, "squared_hinge", [Config()])[0]
+    assert np.abs(narrow - whole).max() < 1e-9
+    x = np.zeros((len(rows), SIZE + 1))
+    for k, (at, value, *_) in enumerate(rows):
+        x[k, at] = value
+    x[:, -1] = 1.0
+    y = np.array([1.0 if r[2] == 1 else -1.0 for r in rows])
+    for w, n_rows in seen.items():
+        curved = int((y * (x @ np.frombuffer(w)) < 1).sum())
+        assert n_rows == (curved if curved <= len(rows) / 2 else len(rows))
+    assert min(seen.values()) < len(rows) / 2
+    margin = y * (x @ narrow)
+    assert np.abs(narrow - 2 * x.T @ (y * np.maximum(0, 1 - margin))).max() < 1e-4
+
+
+@pytest.mark.parametrize("many", [1, 512])
+def test_vectors_of_few_shards_are_dealt_once(train, spark, monkeypatch, many):
+    """Sums by bucket come first only where there are many shards; both ways give the same sums."""
+    monkeypatch.setattr(shards, "ROWS_A_SHARD", 40)
+    monkeypatch.setattr(shards, "MANY_SHARDS", many)
+    dealt = shards.sharded(train, SIZE)
+    assert len(dealt.packed.inputFiles()) == 8
+    dealt.packed = dealt.packed.repartitionByRange(8, "shard")
+    deals, repartition = [], type(train).repartition
+    monkeypatch.setattr(type(train), "repartition", lambda df, *keys: deals.append(keys) or repartition(df, *keys))
+    request = ("value", np.zeros(SIZE + 1), None)
+    got = shards._pass(dealt, {0: request}, lambda shard, m, r: shards._loss(shard, "squared_hinge", Config(), (1.0, 1.0), r, SIZE))[0]
+    x, y, _ = dense(Config())
+    assert np.abs(got - np.append(-2 * x.T @ y, [len(y), len(y)])).max() < 1e-9
+    assert len(deals) == (2 if many == 1 else 1)
