@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from credlake.config import Settings
 from credlake.errors import EmptyInputError, ModelNotFoundError
-from credlake.operators import linear, metrics, vectorize
+from credlake.operators import linear, metrics, shards, vectorize
 from credlake.plans import prediction, training
 from credlake.sources import store
 
@@ -151,6 +151,17 @@ def test_tuning_returns_a_grid_member(trained, small_settings):
         assert training.tune(name, train, space, sets, small_settings) in sets
 
 
+def test_training_rows_are_dealt_to_shards_once(trained, small_settings, monkeypatch):
+    """The models that are fitted over shards share them, and are those fitted one by one."""
+    _, features, space = trained
+    calls, sharded = [], shards.sharded
+    monkeypatch.setattr(shards, "sharded", lambda *a: calls.append(a) or sharded(*a))
+    models = training.train_models(features, space, small_settings, tuning=False)
+    assert len(calls) == 1 and [m.name for m in models] == linear.MODEL_ORDER
+    alone = training.fit("LinearSVC", features.filter("split = 'train'"), space, {})
+    assert len(calls) == 2 and models[2].weights == pytest.approx(alone.weights, abs=1e-6)
+
+
 def test_news_of_one_row_group_is_spread_over_tasks(spark, tmp_path):
     """A file of one row group is read by one task; the work on its texts is not left there."""
     from credlake.workload import model_queries, views
